@@ -110,6 +110,7 @@ def quoted_passages(texts: DataFrame, passages: DataFrame, words: int = 3) -> Da
     split_texts = texts.filter(F.col("text").isNotNull()).select("text_id", F.split(F.trim("text"), r"\s+").alias("w"))
     runs = [", ".join(["x", *(f"get(w, i + {j})" for j in range(1, k))]) for k in sizes]
     found = F.expr("transform(w, (x, i) -> array(" + ", ".join(f"named_struct('n', {k}, 'h', xxhash64({run}))" for k, run in zip(sizes, runs, strict=True)) + "))")
-    spots = split_texts.select("text_id", F.explode(F.array_distinct(F.flatten(found))).alias("s")).select("text_id", "s.n", "s.h")
+    # explode_outer: for explode Spark would infer a filter that computes the windows once more, words and all
+    spots = split_texts.select("text_id", F.explode_outer(F.array_distinct(F.flatten(found))).alias("s")).select("text_id", "s.n", "s.h")
     pairs = spots.join(parts, ["n", "h"]).select("text_id", "passage_id", "passage").distinct()
     return pairs.join(texts, "text_id").filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
