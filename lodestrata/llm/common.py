@@ -71,3 +71,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hash_sample(rows: DataFrame, n: int, *key: str, total: int | None = None) -> DataFrame:
+    """At most ``n`` rows, chosen and ordered by a hash of ``key``; the same rows on every run.
+
+    A threshold on the hash, from a count (``total``, if it is known), leaves about half as many
+    again as are wanted over all tasks together, so what the final sort collects is bounded by
+    ``n`` and not by the number of tasks.
+    """
+    total = rows.count() if total is None else total
+    hashed = rows.withColumn("__order", F.xxhash64(*key, F.lit("sample")))
+    if total > 2 * n + 100:
+        share = (1.5 * n + 50) / total
+        hashed = hashed.filter(F.pmod("__order", F.lit(1 << 40)) < int(share * (1 << 40)))
+    rest = [c for c in rows.columns if c not in key]
+    return hashed.orderBy("__order", *key, *rest).limit(n).drop("__order")

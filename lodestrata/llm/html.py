@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import prepare
+from lodestrata.llm.common import hash_sample, prepare
 
 TRAIN_PAGES = 500
 TRAIN_PAGE_CHARS = 200_000
@@ -153,7 +153,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 def fit(df: DataFrame, html_column: str = "html", id_column: str = "page_id", pages: int = TRAIN_PAGES) -> dict[str, float]:
     """Weights from at most ``pages`` self-labelled pages of bounded length, chosen by a hash of the id."""
     rows = df.filter(F.col(html_column).rlike("(?i)<(article|main)[\\s>]") & (F.length(html_column) <= TRAIN_PAGE_CHARS))
-    sample = rows.select(F.xxhash64(id_column).alias("o"), F.col(html_column).alias("h")).orderBy("o", "h").limit(pages).collect()
+    sample = hash_sample(rows.select(F.col(id_column).alias("o"), F.col(html_column).alias("h")), pages, "o").collect()
     return learn([row["h"] for row in sample])
 
 

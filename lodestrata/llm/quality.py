@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import WORD_SPACE_CLASS, checkpoint
+from lodestrata.llm.common import WORD_SPACE_CLASS, checkpoint, hash_sample
 
 TRAIN_ROWS = 4000
 QUANTILES = 40
@@ -176,7 +176,7 @@ def _with_margin(rule: Rule, covered: DataFrame) -> Rule:
 def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = TRAIN_ROWS) -> list[Rule]:
     """Learns from at most ``rows`` labelled ids, chosen by a hash of the id."""
     chosen = labels.filter(F.col("quality").isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64(id_column), id_column).limit(rows)
+    chosen = hash_sample(chosen, rows, id_column)
     joined = df.select(id_column, text_column).join(F.broadcast(chosen), id_column)  # ``rows`` rows of two numbers
     fold = F.pmod(F.xxhash64(id_column, F.lit("fold")), F.lit(3)).alias("fold")
     counted = statistics(joined, id_column, text_column, keep=("quality",))
