@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import prepare
+from lodestrata.llm.common import hash_sample, prepare
 
 TRAIN_WINDOWS = 4096
 TRAIN_CHARS = 200
@@ -250,9 +250,11 @@ def is_held_out(id_column: str = "doc_id") -> Column:
 def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", windows: int = TRAIN_WINDOWS, chars: int = TRAIN_CHARS) -> Model | None:
     """Trains on at most ``windows`` labelled windows of rows that are not held out, chosen by a hash of the id."""
     place = F.pmod(F.xxhash64(id_column, F.lit(1)), F.greatest(F.length(text_column) - chars, F.lit(0)) + 1) + 1
-    rows = df.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull() & ~is_held_out(id_column))
-    rows = rows.select(F.substring(text_column, place.cast("int"), F.lit(chars)).alias("w"), F.col(lang_column).alias("l"), F.xxhash64(id_column).alias("o"))
-    sample = rows.orderBy("o", "w", "l").limit(windows).collect()
+    rows = df.filter(F.col(lang_column).isNotNull() & ~is_held_out(id_column))
+    total = rows.count()  # reads no text
+    rows = rows.filter(F.col(text_column).isNotNull())
+    rows = rows.select(F.col(id_column).alias("o"), F.substring(text_column, place.cast("int"), F.lit(chars)).alias("w"), F.col(lang_column).alias("l"))
+    sample = hash_sample(rows, windows, "o", "w", "l", total=total).collect()
     return train([(row["w"], row["l"]) for row in sample])
 
 
