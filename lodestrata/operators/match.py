@@ -102,15 +102,15 @@ def quoted_passages(texts: DataFrame, passages: DataFrame, words: int = 3) -> Da
     are no evidence and match nothing.
     """
     parts = passages.select("passage_id", F.col("text").alias("passage"), F.split(F.trim("text"), r"\s+").alias("w")).filter(F.size("w") >= 3)
-    inner = [F.get("w", F.lit(i)) for i in range(1, words + 1)]
     sizes = list(range(1, words + 1))
     n = F.least(F.size("w") - 2, F.lit(words))
-    key = F.coalesce(*[F.when(n == k, F.xxhash64(*inner[:k])) for k in sizes])
-    parts = parts.select("passage_id", "passage", n.alias("n"), key.alias("h"))
+    key = F.coalesce(*[F.when(n == k, F.xxhash64(F.lit(k), *[F.get("w", F.lit(i)) for i in range(1, k + 1)])) for k in sizes])
+    parts = parts.select("passage_id", "passage", key.alias("h"))
     split_texts = texts.filter(F.col("text").isNotNull()).select("text_id", F.split(F.trim("text"), r"\s+").alias("w"))
-    runs = [", ".join(["x", *(f"get(w, i + {j})" for j in range(1, k))]) for k in sizes]
-    found = F.expr("transform(w, (x, i) -> array(" + ", ".join(f"named_struct('n', {k}, 'h', xxhash64({run}))" for k, run in zip(sizes, runs, strict=True)) + "))")
+    # plain numbers, as Spark finds the distinct ones of an array of structs by comparing all pairs
+    runs = [f"xxhash64({k}, " + ", ".join(["x", *(f"get(w, i + {j})" for j in range(1, k))]) + ")" for k in sizes]
+    found = F.expr(f"transform(w, (x, i) -> array({', '.join(runs)}))")
     # explode_outer: for explode Spark would infer a filter that computes the windows once more, words and all
-    spots = split_texts.select("text_id", F.explode_outer(F.array_distinct(F.flatten(found))).alias("s")).select("text_id", "s.n", "s.h")
-    pairs = spots.join(parts, ["n", "h"]).select("text_id", "passage_id", "passage").distinct()
+    spots = split_texts.select("text_id", F.explode_outer(F.array_distinct(F.flatten(found))).alias("h"))
+    pairs = spots.join(parts, "h").select("text_id", "passage_id", "passage").distinct()
     return pairs.join(texts, "text_id").filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
