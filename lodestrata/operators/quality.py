@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import percent
@@ -47,7 +47,14 @@ def gaps(df: DataFrame, failed: Column, *order: Column, limit: int | None = None
     return found if limit is None else found.limit(limit)
 
 
-def index_percentile(values: Column, share: float) -> Column:
-    """The value at place floor(n * share) of the sorted values: no interpolation."""
-    ordered = F.array_sort(values)
-    return F.get(ordered, F.least(F.floor(F.size(ordered) * share), F.size(ordered) - 1).cast("int"))
+def index_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the values at the places floor(n * share) of its sorted non-null values: no interpolation.
+
+    Equal values are counted before they meet, so a group costs its distinct values and no list is built.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__c"))
+    own = Window.partitionBy(group)
+    counted = counted.withColumn("__upto", F.sum("__c").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    counted = counted.withColumn("__n", F.sum("__c").over(own))
+    place = {name: F.least(F.floor(F.col("__n") * share), F.col("__n") - 1) for name, share in shares.items()}
+    return counted.groupBy(group).agg(*[F.min(F.when(F.col("__upto") > at, F.col(value))).alias(name) for name, at in place.items()])

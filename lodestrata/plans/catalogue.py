@@ -332,8 +332,7 @@ def q41_host_filter(spark, sf):
 
 def q42_index_percentile(spark, sf):
     (lineitem,) = _t(spark, sf, "lineitem")
-    grouped = lineitem.groupBy("l_returnflag").agg(F.collect_list("l_quantity").alias("v"))
-    return grouped.select("l_returnflag", *[quality.index_percentile(F.col("v"), p / 100).alias(f"p{p:02d}") for p in (5, 50, 95)])
+    return quality.index_percentiles(lineitem, "l_returnflag", "l_quantity", {f"p{p:02d}": p / 100 for p in (5, 50, 95)})
 
 
 def q43_fk_orphans(spark, sf):
