@@ -30,6 +30,7 @@ TRAIN_CHARS = 200
 HIDDEN = 8
 SEGMENT = 128
 LANES = 1024
+LEAST_UPDATES = 280
 UNDETERMINED = "und"
 #: Bytes that count towards a document's probabilities: ASCII letters and parts of longer characters.
 LETTER_BYTE = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)], np.float32)
@@ -182,7 +183,9 @@ def train(windows: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = 64,
     model, rng = new_model(languages, hidden), np.random.default_rng(11)
     values = parameters(model)
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
-    total = max(1, rounds * -(-len(codes) // lanes))
+    batches = -(-len(codes) // lanes)
+    rounds = max(rounds, -(-LEAST_UPDATES // batches))  # small samples are gone over more often
+    total = rounds * batches
     step = 0
     for _ in range(rounds):
         order = rng.permutation(len(codes))

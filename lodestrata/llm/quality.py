@@ -71,7 +71,11 @@ def statistics(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     again = F.expr("filter(s, (e, k) -> (k > 0 and get(s, k - 1).x = e.x) or get(s, k + 1).x <=> e.x)")
     rows = rows.select(*held, F.sort_array(F.transform(again, lambda e: e["i"])).alias("p"))
     covered = "aggregate(p, struct(0 as n, -3 as last), (a, i) -> struct(a.n + least(3, i - a.last) as n, i as last)).n"
-    return rows.select(*held, F.expr(f"cast({covered} as bigint)").alias("n_repeat_words"))
+    rows = rows.select(*held, F.expr(f"cast({covered} as bigint)").alias("n_repeat_words"))
+    # through a generator, as Spark would push a later filter on a count (say on ``kept``) into these
+    # projections and compute a text's words anew for every word of it
+    counts = [c for c in rows.columns if c not in (id_column, *keep)]
+    return rows.select(id_column, *keep, F.explode_outer(F.array(F.struct(*counts))).alias("__counts")).select(id_column, *keep, "__counts.*")
 
 
 @dataclass(frozen=True)
