@@ -295,8 +295,9 @@ def test_quality_counts(docs, rows):
 
 
 def test_quality_rules(spark, sf):
-    df = entries.op6_quality(spark, sf.replace("sf0.001", "sf0.01"))
-    labels = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet")
+    # at sf0.01 there are 27 bad rows beyond the base rule, and no rule is precise on a third of them; that is too few to learn from
+    df = entries.op6_quality(spark, sf.replace("sf0.001", "sf0.1"))
+    labels = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/labels.parquet")
     got = df.join(labels, "doc_id").filter("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in got}
     assert n.get((1, False), 0) <= 0.01 * n[1, True] and n.get((0, False), 0) >= 0.8 * sum(v for (q, _), v in n.items() if q == 0)
