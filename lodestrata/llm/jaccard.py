@@ -1,0 +1,187 @@
+"""Near copies by the Jaccard similarity of word shingles: banded minima propose, exact similarity confirms.
+
+Two texts link when their sets of five-word shingles (lowered as in ``simhash``) have a Jaccard
+similarity of ``LEAST`` or more. The work is done on distinct sets, so exact copies cost one row.
+
+Candidates: 32 bands of five minima each. A pair of similarity s shares no band with probability
+(1 - s^5)^32, which is 3 in a million at 0.8 and less above.
+
+Confirmation: a bucket of up to ``SMALL`` sets proposes all its pairs. A larger one proposes one
+pivot against all others, then, once what was confirmed is connected, the members outside of its
+largest component against all others, ``SMALL`` a round, until it is of one component. So no
+candidate is dropped, and a large group of near copies costs rows in proportion to its size. Spark
+intersects the whole sets of every proposed pair.
+
+Defined results: texts without words have the empty set and are copies of each other. Rows with a
+null id all stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestrata.llm.common import checkpoint, prepare
+from lodestrata.llm.simhash import SEED, components
+
+WORDS = 5
+LEAST = 0.8
+BANDS, MINIMA = 32, 5
+SMALL = 16
+#: Shingles multiplied by all factors at once.
+SHINGLES_AT_ONCE = 1 << 12
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a UTF-8 text's shingles; a shorter text is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    parts = (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII spaces
+    if not parts:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = (np.cumsum([len(p) + 1 for p in parts]) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    spans = zip(starts, ends[min(words, len(ends)) - 1 :], strict=False)
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
+
+
+def key_of(own: np.ndarray) -> int:
+    """A signed number of a set."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """The set's bucket in each band; none for the empty set."""
+    from xxhash import xxh64_intdigest
+
+    if not len(own):
+        return []
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), SHINGLES_AT_ONCE):
+        np.minimum(least, (own[at : at + SHINGLES_AT_ONCE] * _FACTORS).min(axis=1), out=least)
+    rows = least.reshape(BANDS, MINIMA)
+    return np.array([xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def signed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, th, key, bands) of every row; th is a hash of the text as it stands."""
+    prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text) for text in batch.column(2).to_pylist()]
+            made = [pa.array(map(key_of, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["id", "th", "key", "bands"])
+
+    rows = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).cast("binary").alias("__text"))
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, th long, key long, bands array<long>")
+
+
+def _sets(df: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(key, shingles) of the rows whose id and text hash are in ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text) for text in batch.column(0).to_pylist()]
+            made = [pa.array(map(key_of, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "shingles"])
+
+    rows = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).cast("binary").alias("__text"))
+    return rows.join(wanted, ["id", "th"], "left_semi").select("__text").mapInArrow(run, "key long, shingles array<long>")
+
+
+def bucket_pairs(keys: np.ndarray, classes: np.ndarray, first: bool, small: int = SMALL) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs (greater, less) that a bucket proposes, and its keys that have then met all others. ``keys`` are sorted."""
+    kinds, of, sizes = np.unique(classes, return_inverse=True, return_counts=True)
+    if len(kinds) < 2:
+        return [], keys.tolist()
+    if len(keys) <= small:
+        pivots = range(len(keys))
+    else:
+        pivots = [0] if first else np.flatnonzero(of != sizes.argmax())[:small].tolist()
+    pairs, met = [], np.zeros(len(keys), bool)
+    for p in pivots:
+        met[p] = True
+        for other in np.flatnonzero(~met & (of != of[p])).tolist():
+            pairs.append((int(max(keys[p], keys[other])), int(min(keys[p], keys[other]))))
+    return pairs, keys[met].tolist()
+
+
+def _propose(rows: DataFrame, first: bool) -> DataFrame:
+    """From (bucket, key, class) the pairs (bucket null, a, b) and what is done with as (bucket, a, b null)."""
+    rows = rows.select("bucket", "key", "class").repartition("bucket").sortWithinPartitions("bucket", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+
+        def found(bucket: np.ndarray, key: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
+            where, left, right = [], [], []
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                pairs, met = bucket_pairs(key[a:z], kind[a:z], first)
+                if len(met) == z - a:
+                    met = []  # a bucket that is done with is known by leaving no other trace
+                    where.append(int(bucket[a])), left.append(None), right.append(None)
+                where += [None] * len(pairs) + [int(bucket[a])] * len(met)
+                left += [a for a, _ in pairs] + met
+                right += [b for _, b in pairs] + [None] * len(met)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (where, left, right)], names=["bucket", "a", "b"])
+
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on
+            if whole >= 1 << 14:
+                yield found(*(h[:whole] for h in held))
+                held = [h[whole:] for h in held]
+        yield found(*held)
+
+    return rows.mapInArrow(run, "bucket long, a long, b long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
+    one, two = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    size = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(one, "a").withColumn("nx", F.size("x")).join(two, "b").withColumn("ny", F.size("y"))
+    both = both.filter((F.least("nx", "ny") >= least * F.greatest("nx", "ny") - 1e-9))  # no pair of such sizes can be as similar
+    return both.filter(size >= least * (F.col("nx") + F.col("ny") - size) - 1e-9).select("a", "b").distinct()
+
+
+def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:
+    """(id, th, key, class) of every row: the class is the least key reachable by links."""
+    rows = checkpoint(signed(df, id_column, text_column))
+    distinct = rows.filter("id is not null").groupBy("key", "bands").agg(F.min(F.struct("id", "th")).alias("r"))
+    buckets = distinct.select("key", "r", F.explode("bands").alias("bucket"))
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    left = checkpoint(buckets.join(crowded, "bucket").select("bucket", "key", "r.id", "r.th"))
+    sets = checkpoint(_sets(df, left.select("id", "th").distinct(), id_column, text_column))
+    left, links, found, first = left.select("bucket", "key"), None, None, True
+    while True:
+        known = left.withColumn("class", F.col("key")) if first else left.join(found, "key", "left")
+        told = checkpoint(_propose(known.withColumn("class", F.coalesce("class", "key")), first))
+        pairs = told.filter("b is not null").select("a", "b").distinct()
+        new = checkpoint(confirmed(pairs, sets, least))
+        links = new if links is None else links.unionByName(new)
+        found = components(links).select(F.col("node").alias("key"), F.col("component").alias("class"))
+        done = told.filter("b is null and a is null").select("bucket")
+        left = left.join(done, "bucket", "left_anti").join(told.filter("b is null and a is not null").select("bucket", F.col("a").alias("key")), ["bucket", "key"], "left_anti")
+        left, first = checkpoint(left), False
+        if left.isEmpty():
+            break
+    return rows.drop("bands").join(found, "key", "left").select("id", "th", "key", F.coalesce("class", "key").alias("class"))
+
+
+def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of df whose id is the least of their class; rows with a null id all stay."""
+    rows = classes(df, id_column, text_column, least).filter("id is not null")
+    kept = rows.groupBy("class").agg(F.min("id").alias("kept"))
+    gone = rows.join(kept, "class").filter("id > kept").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
+    return df.join(gone, (F.col(id_column) == F.col("__id")) & (F.xxhash64(text_column) == F.col("__th")), "left_anti")

@@ -1,0 +1,86 @@
+"""The near_duplicates stage of the pipeline against brute-force Jaccard similarity."""
+
+from __future__ import annotations
+
+import random
+import string
+
+import corpus_pipeline
+from lodestrata.llm import jaccard
+
+
+def slow_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_kept(rows, least=0.8):
+    """Ids that are the least of those reachable by pairs of a similarity of ``least`` or more."""
+    sets = {i: slow_shingles(t) for i, t in rows}
+    own = {i: i for i in sets}
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    ids, n = sorted(sets), 0
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or len(x & y) >= least * len(x | y):
+                n += 1
+                p, q = sorted((root(a), root(b)))
+                own[q] = p
+    return {i for i in ids if root(i) == i}, n
+
+
+def made_texts():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=5))
+    texts = []
+    for n in range(30):
+        base = [word() for _ in range(rng.randint(30, 300))]
+        texts.append(" ".join(base))
+        for _ in range(60 if n == 0 else 4):
+            near = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                near[rng.randrange(len(near))] = word()
+            texts.append(" ".join(near))
+    chain = [word() for _ in range(200)]
+    for n in range(12):
+        chain = [*chain[:n * 15], word(), *chain[n * 15 + 1 :]]
+        texts.append(" ".join(chain))
+    texts += ["", " ", "one two", "One  TWO", "one"]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_stage_finds_every_near_copy(spark):
+    rows = made_texts()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [*rows, (None, rows[0][1])]], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    want, pairs = slow_kept(rows)
+    assert pairs > 500 and len(want) < len(rows) - 60
+    assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
+
+
+def test_stage_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == slow_kept(rows)[0]
+
+
+def test_large_buckets_propose_every_pair_of_classes():
+    import numpy as np
+
+    keys, kinds = np.arange(40), np.repeat([0, 1, 2], [30, 6, 4])
+    pairs, met = jaccard.bucket_pairs(keys, kinds, False)
+    assert {frozenset(p) for p in pairs} == {frozenset((a, b)) for a in range(40) for b in range(40) if kinds[a] != kinds[b]} and met == list(range(30, 40))
+    assert len(jaccard.bucket_pairs(keys, keys, True)[0]) == 39
+
+
+def test_rows_with_one_id_and_two_texts(spark):
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (2, "quite another text of a few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {rows[0], rows[2]}
