@@ -1,8 +1,10 @@
 """Operator 5: mixing sources to target weights by Pfair scheduling. DataFrame operations only.
 
 Each source's rows, in the order of a hash of the id, are cut into blocks of ``block_units``
-characters on average (a block is a range of hash values, so its share of the source is equal in
-expectation and no prefix sum over the rows is needed). A source of weight w gives its block j the
+characters: a row's block is the running sum of the characters before it, divided by
+``block_units``. Running sums are made of sums per source and range of hash values, prefix sums over
+those few rows, and a window inside each range, so a large source is many windows. A text longer
+than a block takes up the blocks that it covers. A source of weight w gives its block j the
 release time floor(j / w) and the deadline ceil((j + 1) / w), in slots of one block. Earliest
 deadline first, among released blocks, then fills every slot; at any time each source that still
 has blocks is less than one block away from its weight.
@@ -13,7 +15,7 @@ by arithmetic. The rows themselves see one small aggregate and one range shuffle
 has run dry leaves its slots empty and the others go on in the same proportions.
 
 Defined results: a null source counts as the empty one; a null text has no characters but still
-takes its place; rows with equal ids share a block; null ids share the hash of null.
+takes its place; null ids are ordered by a hash of the text.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import heapq
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of a block on average; the exponent that flattens the sources' shares into weights.
@@ -31,9 +33,11 @@ TEMPERATURE = 0.5
 #: Slots of a frame, unless more sources need more; sources beyond the bound are refused.
 FRAME = 1000
 MAX_SOURCES = 10_000
-_HASH_RANGE = 1 << 62
+#: Rows of the largest source in a window, on average; bits of the order inside a source.
+WINDOW_ROWS = 10_000
+_HASH_BITS = 62
 _MADE = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_order")
-_OWN = (*_MADE, "mix_source", "mix_blocks", "mix_quota", "mix_slots")
+_OWN = (*_MADE, "mix_source", "mix_range", "mix_units", "mix_before", "mix_quota", "mix_slots")
 
 
 def quotas(weights: Mapping[str, float], frame: int) -> dict[str, int]:
@@ -78,6 +82,21 @@ def _units(text_column: str) -> Column:
     return F.coalesce(F.length(text_column), F.lit(0)).cast("long")
 
 
+def in_blocks(df: DataFrame, bits: int, id_column: str, source_column: str, text_column: str, block_units: int) -> DataFrame:
+    """df with ``mix_source``, ``mix_order`` and ``mix_block``, by running sums in 2^bits ranges of a source's order."""
+    by_id = F.xxhash64(F.col(id_column))
+    hashed = F.when(F.col(id_column).isNull(), F.xxhash64(F.col(id_column), F.col(text_column))).otherwise(by_id)
+    rows = df.withColumn("mix_source", _source(source_column)).withColumn("mix_order", F.shiftrightunsigned(hashed, 64 - _HASH_BITS))
+    rows = rows.withColumn("mix_range", F.shiftright("mix_order", _HASH_BITS - bits)).withColumn("mix_units", _units(text_column))
+    sums = rows.groupBy("mix_source", "mix_range").agg(F.sum("mix_units").alias("mix_before"))
+    earlier = Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("mix_before", F.coalesce(F.sum("mix_before").over(earlier), F.lit(0)))
+    inside = Window.partitionBy("mix_source", "mix_range").orderBy("mix_order", F.xxhash64(text_column)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(sums, ["mix_source", "mix_range"])
+    rows = rows.withColumn("mix_before", F.col("mix_before") + F.coalesce(F.sum("mix_units").over(inside), F.lit(0)))
+    return rows.withColumn("mix_block", F.expr(f"mix_before div {block_units}L")).drop("mix_range", "mix_units", "mix_before")
+
+
 def mix(
     df: DataFrame, weights: Mapping[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text",
     block_units: int = BLOCK_UNITS, temperature: float = TEMPERATURE, frame: int = FRAME,
@@ -88,7 +107,7 @@ def mix(
     the power ``temperature``.
     """
     spark, df = df.sparkSession, df.drop(*_OWN)
-    sizes = df.groupBy(_source(source_column).alias("s")).agg(F.sum(_units(text_column)).alias("u")).limit(MAX_SOURCES + 1).collect()
+    sizes = df.groupBy(_source(source_column).alias("s")).agg(F.sum(_units(text_column)).alias("u"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     units = {row["s"]: max(1, row["u"]) for row in sizes}
@@ -97,14 +116,12 @@ def mix(
     quota = quotas(wanted, max(frame, 10 * len(units))) if units else {}
     length = sum(quota.values())
     slots = frame_slots(quota)
-    plan = [{"mix_source": s, "mix_blocks": -(-units[s] // block_units), "mix_quota": quota[s], "mix_slots": slots[s]} for s in sorted(quota)]
-    kind = "array<struct<mix_source:string,mix_blocks:bigint,mix_quota:bigint,mix_slots:array<bigint>>>"
+    plan = [{"mix_source": s, "mix_quota": quota[s], "mix_slots": slots[s]} for s in sorted(quota)]
+    kind = "array<struct<mix_source:string,mix_quota:bigint,mix_slots:array<bigint>>>"
     plans = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), kind)))
-    rows = df.withColumn("mix_source", _source(source_column))
-    rows = rows.withColumn("mix_order", F.shiftrightunsigned(F.xxhash64(F.col(id_column)), 2))
+    bits = (max((row["n"] for row in sizes), default=0) // WINDOW_ROWS).bit_length()
+    rows = in_blocks(df, bits, id_column, source_column, text_column, block_units)
     rows = rows.join(F.broadcast(plans), "mix_source", "left")  # at most MAX_SOURCES rows and 10 slots each, or one frame
-    share = F.col("mix_order").cast("decimal(38,0)") * F.col("mix_blocks").cast("decimal(19,0)") / F.lit(_HASH_RANGE).cast("decimal(19,0)")
-    rows = rows.withColumn("mix_block", F.floor(share).cast("long"))
     cycle, place = F.expr("mix_block div mix_quota"), F.expr("cast(mix_block % mix_quota as int)")
     rows = rows.withColumn("mix_slot", cycle * length + F.get("mix_slots", place))
     rows = rows.withColumn("mix_release", F.expr(f"(mix_block * {length}L) div mix_quota"))
