@@ -9,46 +9,49 @@ release time floor(j / w) and the deadline ceil((j + 1) / w), in slots of one bl
 deadline first, among released blocks, then fills every slot; at any time each source that still
 has blocks is less than one block away from its weight.
 
-Weights are rounded to whole slots of a frame; windows then repeat every frame, so the schedule of
-one frame (a bounded list made on the driver from one row per source) places block j of any source
-by arithmetic. The rows themselves see one small aggregate and one range shuffle. A source that
-has run dry leaves its slots empty and the others go on in the same proportions.
+Weights are taken as the exact fractions that they are, so windows are exact over any length. The
+schedule is made on the driver from one row per source, one step per block (a block is 200 thousand
+characters, so this is little), and joined to the rows by source and block. A source that has run
+dry leaves its slots empty and the others go on in the same proportions.
 
 Defined results: a null source counts as the empty one; a null text has no characters but still
-takes its place; null ids are ordered by a hash of the text.
+takes its place; null ids are ordered by a hash of the text. A source of
+weight zero is never dealt: its rows have null slots, and ``ordered`` leaves them out.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from math import gcd, lcm
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters of a block on average; the exponent that flattens the sources' shares into weights.
 BLOCK_UNITS = 200_000
 TEMPERATURE = 0.5
-#: Slots of a frame, unless more sources need more; sources beyond the bound are refused.
+#: Kept for callers: weights are not rounded to a frame any more; sources beyond the bound are refused.
 FRAME = 1000
 MAX_SOURCES = 10_000
 #: Rows of the largest source in a window, on average; bits of the order inside a source.
 WINDOW_ROWS = 10_000
 _HASH_BITS = 62
 _MADE = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_order")
-_OWN = (*_MADE, "mix_source", "mix_range", "mix_units", "mix_before", "mix_quota", "mix_slots")
+_OWN = (*_MADE, "mix_source", "mix_range", "mix_units", "mix_before")
 
 
-def quotas(weights: Mapping[str, float], frame: int) -> dict[str, int]:
-    """Whole slots of a frame by largest remainder; every source gets one at least."""
-    total = sum(weights.values())
-    spare = frame - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    got = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: frame - sum(got.values())]:
-        got[s] += 1
-    return got
+def quotas(weights: Mapping[str, float], frame: int = FRAME) -> dict[str, int]:
+    """The weights as whole numbers in exactly their proportions, so ``frame`` (a length to round to) is of no effect."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("weights cannot be negative")
+    whole = lcm(*(w.denominator for w in exact.values()))
+    got = {s: int(w * whole) for s, w in exact.items()}
+    common = gcd(*got.values()) or 1
+    return {s: n // common for s, n in got.items()}
 
 
 def window(block: int, quota: int, frame: int) -> tuple[int, int]:
@@ -56,21 +59,31 @@ def window(block: int, quota: int, frame: int) -> tuple[int, int]:
     return block * frame // quota, -(-(block + 1) * frame // quota)
 
 
-def frame_slots(quota: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slot of each source's blocks within a frame, by earliest deadline among released blocks."""
+def schedule(quota: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of each source's blocks, by earliest deadline among released blocks."""
     frame = sum(quota.values())
-    waiting = [(0, s, 0) for s in sorted(quota)]  # (release, source, block)
+    waiting = [(0, s, 0) for s in sorted(blocks) if blocks[s] and quota[s]]  # (release, source, block)
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in quota}
-    for slot in range(frame):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, s, block = heapq.heappop(waiting)
             heapq.heappush(ready, (window(block, quota[s], frame)[1], release, s, block))
-        _, _, s, block = heapq.heappop(ready)
-        slots[s].append(slot)
-        if block + 1 < quota[s]:
+        deadline, release, s, block = heapq.heappop(ready)
+        yield s, block, slot, release, deadline
+        if block + 1 < blocks[s]:
             heapq.heappush(waiting, (window(block + 1, quota[s], frame)[0], s, block + 1))
+        slot += 1
+
+
+def frame_slots(quota: Mapping[str, int]) -> dict[str, list[int]]:
+    """The slot of each source's blocks within a frame of all quotas."""
+    slots: dict[str, list[int]] = {s: [] for s in quota}
+    for s, _, slot, _, _ in schedule(quota, quota):
+        slots[s].append(slot)
     return slots
 
 
@@ -97,6 +110,14 @@ def in_blocks(df: DataFrame, bits: int, id_column: str, source_column: str, text
     return rows.withColumn("mix_block", F.expr(f"mix_before div {block_units}L")).drop("mix_range", "mix_units", "mix_before")
 
 
+def planned(spark: SparkSession, steps: Iterator[tuple[str, int, int, int, int]]) -> DataFrame:
+    """The schedule as rows, one per block."""
+    names = ("mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline")
+    kinds = (pa.string(), *[pa.int64()] * 4)
+    columns = list(zip(*steps, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names))
+
+
 def mix(
     df: DataFrame, weights: Mapping[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text",
     block_units: int = BLOCK_UNITS, temperature: float = TEMPERATURE, frame: int = FRAME,
@@ -110,28 +131,21 @@ def mix(
     sizes = df.groupBy(_source(source_column).alias("s")).agg(F.sum(_units(text_column)).alias("u"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    units = {row["s"]: max(1, row["u"]) for row in sizes}
+    units = {row["s"]: row["u"] for row in sizes}
     total = sum(units.values()) or 1
-    wanted = {s: (weights or {}).get(s) or (u / total) ** temperature for s, u in units.items()}
-    quota = quotas(wanted, max(frame, 10 * len(units))) if units else {}
-    length = sum(quota.values())
-    slots = frame_slots(quota)
-    plan = [{"mix_source": s, "mix_quota": quota[s], "mix_slots": slots[s]} for s in sorted(quota)]
-    kind = "array<struct<mix_source:string,mix_quota:bigint,mix_slots:array<bigint>>>"
-    plans = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), kind)))
+    given = weights or {}
+    wanted = {s: given[s] if s in given else (max(1, u) / total) ** temperature for s, u in units.items()}
+    blocks = {s: u // block_units + 1 for s, u in units.items()}
+    plans = planned(spark, schedule(quotas(wanted, frame), blocks) if units else iter(()))
     bits = (max((row["n"] for row in sizes), default=0) // WINDOW_ROWS).bit_length()
     rows = in_blocks(df, bits, id_column, source_column, text_column, block_units)
-    rows = rows.join(F.broadcast(plans), "mix_source", "left")  # at most MAX_SOURCES rows and 10 slots each, or one frame
-    cycle, place = F.expr("mix_block div mix_quota"), F.expr("cast(mix_block % mix_quota as int)")
-    rows = rows.withColumn("mix_slot", cycle * length + F.get("mix_slots", place))
-    rows = rows.withColumn("mix_release", F.expr(f"(mix_block * {length}L) div mix_quota"))
-    rows = rows.withColumn("mix_deadline", F.expr(f"((mix_block + 1) * {length}L + mix_quota - 1) div mix_quota"))
+    rows = rows.join(plans, ["mix_source", "mix_block"], "left")
     return rows.select(*df.columns, *_MADE)
 
 
 def ordered(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows in mixed order: range-partitioned and sorted by slot, then by the order inside a block."""
-    return mixed.repartitionByRange("mix_slot", "mix_order").sortWithinPartitions("mix_slot", "mix_order", id_column)
+    """The dealt rows in mixed order: range-partitioned and sorted by slot, then by the order inside a block."""
+    return mixed.filter("mix_slot is not null").repartitionByRange("mix_slot", "mix_order").sortWithinPartitions("mix_slot", "mix_order", id_column)
 
 
 def digest(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -49,3 +49,26 @@ def test_characters_stay_near_the_weights(spark, monkeypatch, window_rows):
     assert longest > 10 * block and most < 2 * block + longest
     most, longest = most_deviation(mixing.mix(docs.filter(F.length("text") < block), weights, block_units=block), weights, block)
     assert most < 2 * block + longest
+
+
+def test_schedule_follows_the_wanted_weights():
+    for weights in ({"hot": 0.5, **{f"s{n}": 0.5 / 99 for n in range(99)}}, {"a": 0.9995, "b": 0.0005}, {"a": 0.1, "b": 0.2, "c": 0.7}):
+        total = sum(weights.values())
+        done = dict.fromkeys(weights, 0)
+        for s, block, slot, release, deadline in mixing.schedule(mixing.quotas(weights), {s: int(6000 * w / total) + 1 for s, w in weights.items()}):
+            assert release <= slot < deadline and block == done[s]
+            assert abs(done[s] - slot * weights[s] / total) < 1 + 1e-6
+            done[s] += 1
+            assert abs(done[s] - (slot + 1) * weights[s] / total) < 1 + 1e-6
+        assert all(n == int(6000 * weights[s] / total) + 1 for s, n in done.items())
+
+
+def test_given_weights_are_kept_zero_included(spark):
+    docs = made_docs(spark, 900, "abc")
+    mixed = mixing.mix(docs, {"a": 0.9995, "b": 0.0005, "c": 0.0}, block_units=500).cache()
+    assert mixed.count() == 900 and mixed.filter("(mix_slot is null) != (source = 'c')").count() == 0
+    ordered = mixing.ordered(mixed)
+    assert ordered.count() == 600 and ordered.filter("source = 'c'").count() == 0
+    assert mixed.filter("source = 'b' and mix_block = 1").select("mix_release").first()[0] in (None, 2000) and mixed.filter("source = 'b' and mix_block > 1 and mix_release < 2000 * mix_block - 1").count() == 0
+    with pytest.raises(ValueError):
+        mixing.quotas({"a": 1.0, "b": -1.0})
