@@ -43,7 +43,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _OUTER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|comments?|disqus|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|"
     r"related|recommended|share|sharing|social|breadcrumbs?|menu|nav|navbar|navigation|footer|foot|masthead|topbar|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
-_PIECES = re.compile(r"(<!--.*?(?:-->|$)|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*>)", re.S)
+#: A quoted value starts after "=" and ends before a space, "/" or ">"; any other quote is stray, and the tag ends at its first ">".
+_PIECE = re.compile(r"<!--.*?(?:-->|$)|<[a-zA-Z/!?](?:=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>])|[^>])*+>|<[a-zA-Z/!?][^>]*>", re.S)
+#: Where the content of elements ends that holds no tags: at their own closing tag and nowhere else.
+_ENDS = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in ("script", "style", "textarea", "title", "iframe")}
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -51,15 +54,28 @@ _HIDDEN = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*
 Token = tuple[str, str, bool]  # kind or tag name, text, whether in the article by markup
 
 
+def pieces(page: str) -> Iterator[tuple[str, str]]:
+    """Each text with the tag or comment after it. Scripts and the like are one piece from opening to closing tag."""
+    at = 0
+    while found := _PIECE.search(page, at):
+        text, piece, at = page[at : found.start()], found[0], found.end()
+        tag = _TAG.match(piece)
+        end = _ENDS.get(tag[2].lower()) if tag and not tag[1] and not piece.endswith("/>") else None
+        if end:
+            close = end.search(page, at)
+            at = close.end() if close else len(page)
+            piece = ""
+        yield text, piece
+    yield page[at:], ""
+
+
 def tokens(page: str) -> Iterator[Token]:
     """Text and tags in page order. Texts are of kind WORD, LINK_WORD or OUTER_WORD."""
     raw = outer = ""  # the element that is being left out, and how deep it is nested in itself
     depth = link = article = 0
-    for n, piece in enumerate(_PIECES.split(page)):
-        if n % 2 == 0:
-            if piece and not raw:
-                yield OUTER_WORD if outer else LINK_WORD if link else WORD, piece, article > 0 and not outer
-            continue
+    for text, piece in pieces(page):
+        if text and not raw:
+            yield OUTER_WORD if outer else LINK_WORD if link else WORD, text, article > 0 and not outer
         found = _TAG.match(piece)
         if not found:
             continue
