@@ -16,7 +16,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), ordinary=False)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def write_blocks(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     id_type = kept.schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.tokenizer(path), np.array([end_id], "<u2")
+        encoder, end = tokens.tokenizer(path, ordinary=True), np.array([end_id], "<u2")
         file, block, ordinal = TaskContext.get().partitionId() << 32, 0, 0
         rest = np.empty(0, "<u2")
         schema = None

@@ -6,6 +6,9 @@ one after another. Pieces repeat far more than texts do, so most of a text is di
 and one gather. A text with other white space (two spaces in a row, tabs and so on) is handed to
 the tokenizer whole. New pieces are encoded from the rank file that lies beside the tokenizer's
 file, if there is one, as that costs less a call. Ids are equal either way; the tests compare them.
+
+The strings of special tokens in a text are ordinary text if ``ordinary`` is set; else they are the
+special tokens, as in a tokenizer with nothing set, and texts that hold one are handed over whole.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 #: Cached pieces of a worker; beyond it the cache starts anew, which changes only the speed.
 CACHE_PIECES = 400_000
 _START = "\x01"
-_by_path: dict[str, PieceTokenizer] = {}
+_by_path: dict[tuple[str, bool], PieceTokenizer] = {}
 
 
 def default_path() -> str:
@@ -28,11 +31,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenizer(path: str) -> PieceTokenizer:
-    """One per worker process and path."""
-    if path not in _by_path:
-        _by_path[path] = PieceTokenizer(path)
-    return _by_path[path]
+def tokenizer(path: str, ordinary: bool = True) -> PieceTokenizer:
+    """One per worker process, path and reading of special tokens' strings."""
+    if (path, ordinary) not in _by_path:
+        _by_path[path, ordinary] = PieceTokenizer(path, ordinary)
+    return _by_path[path, ordinary]
 
 
 class _Numbers(dict):
@@ -44,12 +47,13 @@ class _Numbers(dict):
 
 
 class PieceTokenizer:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ordinary: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = ordinary
+        self.special = [] if ordinary else [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.piece = self._ranked(f"{path.removesuffix('.json')}.tiktoken")
         self._clear()
 
@@ -115,7 +119,7 @@ class PieceTokenizer:
         plain = np.ones(len(texts), bool)
         for n, text in enumerate(texts):
             if text:
-                if _START in text:
+                if _START in text or any(s in text for s in self.special):
                     plain[n] = False
                 else:
                     pieces += (_START + (text.replace("\n", f" \n {_START}") if "\n" in text else text)).split(" ")
