@@ -8,8 +8,8 @@ Candidates: 32 bands of five minima each. A pair of similarity s shares no band
 
 Confirmation: a bucket of up to ``SMALL`` sets proposes all its pairs. A larger one proposes one
 pivot against all others, then, once what was confirmed is connected, the members outside of its
-largest component against all others, ``SMALL`` a round, until it is of one component. So no
-candidate is dropped, and a large group of near copies costs rows in proportion to its size. Spark
+largest component against all others, ``PIVOTS`` a round, until it is of one component. Pairs whose
+sizes alone rule out the similarity are not proposed. So no candidate is dropped, and a large group of near copies costs rows in proportion to its size. Spark
 intersects the whole sets of every proposed pair.
 
 Defined results: texts without words have the empty set and are copies of each other. Rows with a
@@ -31,7 +31,7 @@ from lodestrata.llm.simhash import SEED, components
 WORDS = 5
 LEAST = 0.8
 BANDS, MINIMA = 32, 5
-SMALL = 16
+SMALL, PIVOTS = 4, 256
 #: Shingles multiplied by all factors at once.
 SHINGLES_AT_ONCE = 1 << 12
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -72,17 +72,17 @@ def bands(own: np.ndarray) -> list[int]:
 
 
 def signed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, th, key, bands) of every row; th is a hash of the text as it stands."""
+    """(id, th, key, n, bands) of every row; th is a hash of the text as it stands, n the size of its set."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text) for text in batch.column(2).to_pylist()]
-            made = [pa.array(map(key_of, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["id", "th", "key", "bands"])
+            made = [pa.array(map(key_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["id", "th", "key", "n", "bands"])
 
     rows = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).cast("binary").alias("__text"))
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, th long, key long, bands array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, th long, key long, n long, bands array<long>")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -98,35 +98,36 @@ def _sets(df: DataFrame, wanted: DataFrame, id_column: str, text_column: str) ->
     return rows.join(wanted, ["id", "th"], "left_semi").select("__text").mapInArrow(run, "key long, shingles array<long>")
 
 
-def bucket_pairs(keys: np.ndarray, classes: np.ndarray, first: bool, small: int = SMALL) -> tuple[list[tuple[int, int]], list[int]]:
+def bucket_pairs(keys: np.ndarray, classes: np.ndarray, sizes: np.ndarray, first: bool, least: float = LEAST) -> tuple[list[tuple[int, int]], list[int]]:
     """Pairs (greater, less) that a bucket proposes, and its keys that have then met all others. ``keys`` are sorted."""
-    kinds, of, sizes = np.unique(classes, return_inverse=True, return_counts=True)
+    kinds, of, many = np.unique(classes, return_inverse=True, return_counts=True)
     if len(kinds) < 2:
         return [], keys.tolist()
-    if len(keys) <= small:
+    if len(keys) <= SMALL:
         pivots = range(len(keys))
     else:
-        pivots = [0] if first else np.flatnonzero(of != sizes.argmax())[:small].tolist()
+        pivots = [0] if first else np.flatnonzero(of != many.argmax())[:PIVOTS].tolist()
     pairs, met = [], np.zeros(len(keys), bool)
     for p in pivots:
         met[p] = True
-        for other in np.flatnonzero(~met & (of != of[p])).tolist():
+        alike = np.minimum(sizes, sizes[p]) >= least * np.maximum(sizes, sizes[p]) - 1e-9
+        for other in np.flatnonzero(~met & (of != of[p]) & alike).tolist():
             pairs.append((int(max(keys[p], keys[other])), int(min(keys[p], keys[other]))))
     return pairs, keys[met].tolist()
 
 
-def _propose(rows: DataFrame, first: bool) -> DataFrame:
-    """From (bucket, key, class) the pairs (bucket null, a, b) and what is done with as (bucket, a, b null)."""
-    rows = rows.select("bucket", "key", "class").repartition("bucket").sortWithinPartitions("bucket", "key")
+def _propose(rows: DataFrame, first: bool, least: float) -> DataFrame:
+    """From (bucket, key, class, n) the pairs (bucket null, a, b) and what is done with as (bucket, a, b null)."""
+    rows = rows.select("bucket", "key", "class", "n").repartition("bucket").sortWithinPartitions("bucket", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 4
 
-        def found(bucket: np.ndarray, key: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        def found(bucket: np.ndarray, key: np.ndarray, kind: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
             where, left, right = [], [], []
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                pairs, met = bucket_pairs(key[a:z], kind[a:z], first)
+                pairs, met = bucket_pairs(key[a:z], kind[a:z], size[a:z], first, least)
                 if len(met) == z - a:
                     met = []  # a bucket that is done with is known by leaving no other trace
                     where.append(int(bucket[a])), left.append(None), right.append(None)
@@ -151,32 +152,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFr
     one, two = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     size = F.size(F.array_intersect("x", "y"))
     both = pairs.join(one, "a").withColumn("nx", F.size("x")).join(two, "b").withColumn("ny", F.size("y"))
-    both = both.filter((F.least("nx", "ny") >= least * F.greatest("nx", "ny") - 1e-9))  # no pair of such sizes can be as similar
     return both.filter(size >= least * (F.col("nx") + F.col("ny") - size) - 1e-9).select("a", "b").distinct()
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:
     """(id, th, key, class) of every row: the class is the least key reachable by links."""
     rows = checkpoint(signed(df, id_column, text_column))
-    distinct = rows.filter("id is not null").groupBy("key", "bands").agg(F.min(F.struct("id", "th")).alias("r"))
-    buckets = distinct.select("key", "r", F.explode("bands").alias("bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    left = checkpoint(buckets.join(crowded, "bucket").select("bucket", "key", "r.id", "r.th"))
+    distinct = rows.filter("id is not null").groupBy("key", "n", "bands").agg(F.min(F.struct("id", "th")).alias("r"))
+    buckets = distinct.select("key", "n", "r", F.explode("bands").alias("bucket"))
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1").select("bucket")
+    left = checkpoint(buckets.join(crowded, "bucket").select("bucket", "key", "n", "r.id", "r.th"))
     sets = checkpoint(_sets(df, left.select("id", "th").distinct(), id_column, text_column))
-    left, links, found, first = left.select("bucket", "key"), None, None, True
+    left, found, first = left.select("bucket", "key", "n"), None, True
     while True:
         known = left.withColumn("class", F.col("key")) if first else left.join(found, "key", "left")
-        told = checkpoint(_propose(known.withColumn("class", F.coalesce("class", "key")), first))
+        told = checkpoint(_propose(known.withColumn("class", F.coalesce("class", "key")), first, least))
         pairs = told.filter("b is not null").select("a", "b").distinct()
         new = checkpoint(confirmed(pairs, sets, least))
-        links = new if links is None else links.unionByName(new)
-        found = components(links).select(F.col("node").alias("key"), F.col("component").alias("class"))
+        links = new if first else new.unionByName(found.filter("key > class").select(F.col("key").alias("a"), F.col("class").alias("b")))
+        if first or not new.isEmpty():
+            found = checkpoint(components(links).select(F.col("node").alias("key"), F.col("component").alias("class")))
         done = told.filter("b is null and a is null").select("bucket")
         left = left.join(done, "bucket", "left_anti").join(told.filter("b is null and a is not null").select("bucket", F.col("a").alias("key")), ["bucket", "key"], "left_anti")
         left, first = checkpoint(left), False
         if left.isEmpty():
             break
-    return rows.drop("bands").join(found, "key", "left").select("id", "th", "key", F.coalesce("class", "key").alias("class"))
+    return rows.select("id", "th", "key").join(found, "key", "left").select("id", "th", "key", F.coalesce("class", "key").alias("class"))
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:

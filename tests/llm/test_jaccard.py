@@ -75,9 +75,9 @@ def test_large_buckets_propose_every_pair_of_classes():
     import numpy as np
 
     keys, kinds = np.arange(40), np.repeat([0, 1, 2], [30, 6, 4])
-    pairs, met = jaccard.bucket_pairs(keys, kinds, False)
+    pairs, met = jaccard.bucket_pairs(keys, kinds, np.full(40, 100), False)
     assert {frozenset(p) for p in pairs} == {frozenset((a, b)) for a in range(40) for b in range(40) if kinds[a] != kinds[b]} and met == list(range(30, 40))
-    assert len(jaccard.bucket_pairs(keys, keys, True)[0]) == 39
+    assert len(jaccard.bucket_pairs(keys, keys, np.full(40, 100), True)[0]) == 39
 
 
 def test_rows_with_one_id_and_two_texts(spark):
