@@ -33,9 +33,8 @@ from pyspark.sql import functions as F
 #: Characters of a block on average; the exponent that flattens the sources' shares into weights.
 BLOCK_UNITS = 200_000
 TEMPERATURE = 0.5
-#: Kept for callers: weights are not rounded to a frame any more; sources beyond the bound are refused.
+#: Kept for callers: weights are not rounded to a frame any more.
 FRAME = 1000
-MAX_SOURCES = 10_000
 #: Rows of the largest source in a window, on average; bits of the order inside a source.
 WINDOW_ROWS = 10_000
 _HASH_BITS = 62
@@ -128,9 +127,7 @@ def mix(
     the power ``temperature``.
     """
     spark, df = df.sparkSession, df.drop(*_OWN)
-    sizes = df.groupBy(_source(source_column).alias("s")).agg(F.sum(_units(text_column)).alias("u"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
+    sizes = df.groupBy(_source(source_column).alias("s")).agg(F.sum(_units(text_column)).alias("u"), F.count("*").alias("n")).collect()
     units = {row["s"]: row["u"] for row in sizes}
     total = sum(units.values()) or 1
     given = weights or {}

@@ -72,3 +72,10 @@ def test_given_weights_are_kept_zero_included(spark):
     assert mixed.filter("source = 'b' and mix_block = 1").select("mix_release").first()[0] in (None, 2000) and mixed.filter("source = 'b' and mix_block > 1 and mix_release < 2000 * mix_block - 1").count() == 0
     with pytest.raises(ValueError):
         mixing.quotas({"a": 1.0, "b": -1.0})
+
+
+def test_many_sources_are_not_refused(spark):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id") % 12_000).alias("source"), F.lit("some text").alias("text"))
+    placed = mixing.mix(docs).select("source", "mix_block", "mix_slot", "mix_release", "mix_deadline").distinct().collect()
+    assert len(placed) == len({r["mix_slot"] for r in placed}) == 12_000
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in placed)
