@@ -7,8 +7,9 @@ fingerprints, so exact copies cost one row.
 Candidates: the 64 bits are cut into five blocks; fingerprints within three bits agree on at least
 two of them, so ten tables of two blocks each bring every linked pair together in some bucket. A
 bucket of more than ``HOT_BUCKET`` fingerprints is split again: its members agree on two blocks, so
-the other bits are cut into four parts of which a linked pair agrees on at least one. No bucket is
-capped.
+the other bits are cut into four parts of which a linked pair agrees on at least one. That goes on
+until no bucket is hot or its members agree on ``SPLIT_BITS`` bits, which bounds a bucket by the
+distinct fingerprints of the bits left open (2^18). No bucket is capped.
 
 Comparison: a bucket's fingerprints are stored vertically in blocks of 64, one word a bit plane. A
 fingerprint meets a block plane by plane; carry-save counters hold all 64 distances at once, and a
@@ -34,6 +35,7 @@ SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
 HOT_BUCKET = 4096
+SPLIT_BITS = 46
 #: Shingles whose bits are unpacked at once, and (fingerprint, block) pairs compared at once.
 SHINGLES_AT_ONCE = 1 << 15
 PAIRS_AT_ONCE = 1 << 16
@@ -124,6 +126,50 @@ def within(planes: np.ndarray, blocks: np.ndarray, prints: np.ndarray, lanes: np
     return hits
 
 
+def wide_planes(prints: np.ndarray) -> np.ndarray:
+    """(64 * words, blocks) of fingerprints (rows, words): 64 rows in a row are a block, the last one padded with zeros."""
+    rows, words = prints.shape
+    padded = np.zeros((-(-rows // 64), 64, words), np.uint64)
+    padded.reshape(-1, words)[:rows] = prints
+    return np.concatenate([bit_planes(padded[:, :, w]) for w in range(words)])
+
+
+def within_wide(planes: np.ndarray, blocks: np.ndarray, prints: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
+    """``within`` for fingerprints (rows, words) of several words and any radius below 128.
+
+    Eight planes at a time go through a tree of carry-save adders into ones, twos and fours, and
+    what is carried out of them into counters of eights. The counters start at 127 - radius, so a
+    lane is beyond the radius when a carry leaves the highest of them.
+    """
+    hits, alive = np.zeros(len(blocks), np.uint64), np.arange(len(blocks))
+    start = [np.full(len(blocks), _ALL if (127 - radius) >> bit & 1 else 0, np.uint64) for bit in range(7)]
+    ones, twos, fours, eights = *start[:3], start[3:]
+    over = np.zeros(len(blocks), np.uint64)
+
+    def add(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        half = x ^ y
+        return half ^ z, (x & y) | (half & z)
+
+    for at in range(0, len(planes), 8):
+        d = [planes[j][blocks] ^ (np.uint64(0) - ((prints[:, j // 64] >> np.uint64(j % 64)) & _ONE)) for j in range(at, at + 8)]
+        carried = []
+        for a, b in ((d[0], d[1]), (d[2], d[3]), (d[4], d[5]), (d[6], d[7])):
+            ones, carry = add(ones, a, b)
+            carried.append(carry)
+        twos, four_a = add(twos, carried[0], carried[1])
+        twos, four_b = add(twos, carried[2], carried[3])
+        fours, carry = add(fours, four_a, four_b)
+        for bit in range(4):
+            eights[bit], carry = eights[bit] ^ carry, eights[bit] & carry
+        over |= carry
+        keep = np.flatnonzero((over & lanes) != lanes)
+        if len(keep) < 0.75 * len(alive):  # abandon blocks whose lanes are all beyond the radius
+            alive, blocks, prints, lanes, ones, twos, fours, over = (x[keep] for x in (alive, blocks, prints, lanes, ones, twos, fours, over))
+            eights = [x[keep] for x in eights]
+    hits[alive] = ~over & lanes
+    return hits
+
+
 def bucket_links(buckets: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Rows sorted by bucket: for each row the least row that it is connected to inside its bucket."""
     n = len(buckets)
@@ -170,29 +216,49 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def table_masks(radius: int = RADIUS) -> tuple[list[int], list[list[int]]]:
-    """Masks of the tables, and for each table the masks that split a hot bucket."""
+def table_masks(radius: int = RADIUS) -> list[int]:
+    """Masks of the tables."""
     parts = _blocks(list(range(64)), radius + 2)
-    tables = [a | b for i, a in enumerate(parts) for b in parts[i + 1 :]]
-    return tables, [_blocks([b for b in range(64) if not t >> b & 1], radius + 1) for t in tables]
+    return [a | b for i, a in enumerate(parts) for b in parts[i + 1 :]]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
-    """From distinct (fp, rep) a forest (a, b) of rep pairs, a > b, that connects what links connect."""
+def split_masks(agreed: list[int], radius: int = RADIUS) -> list[list[int]]:
+    """For each mask of agreed bits the masks of which a linked pair agrees on at least one more."""
+    return [_blocks([b for b in range(64) if not mask >> b & 1], radius + 1) for mask in agreed]
+
+
+def bucketed(prints: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
+    """(bucket, fp, rep): every linked pair meets in some bucket. Hot buckets are split until none is, or ``SPLIT_BITS`` bits agree."""
     from pyspark.sql import Window
 
-    tables, splits = table_masks(radius)
+    agreed = table_masks(radius)
 
     def key(number: Column, mask: Column) -> Column:
         return F.xxhash64(number, F.col("fp").bitwiseAND(mask))  # equal keys by chance only add comparisons
 
-    first = F.array(*[F.struct(F.lit(t).alias("t"), key(F.lit(t), F.lit(_signed(m)).cast("long")).alias("bucket")) for t, m in enumerate(tables)])
-    rows = prints.select("fp", "rep", F.explode(first).alias("k")).select("fp", "rep", "k.t", "k.bucket")
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1")
-    masks = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in s]) for s in splits])
-    again = F.transform(F.get(masks, F.col("t")), lambda mask: key(F.col("bucket"), mask))
-    rows = rows.withColumn("bucket", F.explode(F.when(F.col("n") > hot, again).otherwise(F.array("bucket"))))
-    rows = rows.select("bucket", "fp", "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
+    first = F.array(*[F.struct(F.lit(t).alias("t"), key(F.lit(t), F.lit(_signed(m)).cast("long")).alias("bucket")) for t, m in enumerate(agreed)])
+    rows, parts = prints.select("fp", "rep", F.explode(first).alias("k")).select("fp", "rep", "k.t", "k.bucket"), []
+    while True:
+        rows = checkpoint(rows.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1"))
+        crowded = rows.filter(F.col("n") > hot)
+        if bin(agreed[0]).count("1") >= SPLIT_BITS or crowded.isEmpty():
+            parts.append(rows)
+            break
+        parts.append(rows.filter(F.col("n") <= hot))
+        splits = split_masks(agreed, radius)
+        masks = F.array(*[F.array(*[F.lit(_signed(m)).cast("long") for m in s]) for s in splits])
+        again = F.posexplode(F.transform(F.get(masks, F.col("t")), lambda mask: key(F.col("bucket"), mask))).alias("part", "b")
+        rows = crowded.select("fp", "rep", "t", "bucket", again).select("fp", "rep", (F.col("t") * (radius + 1) + F.col("part")).alias("t"), F.col("b").alias("bucket"))
+        agreed = [mask | more for mask, own in zip(agreed, splits, strict=True) for more in own]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("bucket", "fp", "rep")
+
+
+def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT_BUCKET) -> DataFrame:
+    """From distinct (fp, rep) a forest (a, b) of rep pairs, a > b, that connects what links connect."""
+    rows = bucketed(prints, radius, hot).repartition("bucket").sortWithinPartitions("bucket", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3
@@ -252,12 +318,6 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return joined.select(id_column, "fp", F.when(F.col(id_column).isNotNull(), F.col("component")).alias("component"))
 
 
-def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df whose id is the least of its group; rows with a null id all stay."""
-    gone = near_duplicates(df, id_column, text_column, radius).filter(F.col("component") < F.col(id_column))
-    return df.join(gone.select(id_column), id_column, "left_anti").select(*df.columns)
-
-
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The result columns of the registered query, from ``near_duplicates``."""
     return found.select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -6,7 +6,11 @@ import random
 import string
 
 import corpus_pipeline
-from lodestrata.llm import jaccard
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrata.llm import nearcopies, simhash
 
 
 def slow_shingles(text):
@@ -72,15 +76,55 @@ def test_stage_on_documents(spark, sf):
 
 
 def test_large_buckets_propose_every_pair_of_classes():
-    import numpy as np
-
-    keys, kinds = np.arange(40), np.repeat([0, 1, 2], [30, 6, 4])
-    pairs, met = jaccard.bucket_pairs(keys, kinds, np.full(40, 100), False)
-    assert {frozenset(p) for p in pairs} == {frozenset((a, b)) for a in range(40) for b in range(40) if kinds[a] != kinds[b]} and met == list(range(30, 40))
-    assert len(jaccard.bucket_pairs(keys, keys, np.full(40, 100), True)[0]) == 39
+    keys, kinds = np.arange(140), np.repeat([0, 1, 2], [100, 30, 10])
+    rng = np.random.default_rng(4)
+    prints = np.repeat(rng.integers(0, 1 << 63, (1, 4), np.uint64), 140, axis=0)
+    prints[:, 1] ^= np.uint64(1) << rng.integers(0, 64, 140, np.uint64)
+    none, bucket, sizes = np.zeros(140, np.int64), np.zeros(140, np.int64), np.full(140, 100)
+    a, b, _, met = nearcopies.bucket_pairs(bucket, keys, kinds, none, sizes, prints, False)
+    assert {(x, y) for x, y in zip(a.tolist(), b.tolist())} == {(x, y) for x in range(140) for y in range(x) if kinds[x] != kinds[y]}
+    assert met.tolist() == list(range(100, 140))
+    a, b, _, met = nearcopies.bucket_pairs(bucket, keys, keys, none, sizes, prints, True)
+    assert sorted(a.tolist()) == list(range(1, 140)) and set(b.tolist()) == {0} and not len(met)
+
+
+def test_wide_distances():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (130, 4), np.uint64)
+    for row in range(1, 130):  # from equal to far away
+        bits = rng.choice(256, min(256, 2 * row), replace=False)
+        base[row] = base[0]
+        for bit in bits:
+            base[row, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    planes, blocks = simhash.wide_planes(base), np.arange(3)
+    lanes = np.array([0xFFFFFFFFFFFFFFFF, 0xFFFFFFFFFFFFFFFF, 3], np.uint64)
+    for radius in (0, 3, 67, 127):
+        hits = simhash.within_wide(planes, blocks, np.repeat(base[:1], 3, axis=0), lanes, radius)
+        got = np.flatnonzero(np.unpackbits(hits.view(np.uint8), bitorder="little")).tolist()
+        assert got == [row for row in range(130) if np.bitwise_count(base[row] ^ base[0]).sum() <= radius]
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 8])
+def test_hot_buckets_in_chunks_lose_no_link(spark, hot):
+    rows = made_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in nearcopies.classes(docs, hot=hot).collect():
+        got.setdefault(r["class"], []).append(r["id"])
+    assert {min(ids) for ids in got.values()} == slow_kept(rows)[0]
 
 
 def test_rows_with_one_id_and_two_texts(spark):
     rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (2, "quite another text of a few words")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {rows[0], rows[2]}
+
+
+def test_awkward_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (2, None), (3, ""), (None, text), (4, "x " * 60_000), (5, "x  " * 60_000), (6, " \t")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"key": F.lit(1), "class": F.lit(2), "th": F.lit(3), "bucket": F.lit(4)})
+    got = sorted(((r["doc_id"], (r["text"] or "")[:9]) for r in nearcopies.deduplicate(docs).collect()), key=repr)
+    assert got == sorted([(1, text[:9]), (1, text[:9]), (2, ""), (None, text[:9]), (4, "x x x x x")], key=repr)
+    assert nearcopies.deduplicate(docs).columns == docs.columns and nearcopies.deduplicate(docs.limit(0)).count() == 0
