@@ -6,7 +6,7 @@ and read again as the next one's input, so a lost executor costs at most the sta
 ``language`` drops documents without a determined language (null texts, texts without letters) or
 with a pooled probability below ``LEAST_SCORE``, and fills in null languages. ``near_duplicates``
 keeps the least doc_id of each group of texts linked by a Jaccard similarity of 0.8 or more of their
-five-word shingles. ``personal_data`` replaces every found span by its kind and sets n_chars anew.
+five-word shingles, which bit-sliced comparison of SimHash fingerprints proposes. ``personal_data`` replaces every found span by its kind and sets n_chars anew.
 ``mixing`` puts the documents in mixed order. ``packing`` returns the pieces of sequences of 2048
 tokens.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import jaccard, langid, mixing, packing, pii
+from lodestrata.llm import langid, mixing, nearcopies, packing, pii
 from lodestrata.llm.common import DOCUMENT_COLUMNS, shared_path, table
 
 #: Documents in two or three languages score about a half; noise without a language scores less.
@@ -34,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.deduplicate(docs.select(*DOCUMENT_COLUMNS))
+    return nearcopies.deduplicate(docs.select(*DOCUMENT_COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
