@@ -47,23 +47,41 @@ SMALL_BUCKET, PIVOTS, HOT_BUCKET = 4, 256, 1 << 16
 #: Shingles multiplied by all factors at once, and (fingerprint, block) pairs compared at once.
 SHINGLES_AT_ONCE = 1 << 12
 PAIRS_AT_ONCE = 1 << 14
+CACHED_WORDS = 1 << 19
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA + FINGERPRINT_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LEAST_FACTORS, _BIT_FACTORS = _FACTORS[: BANDS * MINIMA, None], _FACTORS[None, BANDS * MINIMA :]
+_WORD_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _PRINTS = [f"p{k}" for k in range(FINGERPRINT_WORDS)]
 
 
+class _WordHashes(dict):
+    """A hash of every word met so far; it starts anew beyond ``CACHED_WORDS`` words."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = number = xxh64_intdigest(word, SEED)
+        return number
+
+
+_hashes = _WordHashes()
+
+
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a UTF-8 text's shingles; a shorter text is one shingle."""
-    from xxhash import xxh64_intdigest
-
     parts = (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII spaces
     if not parts:
         return np.empty(0, np.uint64)
-    joined = b" ".join(parts)
-    ends = (np.cumsum([len(p) + 1 for p in parts]) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    spans = zip(starts, ends[min(words, len(ends)) - 1 :], strict=False)
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
+    own = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, len(parts))
+    size = min(words, len(own))
+    mixed = np.full(len(own) - size + 1, size, np.uint64)
+    for k in range(size):
+        mixed ^= own[k : len(own) - size + 1 + k]
+        mixed *= _WORD_FACTOR
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
 
 
 def key_of(own: np.ndarray) -> int:
