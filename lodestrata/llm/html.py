@@ -2,14 +2,23 @@
 
 A page is a row of tokens: words score positive, tags negative, and words inside menus, footers,
 adverts, forms and the like score negative too. One linear scan finds the contiguous region of the
-highest sum; its words outside such containers, joined block by block, are the main text.
+highest sum; its words of positive score, joined block by block, are the main text.
 
 Weights are log-odds of a token inside against outside the article, learned on a bounded sample of
-pages that label themselves by ``article`` or ``main`` markup; the signs are kept as above. Without
-labelled pages the weights are ``DEFAULT_WEIGHTS``.
+pages that label themselves by ``article`` or ``main`` markup; the signs of words and tags are kept
+as above. Words of class, id and role get log-odds too, from the text in such elements: a name whose words on ``LEAST_PAGES`` or more labelled pages lie outside is not of the article, and so
+are those of the prior lists below, whose words inside labelled articles are left out of the counts.
+Without labelled pages the weights are ``DEFAULT_WEIGHTS``.
+
+Pages are read as browsers do where it matters: scripts and the like end at their own closing tag,
+paragraphs, list items and table cells end where the next one begins, closing tags end what is open
+inside of them. An element left open that would hide an ``article`` or ``main`` does not; a form
+around the page (with a heading, page structure or paragraphs of text inside) is no form. Reading
+takes time linear in the page.
 
 Defined results: a null or empty page, or one without words, gives an empty text of 0 characters.
-Unclosed tags end with the page or where an article starts. Repeated rows give repeated rows.
+Unclosed tags end with the page. Repeated rows give repeated rows. Columns of ``df`` other than the
+kept ones may have any name; a kept column called text or n_chars is replaced by the result.
 """
 
 from __future__ import annotations
@@ -33,93 +42,222 @@ DEFAULT_WEIGHTS = {WORD: 1.0, LINK_WORD: 0.2, OUTER_WORD: -0.25}
 DEFAULT_TAG_WEIGHT = -0.3
 #: Bounds of the learned weights: cleanly labelled pages give log-odds that would let one advert cut an article in two.
 LEAST, MOST_WORD, MOST_TAG, MOST_OUTER = 0.01, 2.0, 1.0, 0.25
+#: A name is not of the article if its log-odds lie this far below those of all words.
+SURE = 3.0
 
 #: Elements whose content is never text, elements that are never the article, and inline elements. Fixed by HTML.
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video".split())
 OUTER = frozenset("nav aside footer form header menu dialog button select fieldset head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark a container as not of the article.
+#: Words in class, id or role that mark a container as not of the article without being seen on labelled pages.
 _OUTER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|comments?|disqus|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|"
-    r"related|recommended|share|sharing|social|breadcrumbs?|menu|nav|navbar|navigation|footer|foot|masthead|topbar|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+    r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|sidebar|comments?|disqus|repl(?:y|ies)|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|"
+    r"related|recommended|share|sharing|social|breadcrumbs?|menu|nav|navbar|navigation|footer|foot|masthead|topbar|toolbar|widget|complementary|contentinfo|search")
+_NAME_WORD = re.compile(r"[^\s_-]+")
 #: A quoted value starts after "=" and ends before a space, "/" or ">"; any other quote is stray, and the tag ends at its first ">".
-_PIECE = re.compile(r"<!--.*?(?:-->|$)|<[a-zA-Z/!?](?:=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>])|[^>])*+>|<[a-zA-Z/!?][^>]*>", re.S)
+_TAG_END = re.compile(r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|)[^>=]*+)*+>")
+_TAG_START = re.compile(r"<(?=[a-zA-Z/!?])")
 #: Where the content of elements ends that holds no tags: at their own closing tag and nowhere else.
 _ENDS = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in ("script", "style", "textarea", "title", "iframe")}
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: What ends an open paragraph; what ends its like, up to the element around them; what may stand in a head; what shows that a form is the page. Fixed by HTML.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+ENDS_LIKE = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+    "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr",), ("table",)), "p": (("p",), ("td", "th", "table", "button")),
+}
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+STRUCTURE = frozenset("article main h1 nav header footer".split())
+FORM_TEXT_WORDS, LEAST_PAGES = 25, 25
+#: How far back an open element is looked for.
+DEPTH = 256
 
 Token = tuple[str, str, bool]  # kind or tag name, text, whether in the article by markup
 
 
 def pieces(page: str) -> Iterator[tuple[str, str]]:
     """Each text with the tag or comment after it. Scripts and the like are one piece from opening to closing tag."""
-    at = 0
-    while found := _PIECE.search(page, at):
-        text, piece, at = page[at : found.start()], found[0], found.end()
-        tag = _TAG.match(piece)
-        end = _ENDS.get(tag[2].lower()) if tag and not tag[1] and not piece.endswith("/>") else None
-        if end:
-            close = end.search(page, at)
-            at = close.end() if close else len(page)
-            piece = ""
-        yield text, piece
+    at, last, quotes = 0, page.rfind(">"), True
+    while found := _TAG_START.search(page, at):
+        start = found.start()
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            end, piece = (close + 3, "") if close >= 0 else (len(page), "")
+        elif start > last:
+            break
+        else:
+            whole = _TAG_END.match(page, start) if quotes else None
+            quotes = whole is not None  # once quoted values run to the page's end, quotes are stray from there on
+            end = whole.end() if whole else page.find(">", start) + 1
+            piece = page[start:end]
+            tag = _TAG.match(piece)
+            ends = _ENDS.get(tag[2].lower()) if tag and not tag[1] and not piece.endswith("/>") else None
+            if ends:
+                close, piece = ends.search(page, end), ""
+                end = close.end() if close else len(page)
+        yield page[at:start], piece
+        at = end
     yield page[at:], ""
 
 
-def tokens(page: str) -> Iterator[Token]:
-    """Text and tags in page order. Texts are of kind WORD, LINK_WORD or OUTER_WORD."""
-    raw = outer = ""  # the element that is being left out, and how deep it is nested in itself
-    depth = link = article = 0
+class Element:
+    """An open element: its names, whether its own closing tag comes, and, for a form, whether it is the page."""
+
+    __slots__ = ("name", "names", "hidden", "closed", "page", "words", "outer", "raw")
+
+    def __init__(self, name: str, tag: str) -> None:
+        self.name, self.names, self.hidden = name, (), False
+        if " " in tag or "\n" in tag:
+            self.names = tuple(_NAME_WORD.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(tag)).lower()))
+            self.hidden = bool(_HIDDEN.search(tag))
+        self.closed = self.page = self.raw = False
+        self.words = 0
+        self.outer: Element | None = None
+
+
+Event = tuple[str, object]  # ("text", text), ("open", element), ("close", element), ("tag", name)
+
+
+def events(page: str) -> list[Event]:
+    """Texts, elements that open and close, implied ends included, and tags that open nothing or close nothing."""
+    out: list[Event] = []
+    stack: list[Element] = []
+    count: Counter[str] = Counter()
+    form: Element | None = None
+
+    def end(depth: int) -> None:
+        nonlocal form
+        while len(stack) > depth:
+            element = stack.pop()
+            count[element.name] -= 1
+            if element is form:
+                form = None
+            out.append(("close", element))
+
+    def find(names: tuple[str, ...], bounds: tuple[str, ...]) -> int | None:
+        if not any(count[n] for n in names):
+            return None
+        for depth in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
+            if stack[depth].name in names:
+                return depth
+            if stack[depth].name in bounds:
+                return None
+        return None
+
     for text, piece in pieces(page):
-        if text and not raw:
-            yield OUTER_WORD if outer else LINK_WORD if link else WORD, text, article > 0 and not outer
-        found = _TAG.match(piece)
-        if not found:
+        if text:
+            out.append(("text", text))
+            if form is not None and count["p"]:
+                form.words += len(text.split())
+        tag = _TAG.match(piece)
+        if not tag:
             continue
-        closing, name = found[1] == "/", found[2].lower()
-        if raw:
-            if closing and name == raw:
-                raw = ""
+        name = tag[2].lower()
+        if tag[1]:
+            if count[name] and (depth := find((name,), ())) is not None:
+                stack[depth].closed = True
+                end(depth)
+            out.append(("tag", name))
             continue
-        if not closing and name in RAW:
-            raw = "" if piece.endswith("/>") else name
+        if stack and stack[-1].name == "head" and name not in IN_HEAD:
+            end(len(stack) - 1)
+        if name in ENDS_P and (depth := find(*ENDS_LIKE["p"])) is not None:
+            end(depth)
+        if name in ENDS_LIKE and (depth := find(*ENDS_LIKE[name])) is not None:
+            end(depth)
+        out.append(("tag", name))
+        if name in STRUCTURE and form is not None:
+            form.page = True
+        if name in VOID or (piece.endswith("/>") and name in RAW) or (name == "form" and form is not None):
             continue
-        if name in ("article", "main"):
-            article = max(0, article + (-1 if closing else 1))
-            if not closing and outer not in ("form", "dialog"):
-                outer, depth = "", 0
-        if name == "a":
-            link = 0 if closing else 1
-        if outer:
-            if name == outer:
-                depth += -1 if closing else 1
-                if not depth:
-                    outer = ""
-        elif not closing and name not in VOID and (name in OUTER or _marked(piece)) and name not in ("body", "html", "article", "main"):
-            outer, depth = name, 1
-        yield name, "", article > 0 and not outer
-
-
-def _marked(tag: str) -> bool:
-    if " " not in tag and "\n" not in tag:
+        element = Element(name, piece)
+        if name == "form":
+            form = element
+        stack.append(element)
+        count[name] += 1
+        out.append(("open", element))
+    end(0)
+    return out
+
+
+def prior(name: str) -> bool:
+    """Whether a tag (``tag:…``) or a word of a class, id or role (``name:…``) marks what is not of the article, before labelled pages are seen."""
+    kind, _, word = name.partition(":")
+    return word in OUTER if kind == "tag" else bool(_OUTER_NAME.fullmatch(word))
+
+
+def features(element: Element) -> list[str]:
+    return [f"tag:{element.name}", *(f"name:{n}" for n in element.names), *(f"name:{a}{b}" for a, b in zip(element.names, element.names[1:], strict=False) if a + b in ("sidebar",))]
+
+
+def marked(element: Element, weights: dict[str, float]) -> bool:
+    """Whether an element is not of the article by its names' weights or by the prior."""
+    if element.name in ("body", "html", "main") or (element.name == "form" and (element.page or element.words >= FORM_TEXT_WORDS)):
         return False
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(tag))
-    return bool(names and _OUTER_NAME.search(names)) or bool(_HIDDEN.search(tag))
+    return element.hidden or any(f in weights or prior(f) for f in features(element))
+
+
+def tokens(page: str, weights: dict[str, float], seen: list[tuple[tuple[str, ...], int, bool | None]] | None = None) -> Iterator[Token]:
+    """Text and tags in page order. Texts are of kind WORD, LINK_WORD or OUTER_WORD.
+
+    ``seen`` collects, for each text, the features around it, its words, and whether it is inside the article (None: in doubt).
+    """
+    stack: list[Element] = []
+    around: Counter[str] = Counter()
+    link = article = raw = 0
+    for kind, value in events(page):
+        if kind == "text":
+            outer = stack[-1].outer if stack else None
+            if not raw:
+                yield OUTER_WORD if outer else LINK_WORD if link else WORD, value, article > 0 and outer is None
+                if seen is not None and (n := len(value.split())):
+                    seen.append((tuple(f for f, c in around.items() if c), n, article > 0 if outer is None else None if article else False))
+        elif kind == "tag":
+            if not raw:
+                yield value, "", article > 0 and not (stack and stack[-1].outer)
+        else:
+            element: Element = value
+            step = 1 if kind == "open" else -1
+            raw += step * (element.name in RAW)
+            link += step * (element.name == "a")
+            article += step * (element.name in ("article", "main"))
+            if seen is not None:
+                for f in features(element):
+                    around[f] += step
+            if kind == "open":
+                element.outer = stack[-1].outer if stack else None
+                if element.outer and (element.name == "main" or element.name == "article" and not element.outer.closed) and not element.outer.hidden:
+                    element.outer = None
+                if element.outer is None and marked(element, weights):
+                    element.outer = element
+                stack.append(element)
+            else:
+                stack.pop()
 
 
 def learn(pages: list[str]) -> dict[str, float]:
-    """Log-odds inside against outside of self-labelled articles, words kept positive and tags negative."""
+    """Log-odds inside against outside of self-labelled articles, words kept positive and tags negative, and those of names."""
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
+    names: dict[str, list[int]] = {}  # feature: pages, words inside, words outside
     for page in pages:
-        row = list(tokens(page))
+        seen: list[tuple[tuple[str, ...], int, bool | None]] = []
+        row = list(tokens(page, DEFAULT_WEIGHTS, seen))
         if not any(labelled for *_, labelled in row):
             continue
         for kind, text, labelled in row:
             (inside if labelled else outside)[kind] += len(text.split()) if kind[0] == "#" else 1
+        met = set()
+        for around, n, labelled in seen:
+            if labelled is not None:
+                for f in around:
+                    own = names.setdefault(f, [0, 0, 0])
+                    own[0] += f not in met
+                    own[1 if labelled else 2] += n
+                    met.add(f)
     if not inside or not outside:
         return dict(DEFAULT_WEIGHTS)
     kinds = set(inside) | set(outside)
@@ -129,6 +267,11 @@ def learn(pages: list[str]) -> dict[str, float]:
     weights[WORD] = max(0.5, min(odds.get(WORD, 1.0), MOST_WORD))
     weights[LINK_WORD] = max(LEAST, min(odds.get(LINK_WORD, 0.2), weights[WORD]))
     weights[OUTER_WORD] = max(-MOST_OUTER, min(-LEAST, odds.get(OUTER_WORD, -MOST_OUTER)))
+    words_in, words_out = (sum(own[n] for f, own in names.items() if f == "tag:body") + 1 for n in (1, 2))
+    for f, (n_pages, n_in, n_out) in names.items():
+        if n_pages >= LEAST_PAGES and f.startswith("name:"):  # tags alone say too little: a page's only div may be an advert
+            if (odds_of := math.log((n_in + 1) / words_in * words_out / (n_out + 1)) + SURE) < 0:
+                weights[f] = odds_of
     return weights
 
 
@@ -148,7 +291,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The article's text: references decoded, white space within a block collapsed, blocks joined by a space."""
     if not page:
         return ""
-    row = list(tokens(page))
+    row = list(tokens(page, weights))
     scores = []
     for kind, text, _ in row:
         if kind[0] == "#":
@@ -161,7 +304,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if kind[0] != "#":
             if kind not in INLINE:
                 out.append(" ")
-        elif kind != OUTER_WORD:
+        elif weights[kind] > 0:
             out.append(references.unescape(text) if "&" in text else text)
     return " ".join("".join(out).split())
 
@@ -176,6 +319,7 @@ def fit(df: DataFrame, html_column: str = "html", id_column: str = "page_id", pa
 def extract(df: DataFrame, weights: dict[str, float], html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns, ``text`` and ``n_chars``."""
     prepare(df.sparkSession)
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
