@@ -1,7 +1,7 @@
 """Operator 1: personal data. Patterns propose spans, checksums confirm them, context moves scores.
 
 Every kind has a prior score; a passed checksum (Luhn, mod-97) and a telling word shortly before
-the span add to it. Spans of the base kinds (email, ip, card, phone) that pass their own test are
+the span add to it (``CONTEXT``); secrets of a known form need neither. Spans of the base kinds (email, ip, card, phone) that pass their own test are
 always kept. The other kinds are kept at ``threshold`` or more, so for most of them a checksum or
 a context word has to agree with the pattern.
 
@@ -27,6 +27,8 @@ SPAN_TYPE = "array<struct<kind:string,start:int,end:int,score:double,base:boolea
 
 #: Score of a bare pattern match, what a checksum adds, what a context word adds.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.4, "account": 0.2, "national_id": 0.4, "secret": 0.4}
+#: Score of a secret that shows by its form.
+FORM_PRIOR = 0.8
 CHECKSUM_BONUS = 0.4
 CONTEXT_BONUS = 0.3
 CONTEXT_CHARS = 40
@@ -48,9 +50,25 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _DIGIT_RUN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NATIONAL_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-_SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "bearer")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}")
+#: Characters of an account number by country. Fixed by the public registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18,
+    "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
+    "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+_SECRET_WORDS = ("token", "secret", "passw", "api_key", "apikey", "api-key", "api key", "bearer")
 _SECRET = re.compile(r"(?:token|secret|password|passwd|api[_-]?key|bearer)[\"']?\s{0,3}[:=]?\s{0,3}[\"']?([A-Za-z0-9_+/.-]{16,})", re.I)
+_LONG = re.compile(r"(?<![A-Za-z0-9_+/.=-])[A-Za-z0-9_+/-]{20,}+=*+")
+#: Secrets that show by their own form, each with a string that stands in it.
+_FORMS = tuple((word, re.compile(pattern)) for word, pattern in (
+    ("AKIA", r"\bAKIA[0-9A-Z]{16}\b"), ("ASIA", r"\bASIA[0-9A-Z]{16}\b"), ("gh", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b"), ("github_pat_", r"\bgithub_pat_[A-Za-z0-9_]{22,255}\b"),
+    ("xox", r"\bxox[abeoprs]-[A-Za-z0-9-]{10,250}"), ("AIza", r"\bAIza[0-9A-Za-z_-]{35}"), ("_live_", r"\b[rs]k_live_[0-9A-Za-z]{16,250}\b"), ("glpat-", r"\bglpat-[0-9A-Za-z_-]{20,250}"),
+    ("eyJ", r"\beyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}"),
+    ("PRIVATE KEY-----", r"-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{0,20000}?-----END (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----"),
+))
 
 
 def luhn(digits: str) -> bool:
@@ -79,16 +97,32 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", floor)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of their country's length that pass mod-97; a failed place is tried again from the next one on."""
+    at = 0
+    while match := _IBAN.search(text, at):
+        start, at = match.start(), match.start() + 1
+        wanted, seen = IBAN_LENGTHS.get(match[0][:2], 0), 0
+        for n, c in enumerate(match[0]):
+            seen += c not in " -"
+            if seen == wanted:
+                end = start + n + 1
+                after = text[end : end + 1]
+                if not (after.isalnum() and after.isascii()) and mod97(match[0][: n + 1].replace(" ", "").replace("-", "")):
+                    yield start, end
+                    at = end
+                break
+
+
 def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float, bool]]:
     """All spans of a text as (kind, start, end, score, base), by kind as listed, then start."""
     if not text:
         return []
     found: dict[str, list[tuple[str, int, int, float, bool]]] = {kind: [] for kind in KINDS}
 
-    def add(kind: str, start: int, end: int, checked: bool, base: bool, context: bool | None = None) -> None:
-        if context is None:
-            context = bool(CONTEXT[kind].search(text, max(0, start - CONTEXT_CHARS), start))
-        score = min(1.0, PRIOR[kind] + CHECKSUM_BONUS * checked + CONTEXT_BONUS * context)
+    def add(kind: str, start: int, end: int, checked: bool, base: bool, prior: float | None = None) -> None:
+        context = bool(CONTEXT[kind].search(text, max(0, start - CONTEXT_CHARS), start))
+        score = min(1.0, (PRIOR[kind] if prior is None else prior) + CHECKSUM_BONUS * checked + CONTEXT_BONUS * context)
         if base or score >= threshold:
             found[kind].append((kind, start, end, round(score, 2), base))
 
@@ -114,16 +148,18 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str
         for match in _PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in match[0]) <= 15:
                 add("phone", *match.span(), False, True)
-    for match in _IBAN.finditer(text):
-        plain = match[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            add("iban", *match.span(), True, False)
+    for start, end in _ibans(text):
+        add("iban", start, end, True, False)
+    secrets = [(*m.span(), FORM_PRIOR) for word, form in _FORMS if word in text for m in form.finditer(text)]
     lowered = text.lower()
     if any(word in lowered for word in _SECRET_WORDS):
-        for match in _SECRET.finditer(text):
-            value = match[1]
-            if any(c.isdigit() for c in value):
-                add("secret", *match.span(1), False, False, context=True)
+        values = [(m.span(1), m[1]) for m in _SECRET.finditer(text)] + [(m.span(), m[0]) for m in _LONG.finditer(text)]
+        secrets += [(*span, PRIOR["secret"]) for span, value in values if any(map(str.isdigit, value)) and any(map(str.isalpha, value))]
+    done = 0
+    for start, end, prior in sorted(secrets, key=lambda s: (s[0], -s[1], -s[2])):
+        if start >= done:
+            add("secret", start, end, False, False, prior=prior)
+            done = end if found["secret"] and found["secret"][-1][1] == start else done
     return [span for kind in KINDS for span in found[kind]]
 
 
