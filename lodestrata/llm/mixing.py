@@ -10,8 +10,9 @@ deadline first, among released blocks, then fills every slot; at any time each s
 has blocks is less than one block away from its weight.
 
 Weights are taken as the exact fractions that they are, so windows are exact over any length. The
-schedule is made on the driver from one row per source, one step per block (a block is 200 thousand
-characters, so this is little), and joined to the rows by source and block. A source that has run
+schedule is made on the driver from one row per source, one step per block, and joined to the rows
+by source and block. A block is 200 thousand characters, and longer where there would be more than
+200 thousand blocks and one for every source, so a schedule stays small at any size of the corpus. A source that has run
 dry leaves its slots empty and the others go on in the same proportions.
 
 Defined results: a null source counts as the empty one; a null text has no characters but still
@@ -26,12 +27,11 @@ from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from math import gcd, lcm
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters of a block on average; the exponent that flattens the sources' shares into weights.
-BLOCK_UNITS = 200_000
+#: Characters of a block, and the blocks at most, beyond which blocks are longer; the exponent that flattens the sources' shares into weights.
+BLOCK_UNITS, MOST_BLOCKS = 200_000, 200_000
 TEMPERATURE = 0.5
 #: Kept for callers: weights are not rounded to a frame any more.
 FRAME = 1000
@@ -111,10 +111,7 @@ def in_blocks(df: DataFrame, bits: int, id_column: str, source_column: str, text
 
 def planned(spark: SparkSession, steps: Iterator[tuple[str, int, int, int, int]]) -> DataFrame:
     """The schedule as rows, one per block."""
-    names = ("mix_source", "mix_block", "mix_slot", "mix_release", "mix_deadline")
-    kinds = (pa.string(), *[pa.int64()] * 4)
-    columns = list(zip(*steps, strict=True)) or [()] * len(names)
-    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names))
+    return spark.createDataFrame(list(steps), "mix_source string, mix_block long, mix_slot long, mix_release long, mix_deadline long")
 
 
 def mix(
@@ -132,6 +129,7 @@ def mix(
     total = sum(units.values()) or 1
     given = weights or {}
     wanted = {s: given[s] if s in given else (max(1, u) / total) ** temperature for s, u in units.items()}
+    block_units = max(block_units, -(-total // MOST_BLOCKS))
     blocks = {s: u // block_units + 1 for s, u in units.items()}
     plans = planned(spark, schedule(quotas(wanted, frame), blocks) if units else iter(()))
     bits = (max((row["n"] for row in sizes), default=0) // WINDOW_ROWS).bit_length()
