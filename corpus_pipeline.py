@@ -8,7 +8,8 @@ with a pooled probability below ``LEAST_SCORE``, and fills in null languages. ``
 keeps the least doc_id of each group of texts linked by a Jaccard similarity of 0.8 or more of their
 five-word shingles, which bit-sliced comparison of SimHash fingerprints proposes. ``personal_data`` replaces every found span by its kind and sets n_chars anew.
 ``mixing`` puts the documents in mixed order. ``packing`` returns the pieces of sequences of 2048
-tokens.
+tokens with their token ids, so a sequence is trained on by joining its pieces at their offsets;
+sequences follow the mixed order, but for pieces of up to 1024 documents that are fitted together.
 
 Null doc_ids pass every stage; other columns than those of ``documents`` are dropped at the start.
 """
@@ -47,7 +48,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, ordinary=False)
+    return packing.pack(docs, ordinary=False, with_ids=True)
 
 
 STAGES = [
