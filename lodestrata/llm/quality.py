@@ -2,9 +2,11 @@
 
 Statistics of every text are Spark expressions inside the row: no shuffle, no Python. A decision
 list is learned by sequential covering on a bounded sample of labelled rows (``TRAIN_ROWS``, chosen
-by a hash of the id): grow a conjunction of thresholds by information gain on two thirds, prune it
-on the rest, keep it if its precision there is high, remove what it covers, repeat. The list comes
-out as one ordered Spark conditional expression that names the rule that rejects a row, if any.
+by a hash of the id) that pass the base rule: grow a conjunction of thresholds by information gain on
+two thirds, prune it on the rest, keep it if its precision there is high, remove what it covers,
+repeat. The third that prunes moves on with every try, so few labels serve for both, and learning
+ends when each third has refused a rule in a row. The list comes out as one ordered Spark
+conditional expression that names the rule that rejects a row, if any.
 
 Repeated three-word windows are found by sorting 64-bit hashes of a text's windows with their
 places; windows with an equal neighbour are repeated, and the union of their words is counted.
@@ -28,7 +30,11 @@ QUANTILES = 40
 MAX_RULES = 8
 MAX_LITERALS = 3
 MIN_PRECISION = 0.97
-MIN_COVER = 8
+#: Bad rows that a literal covers where it is grown, and that a rule covers where it is pruned, at least.
+MIN_COVER, MIN_PROOF = 4, 2
+FOLDS = 3
+#: The rule that every row has to pass before the learned ones. Fixed by the contract.
+BASE_RULE = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 FEATURES = {
     "symbol_share": "n_symbols / greatest(word_chars, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
@@ -137,7 +143,7 @@ def _best(rows: DataFrame, cuts: dict[str, list[float]], taken: Rule) -> tuple[f
 
 
 def learn(sample: DataFrame) -> list[Rule]:
-    """A decision list for ``quality = 0`` from rows with statistics, ``quality`` and ``fold`` (0: prune, else grow)."""
+    """A decision list for ``quality = 0`` from rows with statistics, ``quality`` and ``fold`` (0 to 2)."""
     exprs = [F.expr(e).cast("double").alias(name) for name, e in FEATURES.items()]
     values = sample.select(*exprs).agg(*[F.percentile_approx(name, [i / QUANTILES for i in range(1, QUANTILES)], 10_000).alias(name) for name in FEATURES]).first()
     if values is None or values[0] is None:
@@ -148,26 +154,28 @@ def learn(sample: DataFrame) -> list[Rule]:
     bins = [sum(((F.expr(FEATURES[name]).cast("double") > cut).cast("int") for cut in cuts[name]), F.lit(0)).alias(f"bin_{name}") for name in FEATURES]
     table = checkpoint(sample.select(*counts, "fold", bad, *bins).coalesce(2))
     rules: list[Rule] = []
-    left = table
-    while len(rules) < MAX_RULES:
+    left, fold, refused = table, 0, 0
+    while len(rules) < MAX_RULES and refused < FOLDS:
+        fold = (fold + 1) % FOLDS
         rule: Rule = ()
-        rows = left.filter("fold != 0")
+        rows = left.filter(F.col("fold") != fold)
         while len(rule) < MAX_LITERALS and (found := _best(rows, cuts, rule)):
             rule += (found[1],)
             rows = rows.filter(found[1].column())
             if found[3] == 0:
                 break
+        refused += 1
         if not rule:
-            break
+            continue
         heads = [rule[: i + 1] for i in range(len(rule))]
-        test = left.filter("fold = 0").agg(*[F.sum(F.when(holds(h), x).otherwise(0)) for h in heads for x in (F.col("bad"), 1 - F.col("bad"))]).first()
+        test = left.filter(F.col("fold") == fold).agg(*[F.sum(F.when(holds(h), x).otherwise(0)) for h in heads for x in (F.col("bad"), 1 - F.col("bad"))]).first()
         scored = [((test[2 * i] or 0), (test[2 * i + 1] or 0), h) for i, h in enumerate(heads)]
         p, n, rule = max(scored, key=lambda x: ((x[0] - x[1]) / max(1, x[0] + x[1]), x[0], -len(x[2])))
-        if p + n == 0 or p / (p + n) < MIN_PRECISION:
-            break
+        if p < MIN_PROOF or p / (p + n) < MIN_PRECISION:
+            continue
         rule = _with_margin(rule, left.filter((F.col("bad") == 1) & holds(rule)))
         rules.append(rule)
-        left = left.filter(~holds(rule))
+        left, refused = left.filter(~holds(rule)), 0
     return rules
 
 
@@ -182,15 +190,15 @@ def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column
     chosen = labels.filter(F.col("quality").isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min("quality").alias("quality"))
     chosen = hash_sample(chosen, rows, id_column)
     joined = df.select(id_column, text_column).join(F.broadcast(chosen), id_column)  # ``rows`` rows of two numbers
-    fold = F.pmod(F.xxhash64(id_column, F.lit("fold")), F.lit(3)).alias("fold")
-    counted = statistics(joined, id_column, text_column, keep=("quality",))
+    fold = F.pmod(F.xxhash64(id_column, F.lit("fold")), F.lit(FOLDS)).alias("fold")
+    counted = statistics(joined, id_column, text_column, keep=("quality",)).filter(f"not ({BASE_RULE})")
     return learn(checkpoint(counted.select(*counted.columns, fold).drop(id_column)))
 
 
 def judge(df: DataFrame, rules: list[Rule], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row the id, its statistics, ``base_failed``, ``rule`` (the rule that rejects it, or null) and ``kept``."""
     rows = statistics(df, id_column, text_column)
-    rows = rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    rows = rows.withColumn("base_failed", F.expr(BASE_RULE))
     rows = rows.withColumn("rule", verdict(rules))
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
