@@ -5,7 +5,8 @@ read as blocks of a fixed number of ids that know their file and place but not t
 In every block one vectorised search finds the separators; what a block cannot know, the document
 that began before it, is stitched by a prefix scan over the blocks of a file: how many documents
 ended before the block and how many ids stand since the last separator. Both are window sums over
-one small row per block, and a file has a bounded number of blocks.
+the blocks of a part of the file (``SCAN_BLOCKS`` blocks, half a gigabyte), and then over the parts, so
+no window grows with the file by more than one small row a part.
 
 Defined results: a null or empty text has no tokens and is its separator alone; ids behind a file's
 last separator belong to no document and are not counted; repeated rows are counted each.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import tokens
@@ -28,6 +29,7 @@ from lodestrata.llm.common import prepare
 END_ID = 50256
 BLOCK_TOKENS = 1 << 16
 BLOCKS_OF_FILE = 256
+SCAN_BLOCKS = 4096
 
 
 def write_blocks(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, blocks_of_file: int = BLOCKS_OF_FILE) -> DataFrame:
@@ -76,19 +78,34 @@ def write_blocks(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return kept.mapInArrow(run, f"file long, block long, data binary, ids array<{id_type.simpleString()}>")
 
 
-def read_flat_files(spark, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
-    """(file, block, data) of flat files of any origin; a file is read by one task, and has to be below 2 GB."""
+def read_flat_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
+    """(file, block, data) of flat files of any origin and size: Spark deals out byte ranges, and each is read by itself.
+
+    The files have to be on a store that pyarrow opens (local or mounted paths, hdfs, s3, gs).
+    """
     prepare(spark)
+    step = block_tokens * width
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"), "length")  # reads no content
+    last = F.ceil(F.col("length") / step).cast("long") - 1
+    ranges = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block")).repartition("file", F.expr("block div 64")).sortWithinPartitions("file", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = block_tokens * width
+        from pyarrow.fs import FileSystem
+
+        name, stream = None, None
         for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for n in range(-(-len(content) // step)):
-                    columns = [pa.array([name]), pa.array([n], pa.int64()), pa.array([content[n * step : (n + 1) * step]], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "data"])
+            for file, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != name:
+                    if stream is not None:
+                        stream.close()
+                    files, place = FileSystem.from_uri(file if "://" in file else file.replace(":", "://", 1) if ":" in file else f"file://{file}")
+                    name, stream = file, files.open_input_file(place)
+                data = stream.read_at(step, block * step)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+        if stream is not None:
+            stream.close()
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    return ranges.mapInArrow(run, "file string, block long, data binary")
 
 
 def count(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> DataFrame:
@@ -110,14 +127,23 @@ def count(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(tails, pa.int64())], names=["file", "block", "lengths", "tail"])
 
     rows = held.mapInArrow(scan, f"file {held.schema[0].dataType.simpleString()}, block long, lengths array<long>, tail long")
-    in_file = Window.partitionBy("file").orderBy("block")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.size("lengths").cast("long")
-    rows = rows.withColumn("first", F.coalesce(F.sum(ended).over(before), F.lit(0)))
-    rows = rows.withColumn("run", F.sum((ended > 0).cast("int")).over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("open", F.sum("tail").over(Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("carry", F.coalesce(F.lag("open").over(in_file), F.lit(0)))
-    out = rows.select("file", "first", "carry", F.posexplode("lengths").alias("n", "length"))
+    rows = rows.withColumn("part", F.expr(f"block div {SCAN_BLOCKS}L")).withColumn("ended", F.size("lengths").cast("long"))
+
+    def scanned(df: DataFrame, groups: tuple[str, ...], order: str, tail: str) -> DataFrame:
+        """df with ``before`` (documents ended before a row), ``carry`` (ids since the last separator) and ``open`` (both with the row)."""
+        own = Window.partitionBy(*groups).orderBy(order)
+        upto, ahead = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("before", F.coalesce(F.sum("ended").over(ahead), F.lit(0))).withColumn("run", F.sum((F.col("ended") > 0).cast("int")).over(upto))
+        df = df.withColumn("open", F.sum(tail).over(Window.partitionBy(*groups, "run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+        return df.withColumn("carry", F.coalesce(F.lag("open").over(own), F.lit(0))).drop("run")
+
+    rows = scanned(rows, ("file", "part"), "block", "tail")
+    parts = rows.groupBy("file", "part").agg(F.sum("ended").alias("ended"), F.max_by("open", "block").alias("rest"))
+    parts = scanned(parts, ("file",), "part", "rest").select("file", "part", F.col("before").alias("before_part"), F.col("carry").alias("carry_part"))
+    rows = rows.join(parts, ["file", "part"])
+    first = F.col("before_part") + F.col("before")
+    carry = F.col("carry") + F.when(F.col("before") == 0, F.col("carry_part")).otherwise(0)
+    out = rows.select("file", first.alias("first"), carry.alias("carry"), F.posexplode("lengths").alias("n", "length"))
     return out.select("file", (F.col("first") + F.col("n")).alias("ordinal"), (F.col("length") + F.when(F.col("n") == 0, F.col("carry")).otherwise(0)).alias("n_tokens"))
 
 
