@@ -3,22 +3,23 @@
 Two texts link when their sets of five-word shingles (lowered as in ``simhash``) have a Jaccard
 similarity of ``LEAST`` or more. The work is done on distinct sets, so exact copies cost one row.
 
-Fingerprints: SimHash of 256 bits. Two sets at 0.8 differ in 38.8 bits on average, with a deviation
-of 5.7; ``RADIUS`` lies 4.9 deviations above, so the comparison misses less than one in a million.
-Sets of fewer than ``SMALL_SET`` shingles, to which that does not apply, are let through.
-
-Buckets: at a radius of 67 no blocks of the bits themselves can be cut, so fingerprints meet in
-buckets of the least of their shingles' hashes: 24 keys of four minima. A pair of similarity s has no
-bucket in common with probability (1 - s^4)^24, which is 3 in a million at 0.8 and less above. Of
-buckets that hold the same sets one is kept.
-
-Comparison: in every bucket pivots are compared bit-sliced (``simhash.within_wide``) with all others;
-first the least member, then, once what was confirmed is connected, the members outside of the
-bucket's largest component, ``PIVOTS`` a round, until the bucket is of one component or all its
-pairs have been compared. So no candidate is dropped, and a large group of near copies costs rows in
-proportion to its size. Buckets of more than ``HOT_BUCKET`` members are dealt to several tasks, with
-their pivots sent to each. Spark joins the texts of every proposed pair and the exact similarity
-decides.
+Buckets: texts meet in buckets of the least of their shingles' hashes: 24 keys of four minima. A pair
+of similarity s has no bucket in common with probability (1 - s^4)^24, which is 3 in a million at 0.8
+and less above. (At the radius of 0.8 no blocks of a fingerprint's own bits can be cut.) Of buckets
+that hold the same sets one is kept.
+
+Fingerprints: SimHash of 1024 bits. Two sets at 0.8 differ in at most 165 bits on average, with a
+deviation of 12; ``RADIUS`` lies 4.7 deviations above, so the comparison misses about one in a
+million. Sets of fewer than ``SMALL_SET`` shingles, to which that does not apply, are let through.
+
+Comparison is bit-sliced (``simhash.within_wide``) and made twice. First every bucket's most connected
+member, the one that meets most others, is compared with all others, and each set's nearest pivot is
+confirmed by the exact similarity of the two texts: one pair a set, which connects copies with what
+they are copies of. Then, in buckets that are still of several components, the members outside of the
+largest are compared with all others, nearest first, and the exact similarity of the sets decides
+inside the task; only links between components leave it, so a bucket costs rows in proportion to its
+members. No candidate is dropped. Buckets of more than ``HOT_BUCKET`` members or ``HOT_SHINGLES``
+shingles are dealt to several tasks, each with the pivots or a part of the members outside.
 
 Defined results: texts without words have the empty set and are copies of each other. Rows with a
 null id all stay. Of rows with equal ids those go whose text is a copy of a kept one; repeated rows
@@ -39,19 +40,18 @@ from lodestrata.llm.simhash import SEED, components, wide_planes, within_wide
 
 WORDS = 5
 LEAST = 0.8
-FINGERPRINT_WORDS = 4
-RADIUS = 67
-SMALL_SET = 64
+FINGERPRINT_WORDS = 16
+RADIUS = 220
+SMALL_SET = 5
 BANDS, MINIMA = 24, 4
-SMALL_BUCKET, PIVOTS, HOT_BUCKET = 4, 256, 1 << 16
-#: Shingles multiplied by all factors at once, and (fingerprint, block) pairs compared at once.
-SHINGLES_AT_ONCE = 1 << 12
-PAIRS_AT_ONCE = 1 << 14
+HOT_BUCKET, HOT_SHINGLES = 1 << 14, 1 << 22
+#: Shingles multiplied by all factors at once, (fingerprint, block) pairs compared at once, and words whose hashes a worker keeps.
+SHINGLES_AT_ONCE = 1 << 10
+PAIRS_AT_ONCE = 1 << 13
 CACHED_WORDS = 1 << 19
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA + FINGERPRINT_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LEAST_FACTORS, _BIT_FACTORS = _FACTORS[: BANDS * MINIMA, None], _FACTORS[None, BANDS * MINIMA :]
 _WORD_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_PRINTS = [f"p{k}" for k in range(FINGERPRINT_WORDS)]
 
 
 class _WordHashes(dict):
@@ -117,9 +117,11 @@ def wide_fingerprint(own: np.ndarray) -> np.ndarray:
 
 
 def similarity(one: np.ndarray, two: np.ndarray) -> float:
-    """Jaccard similarity of two sets; 1 of empty ones."""
-    shared = len(np.intersect1d(one, two, assume_unique=True))
-    return shared / max(1, len(one) + len(two) - shared) if len(one) or len(two) else 1.0
+    """Jaccard similarity of two sorted sets; 1 of empty ones."""
+    if not len(one) or not len(two):
+        return float(len(one) == len(two))
+    shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+    return shared / (len(one) + len(two) - shared)
 
 
 def _keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -127,24 +129,35 @@ def _keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def signed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, th, key, n, prints, bands) of every row; th is a hash of the text as it stands, n the size of its set."""
+    """(id, th, key, n, bands) of every row; th is a hash of the text as it stands, n the size of its set."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text) for text in batch.column(2).to_pylist()]
-            made = [pa.array(map(key_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64())]
-            prints = np.array([wide_fingerprint(own) for own in sets], np.uint64).reshape(-1, FINGERPRINT_WORDS).view(np.int64)
-            made += [*(pa.array(np.ascontiguousarray(p)) for p in prints.T), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["id", "th", "key", "n", *_PRINTS, "bands"])
+            made = [pa.array(map(key_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["id", "th", "key", "n", "bands"])
 
     rows = _keyed(df, id_column, text_column)
-    prints = ", ".join(f"{p} long" for p in _PRINTS)
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, th long, key long, n long, {prints}, bands array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, th long, key long, n long, bands array<long>")
 
 
-def compared(first: np.ndarray, last: np.ndarray, pivots: np.ndarray, prints: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(pivot row, other row) of pivots whose fingerprint is near that of a row in [first, last), and whose sizes allow the similarity."""
+def _described(texts: DataFrame, sets: bool) -> DataFrame:
+    """(key, n, print) of (key, text), and ``own``, the set itself, if asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(text) for text in batch.column(1).to_pylist()]
+            made = [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([wide_fingerprint(x).tobytes() for x in found], pa.binary())]
+            if sets:
+                made.append(pa.array([x.tobytes() for x in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays(made, names=["key", "n", "print", "own"][: len(made)])
+
+    return texts.select("key", "text").mapInArrow(run, "key long, n long, print binary" + ", own binary" * sets)
+
+
+def compared(first: np.ndarray, last: np.ndarray, pivots: np.ndarray, prints: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pivot row, other row, bits between them) of pivots whose fingerprint is near that of a row in [first, last), and whose sizes allow the similarity."""
     planes = wide_planes(prints)
     small = np.packbits(np.pad(sizes < SMALL_SET, (0, -len(sizes) % 64)).reshape(-1, 64), axis=1, bitorder="little").view("<u8")[:, 0]
     many = np.where(last > first, (last - 1) // 64 - first // 64 + 1, 0)
@@ -153,102 +166,150 @@ def compared(first: np.ndarray, last: np.ndarray, pivots: np.ndarray, prints: np
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     low, high = np.maximum(first[at] - blocks * 64, 0), np.minimum(last[at] - blocks * 64, 64)
     lanes = (full << low.astype(np.uint64)) & (full >> (64 - high).astype(np.uint64))
-    left, right = [], []
+    found = [(np.empty(0, np.int64),) * 3]
     for n in range(0, len(at), PAIRS_AT_ONCE):
         own, block, lane = pivots[at[n : n + PAIRS_AT_ONCE]], blocks[n : n + PAIRS_AT_ONCE], lanes[n : n + PAIRS_AT_ONCE]
         hits = within_wide(planes, block, prints[own], lane, RADIUS)
         hits |= lane & np.where(sizes[own] < SMALL_SET, full, small[block])
         which, spot = np.nonzero(np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        left.append(own[which]), right.append(block[which] * 64 + spot)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    fit = (a != b) & (np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b]) - 1e-9)
-    return a[fit], b[fit]
+        a, b = own[which], block[which] * 64 + spot
+        fit = (a != b) & (np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b]) - 1e-9)
+        a, b = a[fit], b[fit]
+        bits = np.concatenate([np.bitwise_count(prints[a[k : k + 4096]] ^ prints[b[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 4096)] or [np.empty(0, np.int64)])
+        found.append((a, b, bits))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def bucket_pairs(bucket: np.ndarray, key: np.ndarray, kind: np.ndarray, given: np.ndarray, sizes: np.ndarray, prints: np.ndarray, first: bool, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by bucket and key: the pairs that they propose (greater key, less key), and the rows that have then met all others.
+def star_pairs(bucket: np.ndarray, score: np.ndarray, given: np.ndarray, sizes: np.ndarray, prints: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by bucket: (row, pivot, bits between them) of rows near their bucket's pivot, the given one or that of the highest score."""
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    end = np.append(begin[1:], len(bucket))
+    order = np.lexsort((-score, -given, bucket))  # the pivot first
+    pivots = order[begin]
+    pivot, other, bits = compared(begin, end, pivots, prints, sizes, least)
+    plain = given[other] == 0
+    return other[plain], pivot[plain], bits[plain]
 
-    ``given`` marks pivots that come from elsewhere: in a bucket that has some, they are the only pivots.
+
+def bucket_links(kind: np.ndarray, given: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
+    """Of one bucket's rows: links that connect all the classes that links connect, a forest over them.
+
+    If rows are given, they are compared with the others; else the rows outside of the largest class with all.
     """
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    begin, end = cuts[:-1], cuts[1:]
-    if first:
-        plain = np.add.reduceat(given, begin) == 0 if len(begin) else begin
-        pivots = np.concatenate([begin[plain], np.flatnonzero(given)])
-        met = np.empty(0, np.int64)
-    else:
-        chosen, done = [], []
-        for a, z in zip(begin.tolist(), end.tolist(), strict=True):
-            if given[a:z].any():
-                chosen.append(a + np.flatnonzero(given[a:z]))
-                done.append(chosen[-1])
-                continue
-            kinds, of, many = np.unique(kind[a:z], return_inverse=True, return_counts=True)
-            if len(kinds) < 2:
-                done.append(np.arange(a, z))
-                continue
-            out = np.arange(z - a) if z - a <= SMALL_BUCKET else np.flatnonzero(of != many.argmax())[:PIVOTS]
-            chosen.append(a + out)
-            done.append(a + out)
-        pivots = np.concatenate([*chosen, np.empty(0, np.int64)]).astype(np.int64)
-        met = np.concatenate([*done, np.empty(0, np.int64)]).astype(np.int64)
-    place = np.searchsorted(begin, pivots, "right") - 1
-    a, b = compared(begin[place], end[place], pivots, prints, sizes, least)
-    apart = (kind[a] != kind[b]) & (given[b] == 0)
-    a, b = key[a[apart]], key[b[apart]]
-    return np.maximum(a, b), np.minimum(a, b), bucket[met], key[met]
-
-
-def _compare(rows: DataFrame, first: bool, least: float) -> DataFrame:
-    """From (bucket, chunk, key, class, given, n, prints) the pairs (bucket null, a, b), and what is done with as (bucket, a, b null)."""
-    held_columns = ["bucket", "chunk", "key", "class", "given", "n", *_PRINTS]
-    rows = rows.select(*held_columns).repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "key")
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    kinds, of, many = np.unique(kind, return_inverse=True, return_counts=True)
+    pivots = np.flatnonzero(given) if given.any() else np.flatnonzero(of != many.argmax())
+    a, b, bits = compared(np.zeros(len(pivots), np.int64), np.full(len(pivots), len(kind)), pivots, prints, sizes, least)
+    apart = (of[a] != of[b]) & (given[b] == 0)
+    a, b, bits = a[apart], b[apart], bits[apart]
+    root, out = list(range(len(kinds))), []
+
+    def top(n: int) -> int:
+        while root[n] != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    seen = set()
+    for n in np.argsort(bits, kind="stable"):
+        x, y = int(a[n]), int(b[n])
+        p, q = top(of[x]), top(of[y])
+        if p != q and (y, x) not in seen:
+            seen.add((x, y))
+            if similarity(sets[x], sets[y]) >= least - 1e-9:
+                root[p] = q
+                out.append((x, y))
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int, columns: list[str], shingles_at: int | None = None) -> Iterator[dict[str, np.ndarray | list]]:
+    """Rows sorted by bucket, i and j in pieces of whole groups, as columns and ``part``, which numbers the groups."""
+    held: list[pa.RecordBatch] = []
+
+    def piece(table: pa.Table) -> dict[str, np.ndarray | list]:
+        out = {c: table.column(c).combine_chunks().to_pylist() if pa.types.is_binary(table.schema.field(c).type) else table.column(c).to_numpy() for c in columns}
+        new = (np.diff(out["bucket"], prepend=out["bucket"][:1]) != 0) | (np.diff(out["i"], prepend=out["i"][:1]) != 0) | (np.diff(out["j"], prepend=out["j"][:1]) != 0)
+        return {**out, "part": np.cumsum(new)}
+
+    def last(table: pa.Table) -> int:
+        """Where the last group begins."""
+        at = np.ones(table.num_rows, bool)
+        for c in ("bucket", "i", "j"):
+            values = table.column(c).to_numpy()
+            at &= values == values[-1]
+        return int(np.flatnonzero(at)[0])
+
+    count = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= rows or (shingles_at and held and sum(b.nbytes for b in held) >= shingles_at * 8):
+            table = pa.Table.from_batches(held)
+            if whole := last(table):
+                yield piece(table.slice(0, whole))
+                held = table.slice(whole).combine_chunks().to_batches()
+                count = sum(b.num_rows for b in held)
+    if held:
+        yield piece(pa.Table.from_batches(held))
+
+
+def _stars(rows: DataFrame, least: float) -> DataFrame:
+    """From (bucket, i, j, key, given, score, n, print) the pairs (a, b, bits, score) of keys and pivots near them."""
+    names = ["bucket", "i", "j", "key", "given", "score", "n", "print"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * len(held_columns)
+        for p in _whole_groups(batches, 1 << 14, names):
+            prints = np.frombuffer(b"".join(p["print"]), np.uint64).reshape(-1, FINGERPRINT_WORDS)
+            row, pivot, bits = star_pairs(p["part"], p["score"], p["given"], p["n"], prints, least)
+            yield pa.RecordBatch.from_arrays([pa.array(p["key"][row]), pa.array(p["key"][pivot]), pa.array(bits), pa.array(p["score"][pivot])], names=["a", "b", "bits", "score"])
 
-        def found(bucket: np.ndarray, chunk: np.ndarray, key: np.ndarray, kind: np.ndarray, given: np.ndarray, sizes: np.ndarray, *prints: np.ndarray) -> pa.RecordBatch:
-            part = np.cumsum((np.diff(bucket, prepend=bucket[:1]) != 0) | (np.diff(chunk, prepend=chunk[:1]) != 0))
-            a, b, where, met = bucket_pairs(part, key, kind, given, sizes, np.stack(prints, axis=1).view(np.uint64), first, least)
-            owner = bucket[np.searchsorted(part, where)]
-            columns = [pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(owner, pa.int64())]), pa.array(np.concatenate([a, met])), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(met), pa.int64())])]
-            return pa.RecordBatch.from_arrays(columns, names=["bucket", "a", "b"])
+    rows = rows.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
+    return rows.mapInArrow(run, "a long, b long, bits long, score long").filter("a <> b")
 
-        for batch in batches:
-            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-            if not len(held[0]):
-                continue
-            same = np.flatnonzero((held[0] == held[0][-1]) & (held[1] == held[1][-1]))
-            whole = int(same[0])  # the last bucket may go on
-            if whole >= 1 << 14:
-                yield found(*(h[:whole] for h in held))
-                held = [h[whole:] for h in held]
-        if len(held[0]):
-            yield found(*held)
-
-    return rows.mapInArrow(run, "bucket long, a long, b long")
-
-
-def _dealt(rows: DataFrame, first: bool, hot: int) -> DataFrame:
-    """Rows with ``chunk`` and ``given``: hot buckets in chunks, each with the bucket's pivots; all other buckets whole."""
-    plain = rows.withColumn("chunk", F.lit(0).cast("long")).withColumn("given", F.lit(0).cast("long"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("many")).filter(F.col("many") > hot)
-    sizes = checkpoint(sizes.withColumn("chunks", F.ceil(F.col("many") / hot).cast("long")))
+
+def _rest(rows: DataFrame, least: float) -> DataFrame:
+    """From (bucket, i, j, key, given, class, print, own) the links (a, b) between classes."""
+    names = ["bucket", "i", "j", "key", "given", "class", "print", "own"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _whole_groups(batches, 1 << 12, names, HOT_SHINGLES):
+            prints = np.frombuffer(b"".join(p["print"]), np.uint64).reshape(-1, FINGERPRINT_WORDS)
+            sets = [np.frombuffer(x, np.uint64) for x in p["own"]]
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(p["part"]) != 0, [True]])).tolist()
+            pairs = [(p["key"][at + x], p["key"][at + y]) for at, to in zip(cuts, cuts[1:], strict=False) for x, y in bucket_links(p["class"][at:to], p["given"][at:to], prints[at:to], sets[at:to], least)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+    rows = rows.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _sized(rows: DataFrame, hot: int) -> DataFrame:
+    """(bucket, chunks) of the buckets that are too large for one task."""
+    chunks = F.ceil(F.greatest(F.count("*") / hot, F.sum("n") / HOT_SHINGLES)).cast("long")
+    return checkpoint(rows.groupBy("bucket").agg(chunks.alias("chunks")).filter("chunks > 1"))
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, stars: bool) -> DataFrame:
+    """Rows with ``i``, ``j`` and ``given``. A bucket is one group; a large one is chunks of members (j), each with all its pivots.
+
+    The pivots are the best-scored member, or all members outside of the largest class, in chunks of their own (i).
+    """
+    none = F.lit(0).cast("long")
+    plain = rows.withColumns({"i": none, "j": none, "given": none})
     if sizes.isEmpty():
         return plain
-    crowded = rows.join(sizes.select("bucket", "chunks"), "bucket")
-    top = crowded.groupBy("bucket", "class").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("class", F.struct("c", "class")).alias("top"))
-    row = F.struct(*[c for c in rows.columns if c != "bucket"])
-    if first:
-        pivots = crowded.groupBy("bucket").agg(F.min_by(row, "key").alias("r"))
+    crowded = rows.join(sizes, "bucket")
+    spot = F.pmod(F.xxhash64("key"), F.col("chunks"))
+    if stars:
+        row = F.struct(*[c for c in crowded.columns if c != "bucket"])
+        pivots = crowded.groupBy("bucket").agg(F.max_by(row, F.struct("score", "key")).alias("r")).select("bucket", "r.*").withColumn("i", none)
     else:
-        outside = crowded.join(top, "bucket").filter("class <> top")
-        pivots = outside.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).alias("slot")).agg(F.min_by(row, "key").alias("r"))
-    spread = pivots.select("bucket", "r.*").join(sizes.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")), "bucket").withColumn("given", F.lit(1).cast("long"))
-    chunks = crowded.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks"))).withColumn("given", F.lit(0).cast("long")).drop("chunks")
-    return plain.join(sizes.select("bucket"), "bucket", "left_anti").unionByName(chunks).unionByName(spread)
+        top = crowded.groupBy("bucket", "class").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("class", F.struct("c", "class")).alias("top"))
+        pivots = crowded.join(top, "bucket").filter("class <> top").drop("top").withColumn("i", spot)
+    cells = pivots.groupBy("bucket").agg(F.collect_set("i").alias("cells"))
+    members = crowded.join(cells, "bucket").withColumn("i", F.explode("cells")).drop("cells").withColumn("j", spot).withColumn("given", none)
+    pivots = pivots.withColumn("j", F.explode(F.sequence(none, F.col("chunks") - 1))).withColumn("given", F.lit(1).cast("long"))
+    return plain.join(sizes.select("bucket"), "bucket", "left_anti").unionByName(members.drop("chunks")).unionByName(pivots.drop("chunks"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
@@ -270,42 +331,44 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataF
 
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST, hot: int = HOT_BUCKET) -> DataFrame:
     """(id, th, key, class) of every row: the class is the least key reachable by links."""
-    spark = df.sparkSession
     rows = checkpoint(signed(df, id_column, text_column))
-    kept = rows.filter("id is not null")
-    distinct = kept.groupBy("key").agg(F.min(F.struct("id", "th")).alias("r"), *[F.first(c).alias(c) for c in ("n", *_PRINTS, "bands")])
-    spots = distinct.select("key", F.explode("bands").alias("bucket"))
-    mark = F.xxhash64("key")
-    whole = spots.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor(mark).alias("x"), F.min("key").alias("m")).filter("c > 1")
-    whole = whole.groupBy("c", "x", "m").agg(F.min("bucket").alias("bucket")).select("bucket")  # one of those with the same members
-    left = checkpoint(spots.join(whole, "bucket").select("bucket", "key"))
-    known = checkpoint(distinct.join(left.select("key").distinct(), "key").select("key", "r.id", "r.th", "n", *_PRINTS))
-    path = shared_path(spark, "near-texts")
-    wanted = known.select("id", "th", "key")
+    distinct = rows.filter("id is not null").groupBy("key").agg(F.min(F.struct("id", "th")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    spots = distinct.select("key", "n", F.explode("bands").alias("bucket"))
+    whole = spots.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("m")).filter("c > 1")
+    whole = whole.groupBy("c", "x", "m").agg(F.min("bucket").alias("bucket")).select("bucket", "c")  # one of those with the same members
+    met = checkpoint(spots.join(whole, "bucket").select("bucket", "key", "n", "c"))
+    texts = _texts(df, distinct.join(met.select("key").distinct(), "key").select("r.id", "r.th", "key"), id_column, text_column)
+
+    scores = met.groupBy("key").agg(F.sum("c").alias("score"))
+    known = checkpoint(_described(texts, False).join(scores, "key"))
+    placed = met.select("bucket", "key").join(known, "key")
+    near = _stars(_dealt(placed, _sized(met, hot), True), least)
+    pairs = near.groupBy("a").agg(F.min_by("b", F.struct("bits", -F.col("score"), "b")).alias("b"))
+    links = checkpoint(confirmed(pairs, texts, least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    found = _connected(links)
+
+    kind = F.coalesce("class", "key")
+    told = met.select("bucket", "key", "n").join(found, "key", "left").withColumn("class", kind)
+    open_ = told.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
+    left = checkpoint(told.join(open_, "bucket", "left_semi"))
+    if not left.isEmpty():
+        sets = _described(texts.join(left.select("key").distinct(), "key", "left_semi"), True).select("key", "print", "own")
+        more = _rest(_dealt(left, _sized(left, hot), False).drop("n").join(sets, "key"), least)
+        more = checkpoint(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        if not more.isEmpty():
+            found = _connected(links.unionByName(more))
+    return rows.select("id", "th", "key").join(found, "key", "left").select("id", "th", "key", kind.alias("class"))
+
+
+def _texts(df: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(key, text) of the sets that meet others, one text each, written to the shared folder."""
+    path = shared_path(df.sparkSession, "near-texts")
     _keyed(df, id_column, text_column).join(wanted, ["id", "th"]).select("key", "text").dropDuplicates(["key"]).write.parquet(path)
-    texts, known = spark.read.schema("key long, text binary").parquet(path), known.drop("id", "th")
-    found, first = spark.createDataFrame([], "key long, class long"), True
-    while not left.isEmpty():
-        placed = left.join(known.join(found, "key", "left").withColumn("class", F.coalesce("class", "key")), "key")
-        told = checkpoint(_compare(_dealt(placed, first, hot), first, least))
-        pairs = told.filter("b is not null").select("a", "b").distinct()
-        if first:  # one pair a set connects most of a group; what it leaves apart is compared in the next rounds
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
-        new = checkpoint(confirmed(pairs, texts, least))
-        if not new.isEmpty():
-            links = new.unionByName(found.filter("key > class").select(F.col("key").alias("a"), F.col("class").alias("b")))
-            found = checkpoint(components(links).select(F.col("node").alias("key"), F.col("component").alias("class")))
-        left = checkpoint(_left(left, told, found, pairs, first))
-        first = False
-    return rows.select("id", "th", "key").join(found, "key", "left").select("id", "th", "key", F.coalesce("class", "key").alias("class"))
-
-
-def _left(left: DataFrame, told: DataFrame, found: DataFrame, pairs: DataFrame, first: bool) -> DataFrame:
-    """What is still to be compared: members that have not met all others, of buckets of several components."""
-    met = told.filter("b is null").select("bucket", F.col("a").alias("key"))
-    rows = left.join(met, ["bucket", "key"], "left_anti")
-    kinds = rows.join(found, "key", "left").groupBy("bucket").agg(F.min(F.coalesce("class", "key")).alias("low"), F.max(F.coalesce("class", "key")).alias("high"))
-    return rows.join(kinds.filter("low < high").select("bucket"), "bucket", "left_semi")
+    return df.sparkSession.read.schema("key long, text binary").parquet(path)
+
+
+def _connected(links: DataFrame) -> DataFrame:
+    return checkpoint(components(links).select(F.col("node").alias("key"), F.col("component").alias("class")))
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:

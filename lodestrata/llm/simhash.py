@@ -135,14 +135,15 @@ def wide_planes(prints: np.ndarray) -> np.ndarray:
 
 
 def within_wide(planes: np.ndarray, blocks: np.ndarray, prints: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
-    """``within`` for fingerprints (rows, words) of several words and any radius below 128.
+    """``within`` for fingerprints (rows, words) of several words and any radius.
 
     Eight planes at a time go through a tree of carry-save adders into ones, twos and fours, and
-    what is carried out of them into counters of eights. The counters start at 127 - radius, so a
-    lane is beyond the radius when a carry leaves the highest of them.
+    what is carried out of them into counters of eights. The counters start at 2^n - 1 - radius, so
+    a lane is beyond the radius when a carry leaves the highest of them.
     """
     hits, alive = np.zeros(len(blocks), np.uint64), np.arange(len(blocks))
-    start = [np.full(len(blocks), _ALL if (127 - radius) >> bit & 1 else 0, np.uint64) for bit in range(7)]
+    size = max(4, radius.bit_length())
+    start = [np.full(len(blocks), _ALL if ((1 << size) - 1 - radius) >> bit & 1 else 0, np.uint64) for bit in range(size)]
     ones, twos, fours, eights = *start[:3], start[3:]
     over = np.zeros(len(blocks), np.uint64)
 
@@ -159,7 +160,7 @@ def within_wide(planes: np.ndarray, blocks: np.ndarray, prints: np.ndarray, lane
         twos, four_a = add(twos, carried[0], carried[1])
         twos, four_b = add(twos, carried[2], carried[3])
         fours, carry = add(fours, four_a, four_b)
-        for bit in range(4):
+        for bit in range(len(eights)):
             eights[bit], carry = eights[bit] ^ carry, eights[bit] & carry
         over |= carry
         keep = np.flatnonzero((over & lanes) != lanes)

@@ -75,17 +75,33 @@ def test_stage_on_documents(spark, sf):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == slow_kept(rows)[0]
 
 
-def test_large_buckets_propose_every_pair_of_classes():
-    keys, kinds = np.arange(140), np.repeat([0, 1, 2], [100, 30, 10])
+def test_a_bucket_gives_a_forest_of_its_links():
     rng = np.random.default_rng(4)
-    prints = np.repeat(rng.integers(0, 1 << 63, (1, 4), np.uint64), 140, axis=0)
-    prints[:, 1] ^= np.uint64(1) << rng.integers(0, 64, 140, np.uint64)
-    none, bucket, sizes = np.zeros(140, np.int64), np.zeros(140, np.int64), np.full(140, 100)
-    a, b, _, met = nearcopies.bucket_pairs(bucket, keys, kinds, none, sizes, prints, False)
-    assert {(x, y) for x, y in zip(a.tolist(), b.tolist())} == {(x, y) for x in range(140) for y in range(x) if kinds[x] != kinds[y]}
-    assert met.tolist() == list(range(100, 140))
-    a, b, _, met = nearcopies.bucket_pairs(bucket, keys, keys, none, sizes, prints, True)
-    assert sorted(a.tolist()) == list(range(1, 140)) and set(b.tolist()) == {0} and not len(met)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 400 - 9 * n], rng.integers(0, 1 << 63, 9 * n, np.uint64)])) for n in range(20)] + [np.unique(rng.integers(0, 1 << 63, 400, np.uint64)) for _ in range(100)]
+    prints = np.array([nearcopies.wide_fingerprint(s) for s in sets])
+    kind, none = np.arange(120), np.zeros(120, np.int64)
+    linked = {(x, y) for x in range(120) for y in range(x) if nearcopies.similarity(sets[x], sets[y]) >= 0.8}
+    got = nearcopies.bucket_links(kind, none, prints, sets)
+    assert {tuple(sorted(p, reverse=True)) for p in got} <= linked
+    forest = simhash.Forest(120)
+    forest.link(*np.array(got).T)
+    whole = simhash.Forest(120)
+    whole.link(*np.array(sorted(linked)).T)
+    assert forest.root.tolist() == whole.root.tolist() and len(got) == 120 - len(set(whole.root.tolist()))
+    given = (kind % 3 == 0).astype(np.int64)
+    assert all(given[x] and not given[y] for x, y in nearcopies.bucket_links(kind, given, prints, sets))
+
+
+def test_fingerprints_keep_what_is_similar():
+    rng = np.random.default_rng(8)
+    for size in (5, 9, 12, 30, 200, 3000):
+        for _ in range(200 if size < 200 else 10):
+            one = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+            drop = int(rng.integers(0, max(1, size // 9) + 1))
+            two = np.unique(np.concatenate([one[drop:], rng.integers(0, 1 << 63, drop, np.uint64)]))
+            if nearcopies.similarity(one, two) >= 0.8:
+                assert np.bitwise_count(nearcopies.wide_fingerprint(one) ^ nearcopies.wide_fingerprint(two)).sum() <= nearcopies.RADIUS
 
 
 def test_wide_distances():
@@ -98,7 +114,7 @@ def test_wide_distances():
             base[row, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     planes, blocks = simhash.wide_planes(base), np.arange(3)
     lanes = np.array([0xFFFFFFFFFFFFFFFF, 0xFFFFFFFFFFFFFFFF, 3], np.uint64)
-    for radius in (0, 3, 67, 127):
+    for radius in (0, 3, 67, 127, 200):
         hits = simhash.within_wide(planes, blocks, np.repeat(base[:1], 3, axis=0), lanes, radius)
         got = np.flatnonzero(np.unpackbits(hits.view(np.uint8), bitorder="little")).tolist()
         assert got == [row for row in range(130) if np.bitwise_count(base[row] ^ base[0]).sum() <= radius]
