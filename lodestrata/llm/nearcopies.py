@@ -191,28 +191,39 @@ def star_pairs(bucket: np.ndarray, score: np.ndarray, given: np.ndarray, sizes:
     return other[plain], pivot[plain], bits[plain]
 
 
-def bucket_links(kind: np.ndarray, given: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """Of one bucket's rows: links that connect all the classes that links connect, a forest over them.
+def bucket_links(part: np.ndarray, kind: np.ndarray, given: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
+    """Of rows sorted by bucket (``part``): links that connect, bucket by bucket, all the classes that links connect, a forest over them.
 
-    If rows are given, they are compared with the others; else the rows outside of the largest class with all.
+    If a bucket has given rows, they are compared with its others; else the rows outside of the largest class with all.
     """
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0, [True]]))
+    chosen = []
+    for at, to in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        if given[at:to].any():
+            chosen.append(at + np.flatnonzero(given[at:to]))
+        else:
+            _, of, many = np.unique(kind[at:to], return_inverse=True, return_counts=True)
+            chosen.append(at + np.flatnonzero(of != many.argmax()))
+    pivots = np.concatenate(chosen)
+    place = np.searchsorted(cuts, pivots, "right") - 1
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    kinds, of, many = np.unique(kind, return_inverse=True, return_counts=True)
-    pivots = np.flatnonzero(given) if given.any() else np.flatnonzero(of != many.argmax())
-    a, b, bits = compared(np.zeros(len(pivots), np.int64), np.full(len(pivots), len(kind)), pivots, prints, sizes, least)
-    apart = (of[a] != of[b]) & (given[b] == 0)
-    a, b, bits = a[apart], b[apart], bits[apart]
-    root, out = list(range(len(kinds))), []
+    a, b, bits = compared(cuts[place], cuts[place + 1], pivots, prints, sizes, least)
+    apart = np.flatnonzero((kind[a] != kind[b]) & (given[b] == 0))
+    order = apart[np.lexsort((bits[apart], part[a[apart]]))]  # by bucket, nearest first
+    root: dict[int, int] = {}
+    out, seen, now = [], set(), None
 
     def top(n: int) -> int:
-        while root[n] != n:
-            root[n] = n = root[root[n]]
+        while (up := root.setdefault(n, n)) != n:
+            root[n] = n = root[up]
         return n
 
-    seen = set()
-    for n in np.argsort(bits, kind="stable"):
-        x, y = int(a[n]), int(b[n])
-        p, q = top(of[x]), top(of[y])
+    for x, y, bucket, p, q in zip(a[order].tolist(), b[order].tolist(), part[a[order]].tolist(), kind[a[order]].tolist(), kind[b[order]].tolist(), strict=True):
+        if bucket != now:
+            now = bucket
+            root.clear()
+            seen.clear()
+        p, q = top(p), top(q)
         if p != q and (y, x) not in seen:
             seen.add((x, y))
             if similarity(sets[x], sets[y]) >= least - 1e-9:
@@ -275,8 +286,7 @@ def _rest(rows: DataFrame, least: float) -> DataFrame:
         for p in _whole_groups(batches, 1 << 12, names, HOT_SHINGLES):
             prints = np.frombuffer(b"".join(p["print"]), np.uint64).reshape(-1, FINGERPRINT_WORDS)
             sets = [np.frombuffer(x, np.uint64) for x in p["own"]]
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(p["part"]) != 0, [True]])).tolist()
-            pairs = [(p["key"][at + x], p["key"][at + y]) for at, to in zip(cuts, cuts[1:], strict=False) for x, y in bucket_links(p["class"][at:to], p["given"][at:to], prints[at:to], sets[at:to], least)]
+            pairs = [(p["key"][x], p["key"][y]) for x, y in bucket_links(p["part"], p["class"], p["given"], prints, sets, least)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
     rows = rows.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")

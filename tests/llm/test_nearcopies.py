@@ -82,7 +82,7 @@ def test_a_bucket_gives_a_forest_of_its_links():
     prints = np.array([nearcopies.wide_fingerprint(s) for s in sets])
     kind, none = np.arange(120), np.zeros(120, np.int64)
     linked = {(x, y) for x in range(120) for y in range(x) if nearcopies.similarity(sets[x], sets[y]) >= 0.8}
-    got = nearcopies.bucket_links(kind, none, prints, sets)
+    got = nearcopies.bucket_links(none, kind, none, prints, sets)
     assert {tuple(sorted(p, reverse=True)) for p in got} <= linked
     forest = simhash.Forest(120)
     forest.link(*np.array(got).T)
@@ -90,7 +90,7 @@ def test_a_bucket_gives_a_forest_of_its_links():
     whole.link(*np.array(sorted(linked)).T)
     assert forest.root.tolist() == whole.root.tolist() and len(got) == 120 - len(set(whole.root.tolist()))
     given = (kind % 3 == 0).astype(np.int64)
-    assert all(given[x] and not given[y] for x, y in nearcopies.bucket_links(kind, given, prints, sets))
+    assert all(given[x] and not given[y] for x, y in nearcopies.bucket_links(none, kind, given, prints, sets))
 
 
 def test_fingerprints_keep_what_is_similar():
