@@ -1,4 +1,9 @@
-"""Read-only SQL: a lexical gate, the analyzed plan's word that it is no command, a pushed-down cap."""
+"""Read-only SQL: a lexical gate, a look at the parsed plan's relations and functions, a pushed-down cap.
+
+Spark has no read-only transaction, so what a statement may touch is decided before it is analyzed:
+tables and views that the session knows, its own common table expressions, and no function that
+calls Java or reads by path.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,18 @@ import re
 import time
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject, is_instance_of
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROWS, DEFAULT_ROWS = 5000, 200
 #: Fixed values of the interface: words a statement may begin with, and words it may not hold anywhere.
 LEAD_WORDS = ("select", "with", "explain", "show", "table", "values")
 FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "vacuum", "analyze", "comment", "copy", "lock", "reindex", "refresh", "cluster")
+#: Functions that run code outside of SQL, and table functions that read nothing but their arguments.
+BARRED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
+TABLE_FUNCTIONS = ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple")
+SHOWN = r"show\s+(tables|views|databases|schemas|functions|columns)\b"
 
 
 class Rejected(ValueError):
@@ -42,12 +53,56 @@ def cleaned(sql: str) -> str:
         raise Rejected(f"a statement cannot begin with {word or text[0]!r}")
     if found := re.search(rf"(?i)\b({'|'.join(FORBIDDEN)})\b", text):
         raise Rejected(f"forbidden word: {found[1].lower()}")
+    if found := re.search(rf"(?i)\b({'|'.join(BARRED_FUNCTIONS)})\b", text):
+        raise Rejected(f"forbidden function: {found[1].lower()}")
+    if word == "show" and not re.match(f"(?i){SHOWN}", text):
+        raise Rejected("only tables, views, schemas, functions and columns are shown")
     return text
 
 
+def _nodes(spark: SparkSession, plan: object) -> list:
+    """All nodes of a parsed plan and of its expressions, whatever they are nested in."""
+    gateway, out, todo = spark.sparkContext._gateway, [], [plan]
+    while todo:
+        item = todo.pop()
+        if not isinstance(item, JavaObject):
+            continue
+        if is_instance_of(gateway, item, "scala.collection.Iterable"):
+            parts = item.iterator()
+        elif is_instance_of(gateway, item, "scala.Product"):  # nodes, options and pairs
+            parts = item.productIterator()
+        else:
+            continue
+        if is_instance_of(gateway, item, "org.apache.spark.sql.catalyst.trees.TreeNode"):
+            out.append(item)
+        while parts.hasNext():
+            todo.append(parts.next())
+    return out
+
+
+def check_relations(spark: SparkSession, text: str) -> None:
+    """Refuses relations that the session does not know by name, and table functions that read."""
+    text = re.sub(r"(?i)^explain\s+((extended|formatted|codegen|cost)\s+)?", "", text)
+    try:
+        nodes = _nodes(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+    except ParseException as error:
+        raise Rejected(str(error).strip().splitlines()[0]) from None
+    named = {node.alias().lower() for node in nodes if node.getClass().getSimpleName() == "SubqueryAlias"}
+    for node in nodes:
+        kind = node.getClass().getSimpleName()
+        if kind in ("UnresolvedRelation", "UnresolvedTable", "UnresolvedView", "UnresolvedTableOrView"):
+            parts = [node.multipartIdentifier().apply(n) for n in range(node.multipartIdentifier().size())]
+            known = len(parts) == 1 and parts[0].lower() in named
+            if not known and not spark.catalog.tableExists(".".join(f"`{x.replace('`', '``')}`" for x in parts)):
+                raise Rejected(f"unknown relation: {'.'.join(parts)}")
+        elif kind == "UnresolvedTableValuedFunction" and node.name().apply(0).lower() not in TABLE_FUNCTIONS:
+            raise Rejected(f"forbidden table function: {node.name().apply(0)}")
+
+
 def plan(spark: SparkSession, sql: str) -> DataFrame:
     """The query of an accepted statement; nothing has run yet, but for SHOW and EXPLAIN."""
     text = cleaned(sql)
+    check_relations(spark, text)
     df = spark.sql(text)
     if not re.match(r"(?i)(explain|show)\b", text) and "Command" in df._jdf.queryExecution().analyzed().getClass().getSimpleName():
         raise Rejected("not a query")

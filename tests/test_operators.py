@@ -141,12 +141,17 @@ def test_steps_stop_at_a_broken_precondition(spark):
         steps.run(plan, {"x": spark.range(3)})
 
 
-@pytest.mark.parametrize("sql", ["SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "VALUES (1)", "EXPLAIN SELECT 1", "SHOW TABLES", "SELECT 1;", "SELECT updated_at FROM VALUES (1) t(updated_at)"])
+@pytest.mark.parametrize("sql", ["SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "VALUES (1)", "EXPLAIN SELECT 1", "SHOW TABLES", "SELECT 1;", "SELECT updated_at FROM VALUES (1) t(updated_at)", "SELECT * FROM known WHERE id IN (SELECT id FROM known) AND EXISTS (SELECT 1 FROM range(2))", "TABLE known", "EXPLAIN FORMATTED SELECT * FROM known", "SELECT (SELECT max(id) FROM known) AS m, posexplode(array(1))", "SHOW COLUMNS IN known", "SELECT k, count(*) FROM (SELECT id % 2 AS k FROM known) GROUP BY k HAVING count(*) > (SELECT 0)"])
 def test_gateway_accepts(spark, sql):
+    spark.range(3).createOrReplaceTempView("known")
     gateway.execute(spark, sql)
 
 
-@pytest.mark.parametrize("sql", ["SELECT 1; SELECT 2", "/* x */ DELETE FROM t", "WITH d AS (DELETE FROM t RETURNING *) SELECT * FROM d", "SELECT 'update'", "SELECT ';'", "", "-- only", "SET x = 1"])
+@pytest.mark.parametrize("sql", ["SELECT 1; SELECT 2", "/* x */ DELETE FROM t", "WITH d AS (DELETE FROM t RETURNING *) SELECT * FROM d", "SELECT 'update'", "SELECT ';'", "", "-- only", "SET x = 1",
+    "select reflect('java.lang.System', 'getProperty', 'user.home')", "select java_method('java.lang.System', 'exit', 1)", "select `try_reflect`('java.lang.System', 'getProperty', 'user.home')", "explain select reflect('a', 'b')",
+    "select * from text.`/etc/hostname`", "select * from parquet.`/root`", "with a as (select * from csv.`/etc/passwd`) select * from a", "select (select max(value) from text.`/etc/hostname`)", "select 1 where exists (select * from text.`/etc/hostname`)",
+    "select 1 where 'a' in (select value from text.`/etc/hostname`)", "select * from unknown_table", "table text.`/etc/hostname`", "explain select * from text.`/etc/hostname`", "show columns in text.`/etc/hostname`", "show create table x", "select * from (select * from (select * from json.`/x`))",
+    "select count(*) from range(3) having count(*) > (select count(*) from text.`/etc/hostname`)", "select case when (select count(*) from text.`/etc/hostname`) > 0 then 1 end", "select * from range(1) order by (select max(value) from text.`/etc/hostname`)", "select * from range(2) a join text.`/etc/hostname` b on true", "selec"])
 def test_gateway_rejects(spark, sql):
     with pytest.raises(gateway.Rejected):
         gateway.execute(spark, sql)
