@@ -98,8 +98,8 @@ def quoted_passages(texts: DataFrame, passages: DataFrame, words: int = 3) -> Da
 
     A passage's inner words stand whole in any text that holds it, so texts and passages meet on
     the hash of its second word and the ones after it, and no pair is formed that does not share
-    them; containment then decides. Passages need three words to have an inner one; shorter ones
-    are no evidence and match nothing.
+    them; containment then decides. Passages of one or two words have no inner one: they meet texts on
+    their first three characters (``_short_passages``). An empty passage is in every text.
     """
     parts = passages.select("passage_id", F.col("text").alias("passage"), F.split(F.trim("text"), r"\s+").alias("w")).filter(F.size("w") >= 3)
     sizes = list(range(1, words + 1))
@@ -113,4 +113,17 @@ def quoted_passages(texts: DataFrame, passages: DataFrame, words: int = 3) -> Da
     # explode_outer: for explode Spark would infer a filter that computes the windows once more, words and all
     spots = split_texts.select("text_id", F.explode_outer(F.array_distinct(F.flatten(found))).alias("h"))
     pairs = spots.join(parts, "h").select("text_id", "passage_id", "passage").distinct()
-    return pairs.join(texts, "text_id").filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
+    found = pairs.join(texts, "text_id").filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()
+    short = passages.select("passage_id", F.col("text").alias("passage")).filter(F.size(F.split(F.trim("passage"), r"\s+")) < 3)
+    return found if short.isEmpty() else found.unionByName(_short_passages(texts, short))
+
+
+def _short_passages(texts: DataFrame, short: DataFrame, size: int = 3) -> DataFrame:
+    """(text_id, passage_id) by containment, among texts and passages that share the passage's first characters."""
+    start = F.substring("passage", 1, size)
+    sizes = [r["k"] for r in short.select(F.length(start).alias("k")).distinct().collect()]  # at most size + 1 numbers
+    spots = [F.array(F.lit(""))] if 0 in sizes else []
+    spots += [_pieces(F.col("text"), k) for k in sizes if k]
+    met = texts.filter(F.col("text").isNotNull()).select("text_id", "text", F.explode(F.array_distinct(F.concat(*spots))).alias("start"))
+    keyed = short.select("passage_id", "passage", start.alias("start"))
+    return met.join(keyed, "start").filter(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id").distinct()

@@ -202,3 +202,11 @@ def test_entry_without_the_training_data_package():
     code = "import __spark_entry__ as e; q = e.queries(); assert 'q01_overview' in q and not [k for k in q if k[:2] == 'op' or k == 'pipeline']; assert set(q) == set(e.oracle_sql())"
     done = subprocess.run([sys.executable, "-c", code], cwd=there, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_passages_of_any_length_are_found(spark):
+    texts = [(1, "say hello world now"), (2, "hello  world"), (3, "xhello worldx yz"), (4, None), (5, "a quite long passage stands here whole"), (6, "")]
+    passages = [(1, "hello world"), (2, "quite long passage stands"), (3, "lo"), (4, ""), (5, "z"), (6, None), (7, "now"), (8, "here  whole")]
+    got = match.quoted_passages(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(passages, "passage_id int, text string"))
+    want = {(i, k) for i, t in texts for k, p in passages if t is not None and p is not None and p in t}
+    assert sorted((r["text_id"], r["passage_id"]) for r in got.collect()) == sorted(want)
