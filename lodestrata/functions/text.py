@@ -191,3 +191,140 @@ def table_grid(pages: pd.Series) -> pd.Series:
         return rows
 
     return pages.map(grid)
+
+
+# --- names, addresses, links and JSON values of the pipelines -----------------------------------
+
+
+def _chain(c: Column, *steps: tuple[str, str]) -> Column:
+    return trim_all(reduce(lambda x, step: F.regexp_replace(x, *step), steps, c))
+
+
+def source_key(c: Column) -> Column:
+    """A source's school name in compatibility form, campus brackets unwrapped, without dots, spaces and dashes."""
+    return _chain(nfkc(c), (r"(?U)[·•・\s]", ""), (r"[()（）]([^()（）]*校区)[()（）]", "$1"), ("校区", ""), (r"[()（）\-—_]", ""))
+
+
+def poi_key(c: Column) -> Column:
+    """A school's name without the words that many schools share, for scoring points of interest."""
+    return _chain(c, (r"(?U)[\s　]+", ""), ("[（）()]", ""), ("^上海市", ""), ("区", ""), ("学校名称", ""), ("学校|小学|中学|实验|附属|校区|总部|分部|公办|民办", ""))
+
+
+def address_key(c: Column) -> Column:
+    return _chain(F.coalesce(c, F.lit("")), (r"(?U)[\s　]+", ""), ("[（）()].*?[（）()]", ""), ("^上海市", ""), ("^[^区]+区", ""))
+
+
+def feeder_key(c: Column) -> Column:
+    """The name by which a feeder school is looked up."""
+    return _chain(c, ("^上海市(徐汇区)?", ""), ("（部分）", ""), ("[（）()]", ""), ("小学|校区", ""))
+
+
+def campus_key(c: Column) -> Column:
+    return _chain(c, (r"(?U)\s+", ""), ("^[-—/]+$", ""), ("^(无|本部|总部|总校区?)$", ""), ("校区$", ""))
+
+
+def bare_district(c: Column) -> Column:
+    """A district without its last 区, 县 or 市; null if blank."""
+    return F.nullif(trim_all(F.regexp_replace(c, "[区县市]$", "")), F.lit(""))
+
+
+def district_in_label(c: Column) -> Column:
+    return bare_district(first_match(c, "上海([^区县市]+[区县市])"))
+
+
+def storage_names(districts: tuple[str, ...] = SCOPE_DISTRICTS) -> list[str]:
+    """All spellings under which the districts may be stored."""
+    return [name for d in districts for name in ((d, f"{d}区", f"{d}新区") if d == "浦东" else (d, f"{d}区"))]
+
+
+def search_in(text: str, *columns: Column) -> Column:
+    """Whether the columns together, nulls skipped, hold a text, case aside."""
+    return F.lower(F.concat_ws(" ", *columns)).contains(text.lower())
+
+
+def like_literal(text: str) -> str:
+    """A LIKE pattern for exactly this text: its wildcards are escaped."""
+    return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def price_number(c: Column) -> Column:
+    """A price with thousands separators as a number above zero, else null."""
+    number = F.regexp_replace(c, ",", "").try_cast("double")
+    return F.when(number > 0, number)
+
+
+def absolute_link(link: Column, base: str) -> Column:
+    """A link made absolute against a base such as https://host."""
+    host = base.split("://", 1)[1].split("/", 1)[0]
+    return (
+        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.lit("https:"), link))
+        .when(link.startswith("/"), F.concat(F.lit(f"https://{host}"), link)).otherwise(F.concat(F.lit(f"https://{host}/"), link))
+    )
+
+
+def listing_link(link: Column, host: str, old: str, city: str) -> Column:
+    """A listing's link on its own host by https, with the city and without the parameters that mark where it was found."""
+    whole = F.regexp_replace(F.regexp_replace(absolute_link(link, f"https://{host}"), "^http:", "https:"), f"^https://{old}(?=[/?#]|$)", f"https://{host}")
+    path, query = F.regexp_replace(whole, r"\?.*$", ""), F.regexp_extract(whole, r"\?([^#]*)", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(flag|proptype|city)="))
+    return F.concat(path, F.lit("?"), F.concat_ws("&", F.concat(kept, F.array(F.lit(f"city={city}")))))
+
+
+def lines_of(c: Column) -> Column:
+    """Text of a cell or article: breaks and paragraph ends as line feeds, tags dropped, references decoded."""
+    broken = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>|</p>", "\n"), r"(?s)<[^>]+>", "")
+    return trim_all(F.regexp_replace(decode_references(broken), r"[ \t 　]+", " "))
+
+
+def article_title(c: Column) -> Column:
+    meta = first_match(c, r"(?i)<meta\s+name=[\"']ArticleTitle[\"']\s+content=[\"']([^\"']+)[\"']")
+    return F.regexp_replace(lines_of(F.coalesce(meta, F.regexp_extract(c, r"(?is)<title>(.*?)</title>", 1))), "_上海市人民政府$", "")
+
+
+def content_hash(c: Column) -> Column:
+    return F.sha2(c, 256)
+
+
+def flat_values(c: Column) -> Column:
+    """The texts of a JSON object, those in lists too, joined by ；; null if it is no object."""
+    def texts(v: Column) -> Column:
+        many = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+        return F.transform(F.filter(many, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+
+    values = F.map_values(F.from_json(c, "map<string,variant>"))
+    return F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.concat_ws("；", F.flatten(F.transform(values, texts))))
+
+
+def summary(c: Column, size: int = 150) -> Column:
+    """An excerpt of prose, or of the values of a JSON object."""
+    return excerpt(F.coalesce(flat_values(c), c), size)
+
+
+def display_value(c: Column) -> Column:
+    """A JSON value as it is shown: text, numbers and booleans as they are, of objects the value, name, label or text."""
+    kind = F.schema_of_variant(F.try_parse_json(c))
+    inner = F.coalesce(*[F.get_json_object(c, f"$.{k}") for k in ("value", "name", "label", "text")])
+    return F.when(kind.startswith("OBJECT"), inner).when(kind.startswith("ARRAY") | (kind == "VOID"), F.lit(None)).when(kind == "STRING", F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]).otherwise(c)
+
+
+def aliases_of(name: Column, *others: Column) -> Column:
+    """Distinct non-blank other names, without the name itself."""
+    return F.array_except(F.array_distinct(F.filter(F.concat(*others), lambda x: x.isNotNull() & (x != ""))), F.array(name))
+
+
+def size_or(first: Column, second: Column) -> Column:
+    """The size of the first list that has elements; nulls are empty."""
+    sizes = [F.size(F.coalesce(x, F.array().cast("array<string>"))) for x in (first, second)]
+    return F.when(sizes[0] > 0, sizes[0]).otherwise(sizes[1])
+
+
+def json_merged(c: Column, **values: Column) -> Column:
+    """A flat JSON object with keys set or replaced; null counts as an empty one. Other values keep their JSON form."""
+    old = F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(old, lambda k, _: ~k.isin(*values))
+    new = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[v.cast("string") for v in values.values()]))
+    return F.to_json(F.map_concat(kept, new))

@@ -64,6 +64,12 @@ def page(df: DataFrame, number: object = 1, size: object = PAGE_SIZE, order: str
     return df.orderBy(*turned).offset((clamp(number, 1, 1 << 31) - 1) * size).limit(size)
 
 
+def clamped_page(df: DataFrame, number: object = 1, size: object = 50, **options: object) -> DataFrame:
+    """A page, the last one for numbers beyond it."""
+    size = clamp(size, 50, MAX_PAGE_SIZE)
+    return page(df, min(clamp(number, 1, 1 << 31), max(1, -(-df.count() // size))), size, **options)
+
+
 def page_totals(df: DataFrame, size: int) -> DataFrame:
     """(total, total_pages); no pages of nothing."""
     return df.agg(F.count("*").alias("total")).select("total", F.ceil(F.col("total") / size).cast("long").alias("total_pages"))

@@ -1,5 +1,7 @@
 """DuckDB SQL for the catalogue: the same rows and columns by other means."""
 
+from lodestrata.plans.product_oracles import ORACLES as PRODUCT_ORACLES
+
 _PCT = "CASE WHEN {n} > 0 THEN floor(CAST({c} AS DOUBLE) / {n} * 1000 + 0.5) / 10 ELSE 0.0 END"
 
 
@@ -115,7 +117,7 @@ ORACLES = {
     "q32_suffix_lookup": """WITH c AS (SELECT s_suppkey AS candidate_id, ['red', 'blue', 'small', 'green', 'none'][CAST(s_suppkey % 5 AS INT) + 1] AS name FROM supplier),
       v(step, suffix) AS (VALUES (0, ' nothing'), (1, ' ring'), (2, ' bolt'), (3, ' widget')), n AS (SELECT p_name, min(p_partkey) AS target_id FROM part GROUP BY 1)
       SELECT candidate_id, target_id FROM c CROSS JOIN v JOIN n ON p_name = name || suffix QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY step) = 1""",
-    "q33_name_similarity": """WITH l AS (SELECT s_suppkey, s_nationkey AS block, lower(s_name) AS a FROM supplier), r AS (SELECT p_partkey, p_size % 25 AS block, p_name || ' ' || lower(p_type) AS b FROM part WHERE p_partkey < 400),
+    "q33_name_similarity": """WITH l AS (SELECT s_suppkey, s_nationkey AS block, lower(s_name) AS a FROM supplier), r AS (SELECT p_partkey, p_size % 25 AS block, p_name || ' ' || lower(p_type) AS b FROM part),
       j AS (SELECT *, list_distinct(string_split(a, '')) AS x, list_distinct(string_split(b, '')) AS y FROM l JOIN r USING (block))
       SELECT s_suppkey, p_partkey, CAST(floor(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN CAST(least(length(a), length(b)) AS DOUBLE) / greatest(length(a), length(b))
         ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / greatest(len(x), len(y)) END * 1000 + 0.5) AS BIGINT) AS score FROM j WHERE score > 350""",
@@ -159,4 +161,4 @@ ORACLES = {
     "q48_table_grid": """SELECT page_id, CAST(n AS BIGINT) AS row, CASE n WHEN 0 THEN page_id || '|a&b|a&b' ELSE page_id || '|' || length(url) || '|x' END AS cells FROM pages CROSS JOIN (VALUES (0), (1)) v(n)""",
     "q49_gateway": "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1",
     "q50_stream_ingest": _RECEIVED.rsplit(",\n     f AS", 1)[0] + " SELECT l_suppkey, l_partkey FROM u",
-}
+} | PRODUCT_ORACLES
