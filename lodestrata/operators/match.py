@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.classify import admission_mode, is_placeholder
-from lodestrata.functions.text import listed, school_key, school_variants, without_notes
+from lodestrata.functions.text import listed, school_key, school_variants, similarity, without_notes
 
 
 def stage_fits(wanted: Column, kind: Column) -> Column:
@@ -46,6 +46,38 @@ def _pieces(c: Column, size: int = 2) -> Column:
     return F.array_distinct(runs)
 
 
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left_id, right_id, score) of names (id, block, name) of one block whose ``similarity`` is at least ``least`` (above 0).
+
+    Every distinct name is compared once. Names of that many shared characters share one of their
+    ``_prefix`` characters, so they meet on those; a pair is formed at the first one only. A name
+    that lies in another meets it on its first two characters. Null or empty names and null blocks
+    are similar to nothing.
+    """
+    rows = [x.filter("block is not null and name <> ''") for x in (left, right)]
+    names = [x.select("block", "name").distinct() for x in rows]
+    seen = names[0].select("name").unionByName(names[1].select("name")).distinct().select("name", F.explode(F.array_distinct(F.split("name", ""))).alias("ch"))
+    ranked = seen.join(seen.groupBy("ch").agg(F.count("*").alias("n")), "ch").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "ch"))).alias("r"))
+    prefixes = ranked.select("name", _prefix(F.col("r")["ch"], least).alias("prefix"))
+    a, b = (x.join(prefixes, "name").select("block", F.col("name").alias(c), F.col("prefix").alias(f"p{c}")) for x, c in zip(names, "ab"))
+    met = a.withColumn("ch", F.explode("pa")).join(b.withColumn("ch", F.explode("pb")), ["block", "ch"])
+    met = met.filter(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("ch")).select("block", "a", "b")
+    for whole, part in (("a", "b"), ("b", "a")):
+        sides = {"a": a.select("block", "a"), "b": b.select("block", "b")}
+        longer = sides[whole].withColumn("piece", F.explode(F.concat(_pieces(F.col(whole)), F.array_except(F.split(whole, ""), F.array(whole)))))
+        inside = longer.distinct().join(sides[part].withColumn("piece", F.substring(part, 1, 2)), ["block", "piece"])
+        met = met.unionByName(inside.filter(F.col(whole).contains(F.col(part))).select("block", "a", "b"))
+    scored = met.distinct().withColumn("score", similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= least)
+    ids = [x.select(F.col("id").alias(f"{side}_id"), "block", F.col("name").alias(c)) for x, side, c in zip(rows, ("left", "right"), "ab")]
+    return scored.join(ids[0], ["block", "a"]).join(ids[1], ["block", "b"]).select("left_id", "right_id", "score")
+
+
+def _prefix(ranked: Column, least: float) -> Column:
+    """The rarest characters, as many as leave fewer than ``least`` of all behind."""
+    n = F.size(ranked)
+    return F.slice(ranked, F.lit(1), n - F.greatest(F.ceil(n * F.lit(least) - 1e-9).cast("int"), F.lit(1)) + 1)
+
+
 def suffix_lookup(candidates: DataFrame, targets: DataFrame, suffixes: Sequence[str] = ("", "中学", "初级中学", "学校")) -> DataFrame:
     """(candidate_id, target_id): the first of name + suffix, in order, that is a target's name; of several the least id."""
     tried = F.posexplode(F.array(*[F.concat("name", F.lit(s)) for s in suffixes])).alias("step", "tried")

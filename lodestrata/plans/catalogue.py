@@ -276,11 +276,11 @@ def q32_suffix_lookup(spark, sf):
 
 def q33_name_similarity(spark, sf):
     part, supplier = _t(spark, sf, "part", "supplier")
-    left = supplier.select("s_suppkey", F.col("s_nationkey").alias("block"), F.lower("s_name").alias("a"))
-    right = part.select("p_partkey", (F.col("p_size") % 25).alias("block"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("b"))
-    score = F.floor(text.similarity(F.col("a"), F.col("b")) * 1000 + 0.5).cast("long")
-    near = left.join(right.select("block", "b").distinct(), "block").select("s_suppkey", "block", "b", score.alias("score")).filter("score > 350")  # each name once
-    return near.join(right, ["block", "b"]).select("s_suppkey", "p_partkey", "score")
+    left = supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("block"), F.lower("s_name").alias("name"))
+    right = part.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 25).alias("block"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("name"))
+    score = F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score")
+    found = match.similar_names(left, right, 0.35).select(F.col("left_id").alias("s_suppkey"), F.col("right_id").alias("p_partkey"), score)
+    return found.filter("score > 350")
 
 
 def q34_contains_unique(spark, sf):

@@ -210,3 +210,27 @@ def test_passages_of_any_length_are_found(spark):
     got = match.quoted_passages(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(passages, "passage_id int, text string"))
     want = {(i, k) for i, t in texts for k, p in passages if t is not None and p is not None and p in t}
     assert sorted((r["text_id"], r["passage_id"]) for r in got.collect()) == sorted(want)
+
+
+def test_similar_names_equal_all_pairs(spark):
+    import random
+
+    from lodestrata.operators import match
+
+    rng = random.Random(5)
+    made = lambda: "".join(rng.choice("aaabcdefghij学校") for _ in range(rng.randrange(0, 9)))
+    left = [(i, rng.randrange(3), made()) for i in range(120)] + [(200, 0, None), (201, None, "abc"), (202, 1, "aaaa"), (203, 1, "a"), (204, 1, "xyzw"), (204, 1, "xyzw")]
+    right = [(i, rng.randrange(3), made()) for i in range(120)] + [(200, 0, None), (201, None, "abc"), (202, 1, "aaaabcdefg"), (203, 1, "ab"), (204, 1, "xyzw")]
+
+    def score(a, b):
+        if a == b:
+            return 1.0
+        if a in b or b in a:
+            return min(len(a), len(b)) / max(len(a), len(b))
+        return len(set(a) & set(b)) / max(len(set(a)), len(set(b)))
+
+    want = sorted((i, j, round(score(a, b), 6)) for i, x, a in left for j, y, b in right if x is not None and x == y and a and b and score(a, b) >= 0.35)
+    frames = [spark.createDataFrame(rows, "id long, block long, name string") for rows in (left, right)]
+    got = sorted((r["left_id"], r["right_id"], round(r["score"], 6)) for r in match.similar_names(*frames, 0.35).collect())
+    assert got == want
+    assert match.similar_names(frames[0].limit(0), frames[1], 0.35).count() == 0
