@@ -134,9 +134,9 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part / whole * 1000 + 0.5) / 10).otherwise(F.lit(0.0))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 if equal, 0 if one is empty, the length ratio if one contains the other, else shared over most distinct characters."""
-    chars_a, chars_b = (F.array_distinct(F.split(x, "")) for x in (a, b))
+def similarity(a: Column, b: Column, chars_a: Column | None = None, chars_b: Column | None = None) -> Column:
+    """1 if equal, 0 if one is empty, the length ratio if one contains the other, else shared over most distinct characters (given, or found here)."""
+    chars_a, chars_b = (F.array_distinct(F.split(x, "")) if chars is None else chars for x, chars in ((a, chars_a), (b, chars_b)))
     shared = F.size(F.array_intersect(chars_a, chars_b)) / F.greatest(F.size(chars_a), F.size(chars_b))
     ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).when(a.contains(b) | b.contains(a), ratio).otherwise(shared)

@@ -58,16 +58,17 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     names = [x.select("block", "name").distinct() for x in rows]
     seen = names[0].select("name").unionByName(names[1].select("name")).distinct().select("name", F.explode(F.array_distinct(F.split("name", ""))).alias("ch"))
     ranked = seen.join(seen.groupBy("ch").agg(F.count("*").alias("n")), "ch").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "ch"))).alias("r"))
-    prefixes = ranked.select("name", _prefix(F.col("r")["ch"], least).alias("prefix"))
-    a, b = (x.join(prefixes, "name").select("block", F.col("name").alias(c), F.col("prefix").alias(f"p{c}")) for x, c in zip(names, "ab"))
-    met = a.withColumn("ch", F.explode("pa")).join(b.withColumn("ch", F.explode("pb")), ["block", "ch"])
-    met = met.filter(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("ch")).select("block", "a", "b")
+    chars = ranked.select("name", F.col("r")["ch"].alias("chars"), _prefix(F.col("r")["ch"], least).alias("prefix"))
+    a, b = (x.join(chars, "name").select("block", F.col("name").alias(c), F.col("chars").alias(f"c{c}"), F.col("prefix").alias(f"p{c}")) for x, c in zip(names, "ab"))
+    first, pair = F.get(F.array_intersect("pa", "pb"), F.lit(0)), ("block", "a", "b", "ca", "cb")
+    met = a.withColumn("key", F.explode("pa")).join(b.withColumn("key", F.explode("pb")), ["block", "key"]).filter(first == F.col("key")).select(*pair)
     for whole, part in (("a", "b"), ("b", "a")):
-        sides = {"a": a.select("block", "a"), "b": b.select("block", "b")}
-        longer = sides[whole].withColumn("piece", F.explode(F.concat(_pieces(F.col(whole)), F.array_except(F.split(whole, ""), F.array(whole)))))
-        inside = longer.distinct().join(sides[part].withColumn("piece", F.substring(part, 1, 2)), ["block", "piece"])
-        met = met.unionByName(inside.filter(F.col(whole).contains(F.col(part))).select("block", "a", "b"))
-    scored = met.distinct().withColumn("score", similarity(F.col("a"), F.col("b"))).filter(F.col("score") >= least)
+        sides = {"a": a, "b": b}
+        longer = sides[whole].withColumn("key", F.explode(F.array_distinct(F.concat(_pieces(F.col(whole)), F.col(f"c{whole}")))))
+        inside = longer.join(sides[part].withColumn("key", F.substring(part, 1, 2)), ["block", "key"])
+        met = met.unionByName(inside.filter(first.isNull() & F.col(whole).contains(F.col(part))).select(*pair))
+    score = similarity(F.col("a"), F.col("b"), F.col("ca"), F.col("cb"))
+    scored = met.select("block", "a", "b", score.alias("score")).filter(F.col("score") >= least)
     ids = [x.select(F.col("id").alias(f"{side}_id"), "block", F.col("name").alias(c)) for x, side, c in zip(rows, ("left", "right"), "ab")]
     return scored.join(ids[0], ["block", "a"]).join(ids[1], ["block", "b"]).select("left_id", "right_id", "score")
 
