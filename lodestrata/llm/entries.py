@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import html, langid, mixing, packing, pii, quality, simhash, tokencounts, warc, webp
+from lodestrata.llm import html, langid, mixing, packing, pii, quality, runs, simhash, tokencounts, warc, webp
 from lodestrata.llm.common import shared_path, table
 from lodestrata.llm.sql import ORACLES
 
@@ -60,7 +60,11 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.from_media(webp.to_media(table(spark, sf_dir, "documents")))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(table(spark, sf_dir, "documents"), planted=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_packing, op3_langid, op4_html, op5_mixing, op6_quality, op7_simhash, op8_warc, op9_tokens, op10_webp)
+    f.__name__: f for f in (op1_pii, op2_packing, op3_langid, op4_html, op5_mixing, op6_quality, op7_simhash, op8_warc, op9_tokens, op10_webp, op13_runs)
 }
 ORACLE_SQL: dict[str, str] = ORACLES
