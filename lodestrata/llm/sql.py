@@ -11,5 +11,41 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM f
+""",
+    "op12_phrases": r"""
+WITH pieces AS (
+  SELECT lang, [x for x in string_split_regex(piece, '[ \t]+') if x <> ''] AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), places AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k)
+), grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM places
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cuts AS (
+  SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS c FROM candidates
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.c, x.f AS l, y.f AS r, CAST(c.a AS HUGEINT) * 2000000 // (x.f + y.f) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.c], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.c + 1 : c.k], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), inner_spans AS (
+  SELECT lang, a, k, w, m, unnest(range(1, k - m + 2)) AS i FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < k
+), longest AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM inner_spans GROUP BY ALL
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longest i USING (lang, phrase) WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }
