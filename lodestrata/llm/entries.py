@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import html, langid, mixing, packing, phrases, pii, quality, runs, simhash, tokencounts, warc, webp
+from lodestrata.llm import html, langid, mixing, packing, phrases, pii, quality, runs, secrets, simhash, tokencounts, warc, webp
 from lodestrata.llm.common import shared_path, table
 from lodestrata.llm.sql import ORACLES
 
@@ -60,6 +60,10 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.from_media(webp.to_media(table(spark, sf_dir, "documents")))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(*phrases.frequent(spark, table(spark, sf_dir, "documents")))
 
@@ -69,6 +73,6 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_packing, op3_langid, op4_html, op5_mixing, op6_quality, op7_simhash, op8_warc, op9_tokens, op10_webp, op12_phrases, op13_runs)
+    f.__name__: f for f in (op1_pii, op2_packing, op3_langid, op4_html, op5_mixing, op6_quality, op7_simhash, op8_warc, op9_tokens, op10_webp, op11_secrets, op12_phrases, op13_runs)
 }
 ORACLE_SQL: dict[str, str] = ORACLES
