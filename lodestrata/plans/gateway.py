@@ -2,7 +2,9 @@
 
 Spark has no read-only transaction, so what a statement may touch is decided before it is analyzed:
 tables and views that the session knows, its own common table expressions, and no function that
-calls Java or reads by path.
+calls Java or reads by path. Of the parsed plan only nodes that the check knows are let through, so
+a clause that puts names together from pieces is refused. The analyzed plan is looked at once more:
+every leaf is a known view or table or holds no data of its own, and nothing calls Java.
 """
 
 from __future__ import annotations
@@ -22,6 +24,19 @@ FORBIDDEN = ("insert", "update", "delete", "drop", "alter", "create", "truncate"
 #: Functions that run code outside of SQL, and table functions that read nothing but their arguments.
 BARRED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
 TABLE_FUNCTIONS = ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple")
+#: Nodes of a parsed statement that are let through; of other packages than the analysis' own, all expressions are.
+PLAN_NODES = frozenset(
+    "Aggregate Distinct Except ExplainCommand Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation PipeOperator Pivot Project Sample ShowColumns ShowFunctions "
+    "ShowNamespaces ShowTables ShowViews Sort SubqueryAlias Union Unpivot UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTable UnresolvedTableOrView "
+    "UnresolvedTableValuedFunction UnresolvedView UnresolvedWith Window WithWindowDefinition CurrentNamespace$ UnresolvedNamespace ShowFunctionsCommand ShowColumnsCommand".split()
+)
+ANALYSIS_EXPRESSIONS = frozenset(
+    "MultiAlias UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedOrdinal UnresolvedStar UnresolvedStarExcept UnresolvedStarExceptOrReplace "
+    "UnresolvedSubqueryColumnAliases".split()
+)
+#: Leaves of an analyzed statement that read no file; a file relation is let through below a view or as a table of the catalog.
+PLAIN_LEAVES = frozenset("CTERelationRef LocalRelation LogicalRDD OneRowRelation Range UnionLoopRef ResolvedNamespace CommandResult InMemoryRelation".split())
+JAVA_CALLS = ("CallMethodViaReflection", "TryReflect", "StaticInvoke", "Invoke")
 SHOWN = r"show\s+(tables|views|databases|schemas|functions|columns)\b"
 
 
@@ -60,8 +75,8 @@ def cleaned(sql: str) -> str:
     return text
 
 
-def _nodes(spark: SparkSession, plan: object) -> list:
-    """All nodes of a parsed plan and of its expressions, whatever they are nested in."""
+def _nodes(spark: SparkSession, plan: object, stop: tuple[str, ...] = ()) -> list:
+    """All nodes of a plan and of its expressions, whatever they are nested in, but for what lies below nodes named in ``stop``."""
     gateway, out, todo = spark.sparkContext._gateway, [], [plan]
     while todo:
         item = todo.pop()
@@ -75,13 +90,19 @@ def _nodes(spark: SparkSession, plan: object) -> list:
             continue
         if is_instance_of(gateway, item, "org.apache.spark.sql.catalyst.trees.TreeNode"):
             out.append(item)
+            if item.getClass().getSimpleName() in stop:
+                continue
         while parts.hasNext():
             todo.append(parts.next())
     return out
 
 
+def _is_plan(spark: SparkSession, node: JavaObject) -> bool:
+    return is_instance_of(spark.sparkContext._gateway, node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+
+
 def check_relations(spark: SparkSession, text: str) -> None:
-    """Refuses relations that the session does not know by name, and table functions that read."""
+    """Refuses nodes that are not known, relations that the session does not know by name, and table functions that read."""
     text = re.sub(r"(?i)^explain\s+((extended|formatted|codegen|cost)\s+)?", "", text)
     try:
         nodes = _nodes(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
@@ -90,6 +111,11 @@ def check_relations(spark: SparkSession, text: str) -> None:
     named = {node.alias().lower() for node in nodes if node.getClass().getSimpleName() == "SubqueryAlias"}
     for node in nodes:
         kind = node.getClass().getSimpleName()
+        if _is_plan(spark, node):
+            if kind not in PLAN_NODES:
+                raise Rejected(f"forbidden clause: {kind}")
+        elif ".catalyst.analysis." in node.getClass().getName() and kind not in ANALYSIS_EXPRESSIONS:
+            raise Rejected(f"forbidden expression: {kind}")
         if kind in ("UnresolvedRelation", "UnresolvedTable", "UnresolvedView", "UnresolvedTableOrView"):
             parts = [node.multipartIdentifier().apply(n) for n in range(node.multipartIdentifier().size())]
             known = len(parts) == 1 and parts[0].lower() in named
@@ -97,6 +123,19 @@ def check_relations(spark: SparkSession, text: str) -> None:
                 raise Rejected(f"unknown relation: {'.'.join(parts)}")
         elif kind == "UnresolvedTableValuedFunction" and node.name().apply(0).lower() not in TABLE_FUNCTIONS:
             raise Rejected(f"forbidden table function: {node.name().apply(0)}")
+        elif kind == "UnresolvedFunction" and node.nameParts().last().lower() in BARRED_FUNCTIONS:
+            raise Rejected(f"forbidden function: {node.nameParts().last()}")
+
+
+def check_analyzed(spark: SparkSession, df: DataFrame) -> None:
+    """Refuses an analyzed query that reads anything but views and tables of the catalog, or calls Java."""
+    for node in _nodes(spark, df._jdf.queryExecution().analyzed(), stop=("View",)):
+        kind = node.getClass().getSimpleName().removesuffix("$")
+        if kind in JAVA_CALLS:
+            raise Rejected(f"forbidden function: {kind}")
+        if _is_plan(spark, node) and not node.children().size() and kind not in PLAIN_LEAVES:
+            if kind != "HiveTableRelation" and not (kind == "LogicalRelation" and node.catalogTable().isDefined()):
+                raise Rejected(f"reads more than views and tables: {kind}")
 
 
 def plan(spark: SparkSession, sql: str) -> DataFrame:
@@ -104,8 +143,10 @@ def plan(spark: SparkSession, sql: str) -> DataFrame:
     text = cleaned(sql)
     check_relations(spark, text)
     df = spark.sql(text)
-    if not re.match(r"(?i)(explain|show)\b", text) and "Command" in df._jdf.queryExecution().analyzed().getClass().getSimpleName():
-        raise Rejected("not a query")
+    if not re.match(r"(?i)(explain|show)\b", text):
+        if "Command" in df._jdf.queryExecution().analyzed().getClass().getSimpleName():
+            raise Rejected("not a query")
+        check_analyzed(spark, df)
     return df
 
 

@@ -141,9 +141,16 @@ def test_steps_stop_at_a_broken_precondition(spark):
         steps.run(plan, {"x": spark.range(3)})
 
 
-@pytest.mark.parametrize("sql", ["SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "VALUES (1)", "EXPLAIN SELECT 1", "SHOW TABLES", "SELECT 1;", "SELECT updated_at FROM VALUES (1) t(updated_at)", "SELECT * FROM known WHERE id IN (SELECT id FROM known) AND EXISTS (SELECT 1 FROM range(2))", "TABLE known", "EXPLAIN FORMATTED SELECT * FROM known", "SELECT (SELECT max(id) FROM known) AS m, posexplode(array(1))", "SHOW COLUMNS IN known", "SELECT k, count(*) FROM (SELECT id % 2 AS k FROM known) GROUP BY k HAVING count(*) > (SELECT 0)"])
-def test_gateway_accepts(spark, sql):
+@pytest.mark.parametrize("sql", ["SELECT 1", "WITH a AS (SELECT 1) SELECT * FROM a", "VALUES (1)", "EXPLAIN SELECT 1", "SHOW TABLES", "SELECT 1;", "SELECT updated_at FROM VALUES (1) t(updated_at)", "SELECT * FROM known WHERE id IN (SELECT id FROM known) AND EXISTS (SELECT 1 FROM range(2))", "TABLE known", "EXPLAIN FORMATTED SELECT * FROM known", "SELECT (SELECT max(id) FROM known) AS m, posexplode(array(1))", "SHOW COLUMNS IN known", "SELECT k, count(*) FROM (SELECT id % 2 AS k FROM known) GROUP BY k HAVING count(*) > (SELECT 0)",
+    "SELECT a.id, count(*) OVER (PARTITION BY a.id ORDER BY b.id) FROM known a JOIN known b ON a.id = b.id LEFT JOIN LATERAL (SELECT a.id + 1 AS x) z ON true ORDER BY 1 LIMIT 2 OFFSET 1", "SELECT id FROM known UNION SELECT 1 INTERSECT SELECT 2 EXCEPT SELECT 3",
+    "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT * FROM r", "SELECT * FROM known PIVOT (count(*) FOR id IN (1, 2))", "SELECT v FROM known UNPIVOT (v FOR n IN (id))", "FROM known |> WHERE id > 1".replace("FROM", "TABLE", 1),
+    "SELECT transform(array(1), x -> x + 1)[0], named_struct('x', 1).x, CASE WHEN id = 1 THEN 2 END, CAST(id AS STRING), id IS NULL, try_cast('x' AS INT), interval 1 day, current_date FROM known LATERAL VIEW explode(array(1)) e AS q",
+    "SELECT * EXCEPT (id) FROM (SELECT id, 1 AS b FROM known)", "SELECT id, grouping(id) FROM known GROUP BY CUBE (id)", "SELECT * FROM known TABLESAMPLE (2 ROWS)", "SELECT sum(id) OVER w FROM known WINDOW w AS (ORDER BY id)", "SELECT * FROM kept_table", "SELECT * FROM file_view"])
+def test_gateway_accepts(spark, sql, tmp_path):
     spark.range(3).createOrReplaceTempView("known")
+    spark.range(3).write.parquet(f"{tmp_path}/v")
+    spark.read.parquet(f"{tmp_path}/v").createOrReplaceTempView("file_view")
+    spark.sql("CREATE TABLE IF NOT EXISTS kept_table (id INT) USING parquet")
     gateway.execute(spark, sql)
 
 
@@ -151,7 +158,9 @@ def test_gateway_accepts(spark, sql):
     "select reflect('java.lang.System', 'getProperty', 'user.home')", "select java_method('java.lang.System', 'exit', 1)", "select `try_reflect`('java.lang.System', 'getProperty', 'user.home')", "explain select reflect('a', 'b')",
     "select * from text.`/etc/hostname`", "select * from parquet.`/root`", "with a as (select * from csv.`/etc/passwd`) select * from a", "select (select max(value) from text.`/etc/hostname`)", "select 1 where exists (select * from text.`/etc/hostname`)",
     "select 1 where 'a' in (select value from text.`/etc/hostname`)", "select * from unknown_table", "table text.`/etc/hostname`", "explain select * from text.`/etc/hostname`", "show columns in text.`/etc/hostname`", "show create table x", "select * from (select * from (select * from json.`/x`))",
-    "select count(*) from range(3) having count(*) > (select count(*) from text.`/etc/hostname`)", "select case when (select count(*) from text.`/etc/hostname`) > 0 then 1 end", "select * from range(1) order by (select max(value) from text.`/etc/hostname`)", "select * from range(2) a join text.`/etc/hostname` b on true", "selec"])
+    "select count(*) from range(3) having count(*) > (select count(*) from text.`/etc/hostname`)", "select case when (select count(*) from text.`/etc/hostname`) > 0 then 1 end", "select * from range(1) order by (select max(value) from text.`/etc/hostname`)", "select * from range(2) a join text.`/etc/hostname` b on true", "selec",
+    "select * from identifier('text.`/etc/hostname`')", "select identifier('refl' || 'ect')('java.lang.System','getProperty','user.home')", "select identifier('id') from range(3)", "table identifier('text.`/etc/hostname`')", "select * from range(2) where id in (select value from identifier('te' || 'xt.`/etc/hostname`'))",
+    "with a as (select * from identifier('text.`/etc/hostname`')) select * from a", "select :x", "select system.builtin.`reflect`('java.lang.System','getProperty','user.home')", "explain select * from identifier('text.`/etc/hostname`')", "select * from read_files('/etc/hostname')", "show columns in identifier('text.`/etc/hostname`')"])
 def test_gateway_rejects(spark, sql):
     with pytest.raises(gateway.Rejected):
         gateway.execute(spark, sql)
