@@ -40,7 +40,9 @@ TOP = 2000
 SCALE = 2_000_000
 #: A phrase goes when a longer one has at least this share of its occurrences, in per cent.
 COVERED = 80
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 19
+#: Phrases whose texts a task holds at once when it hands on their counts.
+TEXTS_AT_ONCE = 1 << 15
 FILTER_BITS = 24
 MOST_FILTER_BITS = 1 << 30
 #: Bits of a bitmap of Spark's ``bitmap_construct_agg``.
@@ -147,8 +149,8 @@ class Filter:
         return out
 
 
-def extended(ends: np.ndarray, names: np.ndarray, phrases: list[str], posted: np.ndarray, owner: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The lists of the phrases longer by a word: (ends, names, phrases) once more.
+def extended(ends: np.ndarray, names: np.ndarray, posted: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of the phrases longer by a word: (ends, names, pairs) where pairs are (phrase << 32 | word) of each new name.
 
     ``ends`` are the sorted positions of last words and ``names`` the phrases there; ``posted`` and
     ``owner`` are the postings of all words, sorted by position. A place is kept when a phrase ends
@@ -156,10 +158,12 @@ def extended(ends: np.ndarray, names: np.ndarray, phrases: list[str], posted: np
     """
     meets = np.flatnonzero(ends[1:] == ends[:-1] + 1)
     after = ends[meets + 1]
-    pairs = names[meets].astype(np.int64) << 32 | owner[np.searchsorted(posted, after)]
-    distinct, longer = np.unique(pairs, return_inverse=True)
-    first, last = (distinct >> 32).tolist(), (distinct & 0xFFFFFFFF).tolist()
-    return after, longer, [f"{phrases[a]} {words[b]}" for a, b in zip(first, last, strict=True)]
+    pairs, longer = np.unique(names[meets].astype(np.int64) << 32 | owner[np.searchsorted(posted, after)], return_inverse=True)
+    return after, longer, pairs
+
+
+def texts(pairs: np.ndarray, phrases: list[str], words: list[str]) -> list[str]:
+    return [f"{phrases[a]} {words[b]}" for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True)]
 
 
 def longer_counts(lists: DataFrame, filters: list[Filter]) -> DataFrame:
@@ -179,13 +183,14 @@ def longer_counts(lists: DataFrame, filters: list[Filter]) -> DataFrame:
                 posted, owner = posted[keep], owner[keep]
                 ends, names, phrases = posted, owner, words
                 for level in known[1:]:
-                    ends, names, phrases = extended(ends, names, phrases, posted, owner, words)
+                    ends, names, pairs = extended(ends, names, posted, owner)
+                    phrases = texts(pairs, phrases, words)
                     keep = np.flatnonzero(level.holds(lang, phrases)[names])
                     ends, names = ends[keep], names[keep]
-                ends, names, phrases = extended(ends, names, phrases, posted, owner, words)
-                sizes = np.bincount(names, minlength=len(phrases))
-                for at in range(0, len(phrases), 1 << 16):
-                    part = phrases[at : at + (1 << 16)]
+                _, names, pairs = extended(ends, names, posted, owner)
+                sizes = np.bincount(names, minlength=len(pairs))
+                for at in range(0, len(pairs), TEXTS_AT_ONCE):
+                    part = texts(pairs[at : at + TEXTS_AT_ONCE], phrases, words)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(sizes[at : at + len(part)], pa.int64())], names=["lang", "phrase", "n"])
 
     return lists.mapInArrow(run, "lang string, phrase string, n long")
