@@ -178,7 +178,7 @@ def table_grid(pages: pd.Series) -> pd.Series:
 
             later: dict[int, tuple[int, str]] = {}
             for attributes, body in re.findall(r"(?is)<t[dh]\b([^>]*)>(.*?)</t[dh]>", row):
-                text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+                text = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"(?i)<br\s*/?>|</(?:p|div|li)>", " ", body))).split())
                 down, across = (int(m[1]) if (m := re.search(rf'(?i){n}\s*=\s*"?(\d+)', attributes)) else 1 for n in ("rowspan", "colspan"))
                 fill()
                 for _ in range(across):
@@ -257,12 +257,30 @@ def price_number(c: Column) -> Column:
     return F.when(number > 0, number)
 
 
-def absolute_link(link: Column, base: str) -> Column:
-    """A link made absolute against a base such as https://host."""
-    host = base.split("://", 1)[1].split("/", 1)[0]
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments taken out."""
+    segments = F.split(path, "/", -1)
+    last = F.element_at(segments, -1)
+
+    def step(kept: Column, x: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)  # the empty one before the first slash stays
+        return F.when(x == "..", up).when(x == ".", kept).otherwise(F.array_append(kept, x))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
+def absolute_link(link: Column, base: str | Column) -> Column:
+    """A link resolved against the URL of its page: whole links, other hosts, absolute and relative paths, queries and fragments alone."""
+    page = F.lit(base) if isinstance(base, str) else base
+    scheme, host = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(page, r"^[^:/?#]+:(//[^/?#]*)", 1)
+    path, query = F.regexp_extract(page, r"^[^:/?#]+:(?://[^/?#]*)?([^?#]*)", 1), F.regexp_extract(page, r"^[^?#]*(\?[^#]*)", 1)
+    own, rest = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    beside = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
     return (
-        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.lit("https:"), link))
-        .when(link.startswith("/"), F.concat(F.lit(f"https://{host}"), link)).otherwise(F.concat(F.lit(f"https://{host}/"), link))
+        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link))
+        .when(own == "", F.concat(scheme, host, F.when(path == "", F.lit("/")).otherwise(path), F.when(rest.startswith("?"), rest).otherwise(F.concat(query, rest))))
+        .otherwise(F.concat(scheme, host, _without_dots(F.when(own.startswith("/"), own).otherwise(F.concat(beside, own))), rest))
     )
 
 
@@ -320,11 +338,3 @@ def size_or(first: Column, second: Column) -> Column:
     """The size of the first list that has elements; nulls are empty."""
     sizes = [F.size(F.coalesce(x, F.array().cast("array<string>"))) for x in (first, second)]
     return F.when(sizes[0] > 0, sizes[0]).otherwise(sizes[1])
-
-
-def json_merged(c: Column, **values: Column) -> Column:
-    """A flat JSON object with keys set or replaced; null counts as an empty one. Other values keep their JSON form."""
-    old = F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    kept = F.map_filter(old, lambda k, _: ~k.isin(*values))
-    new = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[v.cast("string") for v in values.values()]))
-    return F.to_json(F.map_concat(kept, new))

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import community_aliases
+from lodestrata.functions.text import community_aliases, trim_all
 from lodestrata.operators.dedupe import latest
 
 
 def detail(df: DataFrame, key: str, value: object, scope: Column, children: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
-    """The row of a positive whole-number key with a count per child table; no row for any other key or out of scope."""
-    try:
-        number = int(str(value))
-    except ValueError:
-        number = 0
+    """The row of a positive whole-number key with a count per child table; no row for any other key or out of scope.
+
+    A key is digits alone, up to the largest long; spaces, signs and separators make it none.
+    """
+    number = int(str(value)) if re.fullmatch("[0-9]{1,19}", str(value)) else 0
+    number = number if number < 1 << 63 else 0
     row = df.filter((F.col(key) == F.lit(number)) & F.lit(number > 0) & scope)
     for name, (child, column) in children.items():
         n = child.filter(F.col(column) == F.lit(number)).agg(F.count("*").alias(name))
@@ -114,11 +116,12 @@ def curated(candidates: DataFrame, mapping: DataFrame, targets: DataFrame) -> Da
 
 
 def same_place(found: DataFrame, communities: DataFrame) -> DataFrame:
-    """(found_id, community_id): equal names, or one's name is an alias of the other; districts agree where both are known."""
-    def spread(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, "district", F.explode(community_aliases(F.col("name"))).alias("alias"))
+    """(found_id, community_id): the found name is the community's, or the community's without phase and zone.
 
-    one, two = spread(found, "found_id"), spread(communities, "community_id").withColumnRenamed("district", "other")
+    Only our own names are peeled: another phase of the same estate is another place. Districts agree where both are known.
+    """
+    one = found.select("found_id", "district", trim_all(F.col("name")).alias("alias"))
+    two = communities.select("community_id", F.col("district").alias("other"), F.explode(community_aliases(F.col("name"))).alias("alias"))
     rows = one.join(two, "alias").filter(F.col("district").isNull() | F.col("other").isNull() | (F.col("district") == F.col("other")))
     return rows.select("found_id", "community_id").distinct()
 
@@ -130,12 +133,17 @@ def reverse_index(df: DataFrame, key: str, elements: str) -> DataFrame:
 
 
 def conserved(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
-    """(kind, n_before, n_after, ok): whether tagging moved rows between kinds and lost none; a null kind is the total."""
-    sides = [df.rollup(kind).agg(F.count("*").alias(n)) for df, n in ((before, "n_before"), (after, "n_after"))]
-    rows = sides[0].withColumnRenamed(kind, "k").join(sides[1], F.col("k").eqNullSafe(F.col(kind)), "full")
+    """(kind, is_total, n_before, n_after, ok): whether tagging moved rows between kinds and lost none.
+
+    A null kind is a kind of its own; the total is told by ``is_total``.
+    """
+    total = F.grouping(kind).cast("boolean").alias("is_total")
+    sides = [df.rollup(kind).agg(F.count("*").alias(n), total) for df, n in ((before, "n_before"), (after, "n_after"))]
+    left, right = sides[0].select(F.col(kind).alias("k"), F.col("is_total").alias("t"), "n_before"), sides[1]
+    rows = left.join(right, F.col("k").eqNullSafe(F.col(kind)) & (F.col("t") == F.col("is_total")), "full")
     none = F.lit(0).cast("long")
-    rows = rows.select(F.coalesce(F.col("k"), F.col(kind)).alias("kind"), F.coalesce("n_before", none).alias("n_before"), F.coalesce("n_after", none).alias("n_after"))
-    return rows.withColumn("ok", F.col("kind").isNotNull() | (F.col("n_before") == F.col("n_after")))
+    rows = rows.select(F.coalesce("k", kind).alias("kind"), F.coalesce("t", "is_total").alias("is_total"), F.coalesce("n_before", none).alias("n_before"), F.coalesce("n_after", none).alias("n_after"))
+    return rows.withColumn("ok", ~F.col("is_total") | (F.col("n_before") == F.col("n_after")))
 
 
 def robust_box(df: DataFrame, lat: str, lng: str, pad: float = 0.005, span: float = 0.135) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata import registry
-from lodestrata.functions import classify, labels, text
+from lodestrata.functions import classify, documents, labels, text
 from lodestrata.operators import browse, product
 
 TITLES = (
@@ -26,7 +26,7 @@ def _pick(values, number):
 
 def q51_entity_detail(spark, sf):
     customer, orders, events = _t(spark, sf, "customer", "orders", "events")
-    found = [product.detail(customer, "c_custkey", key, F.col("c_nationkey") < 9, {"n_orders": (orders, "o_custkey"), "n_events": (events, "user_id")}) for key in ("6", 8, 7, "x", -1, None)]
+    found = [product.detail(customer, "c_custkey", key, F.col("c_nationkey") < 9, {"n_orders": (orders, "o_custkey"), "n_events": (events, "user_id")}) for key in ("6", 8, 7, "x", -1, None, "1_0", " 5 ", "+3", 1 << 70, "9" * 30, "٣", "4.0")]
     out = found[0]
     for one in found[1:]:
         out = out.unionByName(one)
@@ -101,8 +101,10 @@ def q62_match_statistics(spark, sf):
 
 def q63_json_merge(spark, sf):
     (events,) = _t(spark, sf, "events")
-    made = text.json_merged(F.col("props"), reviewedAt=F.col("event_type"), k=F.when(F.col("event_id") % 2 == 0, F.lit("0")).otherwise(F.get_json_object("props", "$.k")))
-    return events.withColumn("made", made).select("event_id", F.get_json_object("made", "$.reviewedAt").alias("reviewed_at"), F.get_json_object("made", "$.k").alias("k"), F.size(F.json_object_keys("made")).cast("long").alias("n_keys"))
+    typed = F.to_json(F.struct(F.col("event_id").alias("n"), (F.col("event_id") % 2 == 0).alias("even"), F.array("event_id", F.lit(None)).alias("list"), F.struct(F.col("event_type").alias("t")).alias("o")), {"ignoreNullFields": "false"})
+    props = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 7 == 1, "no json").when(F.col("event_id") % 7 == 2, "[1]").otherwise(typed)
+    made = documents.json_merged(props, reviewedAt=F.col("event_type"), n=F.when(F.col("event_id") % 3 > 0, F.col("event_id") * 10))
+    return events.select("event_id", made.alias("made"))
 
 
 def q64_literal_search(spark, sf):
@@ -118,7 +120,8 @@ def q65_verified_note(spark, sf):
 
 def q66_conservation(spark, sf):
     (customer,) = _t(spark, sf, "customer")
-    return product.conserved(customer, customer.withColumn("c_mktsegment", F.when(F.col("c_acctbal") < 0, "NEGATIVE").otherwise(F.col("c_mktsegment"))), "c_mktsegment")
+    before = customer.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 > 0, F.col("c_mktsegment")))
+    return product.conserved(before, before.withColumn("c_mktsegment", F.when(F.col("c_acctbal") < 0, "NEGATIVE").when(F.col("c_acctbal") < 9000, F.col("c_mktsegment"))), "c_mktsegment")
 
 
 def q67_reverse_index(spark, sf):
@@ -134,7 +137,7 @@ def q68_robust_box(spark, sf):
 
 def q69_same_place(spark, sf):
     nation, part = _t(spark, sf, "nation", "part")
-    found = nation.select(F.col("n_nationkey").alias("found_id"), F.lit(None).cast("string").alias("district"), F.concat(F.lit("花园"), F.col("n_nationkey").cast("string"), F.lit("号")).alias("name"))
+    found = nation.select(F.col("n_nationkey").alias("found_id"), F.lit(None).cast("string").alias("district"), F.concat(F.lit("花园"), F.col("n_nationkey").cast("string"), F.lit("号"), _pick(("", "一期", "三期", "（东区）"), F.col("n_nationkey"))).alias("name"))
     known = part.select(F.col("p_partkey").alias("community_id"), F.lit("静安").alias("district"), F.concat(F.lit("花园"), F.col("p_size").cast("string"), F.lit("号"), _pick(("", "三期", "（东区）", "北区二期", "村"), F.col("p_partkey"))).alias("name"))
     return product.same_place(found, known)
 

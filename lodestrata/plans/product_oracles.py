@@ -19,8 +19,9 @@ def _peeled(name: str) -> str:
 _LINKS = """SELECT o_orderkey, o_custkey AS user_id, o_orderpriority, event_id, value FROM orders LEFT JOIN
   (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) e ON o_custkey = user_id WHERE year(o_orderdate) = 1997"""
 _AREAS = """(SELECT *, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment WHEN c_custkey % 2 = 0 THEN 'area ' || c_nationkey ELSE 'none' END AS name FROM customer)"""
-_ROLLUP = "SELECT c_mktsegment AS kind, count(*) AS n FROM ({}) GROUP BY GROUPING SETS ((c_mktsegment), ())"
-_AFTER = "SELECT CASE WHEN c_acctbal < 0 THEN 'NEGATIVE' ELSE c_mktsegment END AS c_mktsegment FROM customer"
+_ROLLUP = "SELECT c_mktsegment AS kind, grouping(c_mktsegment) = 1 AS is_total, count(*) AS n FROM ({}) GROUP BY GROUPING SETS ((c_mktsegment), ())"
+_BEFORE = "SELECT c_acctbal, CASE WHEN c_custkey % 10 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer"
+_AFTER = f"SELECT CASE WHEN c_acctbal < 0 THEN 'NEGATIVE' WHEN c_acctbal < 9000 THEN c_mktsegment END AS c_mktsegment FROM ({_BEFORE})"
 
 
 def _at(column: str, share: float) -> str:
@@ -66,18 +67,21 @@ ORACLES = {
       count(*) FILTER (WHERE l_linenumber = 4) AS tier_4, count(*) AS n_votes FROM lineitem GROUP BY 1, 2)
       SELECT *, CASE WHEN greatest(tier_1, tier_2, tier_3, tier_4) = 0 THEN NULL WHEN tier_1 >= greatest(tier_2, tier_3, tier_4) THEN 1 WHEN tier_2 >= greatest(tier_3, tier_4) THEN 2 WHEN tier_3 >= tier_4 THEN 3 ELSE 4 END::BIGINT AS tier FROM c""",
     "q62_match_statistics": "SELECT count(*) AS total, count(c_custkey) AS matched, count(*) - count(c_custkey) AS unmatched FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey",
-    "q63_json_merge": """SELECT event_id, event_type AS reviewed_at, CASE WHEN event_id % 2 = 0 THEN '0' ELSE props->>'$.k' END AS k,
-      CAST(len(list_distinct(list_concat(json_keys(props), ['reviewedAt', 'k']))) AS BIGINT) - CASE WHEN event_id % 2 = 1 AND (props->>'$.k') IS NULL THEN 1 ELSE 0 END AS n_keys FROM events""",
+    "q63_json_merge": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{' || CASE WHEN event_id % 3 > 0 THEN '"n":' || event_id * 10 ELSE '"n":null' END || ',"reviewedAt":"' || event_type || '"}'
+      WHEN event_id % 7 > 2 THEN '{"even":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"list":[' || event_id || ',null],"n":' || CASE WHEN event_id % 3 > 0 THEN CAST(event_id * 10 AS VARCHAR) ELSE 'null' END
+        || ',"o":{"t":"' || event_type || '"},"reviewedAt":"' || event_type || '"}' END AS made FROM events""",
     "q64_literal_search": "SELECT lang, source, count(*) AS n FROM documents WHERE contains(text, '%%%') GROUP BY 1, 2",
     "q65_verified_note": """SELECT c_custkey, c_custkey % 7 = 0 OR c_acctbal > 5000 AS verified, CASE WHEN c_acctbal > 5000 AND c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'old' || chr(10) || 'seen' ELSE 'seen' END
       WHEN c_custkey % 2 = 0 THEN 'old' ELSE '' END AS note FROM customer""",
-    "q66_conservation": f"""WITH b AS ({_ROLLUP.format("SELECT * FROM customer")}), a AS ({_ROLLUP.format(_AFTER)})
-      SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, coalesce(b.kind, a.kind) IS NOT NULL OR b.n = a.n AS ok FROM b FULL JOIN a ON b.kind IS NOT DISTINCT FROM a.kind""",
+    "q66_conservation": f"""WITH b AS ({_ROLLUP.format(_BEFORE)}), a AS ({_ROLLUP.format(_AFTER)})
+      SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.is_total, a.is_total) AS is_total, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, NOT coalesce(b.is_total, a.is_total) OR b.n = a.n AS ok
+      FROM b FULL JOIN a ON b.kind IS NOT DISTINCT FROM a.kind AND b.is_total = a.is_total""",
     "q67_reverse_index": "SELECT element, count(DISTINCT p_partkey) AS n, min(p_partkey) AS first_id FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS element FROM part) WHERE element <> '' GROUP BY 1",
     "q68_robust_box": f"""WITH p AS (SELECT 31 + c_custkey % 97 / 1000.0::DOUBLE AS lat, 121 + c_custkey % 89 / 100.0::DOUBLE AS lng FROM customer),
       q AS (SELECT {", ".join(f"{_at(c, s)} AS {n}{int(s * 100):02d}" for c, n in (("lat", "y"), ("lng", "x")) for s in (0.05, 0.5, 0.95))} FROM p)
       SELECT {_edge("y", True)} AS south_e6, {_edge("y", False)} AS north_e6, {_edge("x", True)} AS west_e6, {_edge("x", False)} AS east_e6 FROM q""",
-    "q69_same_place": """SELECT n_nationkey AS found_id, p_partkey AS community_id FROM nation JOIN part ON p_size = n_nationkey WHERE p_partkey % 5 <> 4""",
+    "q69_same_place": """SELECT n_nationkey AS found_id, p_partkey AS community_id FROM nation JOIN part ON p_size = n_nationkey
+      WHERE CASE n_nationkey % 4 WHEN 0 THEN p_partkey % 5 <> 4 WHEN 2 THEN p_partkey % 5 = 1 WHEN 3 THEN p_partkey % 5 = 2 ELSE false END""",
     "q70_titles_and_places": f"""WITH r AS (SELECT p_partkey, {_pick(TITLES, "p_partkey")} AS title, {_pick(PLACES, "p_size")} AS place FROM part),
       a AS (SELECT *, {_peeled("place")} AS one FROM r), b AS (SELECT *, {_peeled("one")} AS two FROM a), c AS (SELECT *, {_peeled("two")} AS three FROM b)
       SELECT p_partkey, {_CATEGORY} AS category, {_RESIDENTIAL} AS residential, {_AREA} AS area, {_KIND} AS kind,

@@ -28,6 +28,17 @@ def test_values(spark, f, value, wanted):
     assert one(spark, f, value) == wanted
 
 
+@pytest.mark.parametrize(("link", "wanted"), [
+    ("/b", "https://a.cn/b"), ("//c.cn/d", "https://c.cn/d"), ("http://e", "http://e"), ("f", "https://a.cn/x/y/f"), ("../b", "https://a.cn/x/b"), ("../../../b", "https://a.cn/b"), ("./", "https://a.cn/x/y/"), (".", "https://a.cn/x/y/"),
+    ("..", "https://a.cn/x/"), ("?q=1", "https://a.cn/x/y/z?q=1"), ("#t", "https://a.cn/x/y/z?p=2#t"), ("", "https://a.cn/x/y/z?p=2"), ("a/../b/./c?d=../e#f", "https://a.cn/x/y/b/c?d=../e#f"), ("/a/b/../../..", "https://a.cn/"),
+    ("mailto:x@y.cn", "mailto:x@y.cn"), ("g//h", "https://a.cn/x/y/g//h"), (None, None),
+])
+def test_links_are_resolved(spark, link, wanted):
+    assert one(spark, lambda c: text.absolute_link(c, "https://a.cn/x/y/z?p=2#q"), link) == wanted
+    if link == "../b":
+        assert one(spark, lambda c: text.absolute_link(F.lit("k"), c), "http://a.cn") == "http://a.cn/k"
+
+
 def test_links(spark):
     assert [one(spark, lambda c: text.absolute_link(c, "https://a.cn/x"), v) for v in ("/b", "//c.cn/d", "http://e", "f")] == ["https://a.cn/b", "https://c.cn/d", "http://e", "https://a.cn/f"]
     assert one(spark, lambda c: text.listing_link(c, "m.x.cn", "www.x.cn", "sh"), "http://www.x.cn/community/1?flag=2&a=b&city=bj") == "https://m.x.cn/community/1?a=b&city=sh"
@@ -37,7 +48,6 @@ def test_lists_and_json(spark):
     rows = spark.createDataFrame([("a", ["b", "a", "", None, "b"], ["c"], [])], "name string, x array<string>, y array<string>, z array<string>")
     got = rows.select(text.aliases_of(F.col("name"), F.col("x"), F.col("y")).alias("a"), text.size_or(F.col("z"), F.col("x")).alias("n"), text.size_or(F.col("z"), F.lit(None).cast("array<string>")).alias("none")).first()
     assert tuple(got) == (["b", "c"], 5, 0)
-    assert one(spark, lambda c: text.json_merged(c, k=F.lit("v")), '{"a": "b", "k": "old"}') == '{"a":"b","k":"v"}' and one(spark, lambda c: text.json_merged(c, k=F.lit("v")), None) == '{"k":"v"}'
     assert text.storage_names(("浦东", "静安")) == ["浦东", "浦东区", "浦东新区", "静安", "静安区"] and text.quoted_name("a`b") == "`a``b`"
 
 
@@ -95,3 +105,22 @@ def test_small_reports(spark):
     page = browse.clamped_page(spark.range(7).withColumnRenamed("id", "id"), 99, 3)
     assert [r["id"] for r in page.collect()] == [0]
     assert [one(spark, classify.title_category, t) for t in ("公办初中入学方式", "招生方案（学校层面）九年一贯制", "登记点", None)] == ["middle-scope", "middle-scope", "school-list", "other"]
+
+
+def test_only_our_own_names_are_peeled(spark):
+    found = spark.createDataFrame([(1, "静安", "东方花园三期"), (2, None, "东方花园"), (3, "浦东", "东方花园"), (4, None, " 东方花园一期 ")], "found_id int, district string, name string")
+    known = spark.createDataFrame([(10, "静安", "东方花园一期"), (11, "静安", "东方花园三期"), (12, None, "东方花园")], "community_id int, district string, name string")
+    assert sorted(map(tuple, product.same_place(found, known).collect())) == [(1, 11), (2, 10), (2, 11), (2, 12), (3, 12), (4, 10)]
+
+
+def test_conservation_with_a_null_kind(spark):
+    before = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "k string")
+    after = spark.createDataFrame([("a",), (None,), (None,)], "k string")
+    got = sorted(map(tuple, product.conserved(before, after, "k").collect()), key=repr)
+    assert got == sorted([("a", False, 2, 1, True), (None, False, 1, 2, True), ("b", False, 1, 0, True), (None, True, 4, 3, False)], key=repr)
+
+
+@pytest.mark.parametrize(("key", "n"), [("6", 1), (6, 1), ("06", 1), ("1_0", 0), (" 6 ", 0), ("+6", 0), (1 << 70, 0), ((1 << 63) - 1, 0), ("9" * 19, 0), ("٦", 0), (6.0, 0), (True, 0), (None, 0), ("", 0), (-6, 0), (0, 0)])
+def test_detail_takes_digits_alone(spark, key, n):
+    rows, child = spark.range(10).withColumnRenamed("id", "k"), spark.range(3).selectExpr("6 as own")
+    assert [tuple(r) for r in product.detail(rows, "k", key, F.lit(True), {"n": (child, "own")}).collect()] == [(6, 3)] * n
