@@ -40,7 +40,7 @@ TOP = 2000
 SCALE = 2_000_000
 #: A phrase goes when a longer one has at least this share of its occurrences, in per cent.
 COVERED = 80
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 20
 #: Phrases whose texts a task holds at once when it hands on their counts.
 TEXTS_AT_ONCE = 1 << 15
 FILTER_BITS = 24
@@ -209,7 +209,8 @@ def frequent(spark: SparkSession, df: DataFrame, least: int = LEAST_COUNT, longe
         if size > 1:
             counts = longer_counts(lists, filters)
         where = f"{path}/frequent-{size}"
-        counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).write.parquet(where)
+        # counted in a block already, so few rows of a task are alike: they are summed after the shuffle alone
+        counts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).write.parquet(where)
         parts.append(spark.read.parquet(where))
         if size < longest:
             filters.append(Filter.of(parts[-1]))
