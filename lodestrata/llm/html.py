@@ -6,9 +6,14 @@ highest sum; its words of positive score, joined block by block, are the main te
 
 Weights are log-odds of a token inside against outside the article, learned on a bounded sample of
 pages that label themselves by ``article`` or ``main`` markup; the signs of words and tags are kept
-as above. Words of class, id and role get log-odds too, from the text in such elements: a name whose words on ``LEAST_PAGES`` or more labelled pages lie outside is not of the article, and so
-are those of the prior lists below, whose words inside labelled articles are left out of the counts.
-Without labelled pages the weights are ``DEFAULT_WEIGHTS``.
+as above, but for tags inside an article that the page itself marks, which cost nothing: such an article is
+not cut at its lists and links. Words of class, id and role get log-odds too, from the text in such elements, on
+``LEAST_PAGES`` or more labelled pages: a name whose words lie outside marks what is not of the article,
+one whose words lie inside is trusted whatever the prior list below says. Without labelled pages the weights are ``DEFAULT_WEIGHTS``.
+
+A name alone never takes away the page's principal ``article`` or ``main`` (that of most words), whatever it
+lies in; nor does a name of the prior list take away more than half of the words of the article (or page)
+around, but for reader comments. Where names leave nothing, they do not count.
 
 Pages are read as browsers do where it matters: scripts and the like end at their own closing tag,
 paragraphs, list items and table cells end where the next one begins, closing tags end what is open
@@ -72,8 +77,7 @@ ENDS_LIKE = {
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 STRUCTURE = frozenset("article main h1 nav header footer".split())
 FORM_TEXT_WORDS, LEAST_PAGES = 25, 25
-#: How far back an open element is looked for.
-DEPTH = 256
+_COMMENTS = re.compile(r"comments?|disqus|repl(?:y|ies)")
 
 Token = tuple[str, str, bool]  # kind or tag name, text, whether in the article by markup
 
@@ -104,60 +108,70 @@ def pieces(page: str) -> Iterator[tuple[str, str]]:
 
 
 class Element:
-    """An open element: its names, whether its own closing tag comes, and, for a form, whether it is the page."""
+    """An open element: its names, whether its own closing tag comes, its words, and, for a form, whether it is the page."""
 
-    __slots__ = ("name", "names", "hidden", "closed", "page", "words", "outer", "raw")
+    __slots__ = ("name", "names", "hidden", "closed", "page", "words", "outer", "raw", "parent", "size", "comments", "principal")
 
-    def __init__(self, name: str, tag: str) -> None:
+    def __init__(self, name: str, tag: str, parent: Element | None) -> None:
         self.name, self.names, self.hidden = name, (), False
         if " " in tag or "\n" in tag:
             self.names = tuple(_NAME_WORD.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(tag)).lower()))
             self.hidden = bool(_HIDDEN.search(tag))
-        self.closed = self.page = self.raw = False
-        self.words = 0
+        self.closed = self.page = self.raw = self.principal = False
+        self.words = self.size = 0
+        self.parent = parent
+        self.comments = (parent is not None and parent.comments) or any(map(_COMMENTS.fullmatch, self.names))
         self.outer: Element | None = None
 
 
 Event = tuple[str, object]  # ("text", text), ("open", element), ("close", element), ("tag", name)
 
 
-def events(page: str) -> list[Event]:
-    """Texts, elements that open and close, implied ends included, and tags that open nothing or close nothing."""
+def events(page: str) -> tuple[list[Event], int]:
+    """Texts, elements that open and close, implied ends included, and tags that open nothing or close nothing; and the words of all texts.
+
+    Afterwards each element knows its words (without the principal article's, if it lies inside), and the principal article is marked.
+    """
     out: list[Event] = []
     stack: list[Element] = []
-    count: Counter[str] = Counter()
+    places: dict[str, list[int]] = {}  # of the open elements, by name
     form: Element | None = None
+    principals: list[Element | None] = [None, None]  # outside of reader comments, and inside
+    total = raw = 0
 
     def end(depth: int) -> None:
-        nonlocal form
+        nonlocal form, raw
         while len(stack) > depth:
             element = stack.pop()
-            count[element.name] -= 1
+            places[element.name].pop()
+            raw -= element.name in RAW
+            element.size = total - element.size
             if element is form:
                 form = None
+            best = principals[element.comments]
+            if element.name in ("article", "main") and (best is None or element.size >= best.size):
+                principals[element.comments] = element
             out.append(("close", element))
 
     def find(names: tuple[str, ...], bounds: tuple[str, ...]) -> int | None:
-        if not any(count[n] for n in names):
-            return None
-        for depth in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
-            if stack[depth].name in names:
-                return depth
-            if stack[depth].name in bounds:
-                return None
-        return None
+        """The innermost open element of the names, unless one of the bounds is open inside of it."""
+        depth = max((places[n][-1] for n in names if places.get(n)), default=-1)
+        return depth if depth > max((places[n][-1] for n in bounds if places.get(n)), default=-1) else None
 
     for text, piece in pieces(page):
         if text:
             out.append(("text", text))
-            if form is not None and count["p"]:
-                form.words += len(text.split())
+            n = 0 if raw else len(text.split())
+            total += n
+            if form is not None and places.get("p"):
+                form.words += n
         tag = _TAG.match(piece)
         if not tag:
             continue
         name = tag[2].lower()
         if tag[1]:
-            if count[name] and (depth := find((name,), ())) is not None:
+            if places.get(name):
+                depth = places[name][-1]
                 stack[depth].closed = True
                 end(depth)
             out.append(("tag", name))
@@ -173,14 +187,21 @@ def events(page: str) -> list[Event]:
             form.page = True
         if name in VOID or (piece.endswith("/>") and name in RAW) or (name == "form" and form is not None):
             continue
-        element = Element(name, piece)
+        element = Element(name, piece, stack[-1] if stack else None)
+        element.size = total
+        raw += name in RAW
         if name == "form":
             form = element
+        places.setdefault(name, []).append(len(stack))
         stack.append(element)
-        count[name] += 1
         out.append(("open", element))
     end(0)
-    return out
+    principal = principals[0] or (principals[1] if principals[1] and 2 * principals[1].size > total else None)
+    if principal:
+        principal.principal, around = True, principal.parent
+        while around:  # has what is beside the principal article
+            around.size, around = around.size - principal.size, around.parent
+    return out, total
 
 
 def prior(name: str) -> bool:
@@ -193,14 +214,22 @@ def features(element: Element) -> list[str]:
     return [f"tag:{element.name}", *(f"name:{n}" for n in element.names), *(f"name:{a}{b}" for a, b in zip(element.names, element.names[1:], strict=False) if a + b in ("sidebar",))]
 
 
-def marked(element: Element, weights: dict[str, float]) -> bool:
-    """Whether an element is not of the article by its names' weights or by the prior."""
+def marked(element: Element, weights: dict[str, float], around: int, named: bool = True) -> bool:
+    """Whether an element is not of the article, by its tag, or by its names' weights or the prior where names count (``named``).
+
+    ``around`` is the number of words of the article, or page, around it.
+    """
     if element.name in ("body", "html", "main") or (element.name == "form" and (element.page or element.words >= FORM_TEXT_WORDS)):
         return False
-    return element.hidden or any(f in weights or prior(f) for f in features(element))
+    if element.hidden or element.name in OUTER:
+        return True
+    names = [f for f in features(element) if f.startswith("name:")] if named and not element.principal else []
+    if any(weights.get(f, 0.0) < 0 for f in names) or any(map(_COMMENTS.fullmatch, element.names)) and names:
+        return True
+    return 2 * element.size <= around and any(f not in weights and prior(f) for f in names)
 
 
-def tokens(page: str, weights: dict[str, float], seen: list[tuple[tuple[str, ...], int, bool | None]] | None = None) -> Iterator[Token]:
+def tokens(page: str, weights: dict[str, float], seen: list[tuple[tuple[str, ...], int, bool | None]] | None = None, named: bool = True) -> Iterator[Token]:
     """Text and tags in page order. Texts are of kind WORD, LINK_WORD or OUTER_WORD.
 
     ``seen`` collects, for each text, the features around it, its words, and whether it is inside the article (None: in doubt).
@@ -208,7 +237,9 @@ def tokens(page: str, weights: dict[str, float], seen: list[tuple[tuple[str, ...
     stack: list[Element] = []
     around: Counter[str] = Counter()
     link = article = raw = 0
-    for kind, value in events(page):
+    found, total = events(page)
+    articles: list[int] = [total]
+    for kind, value in found:
         if kind == "text":
             outer = stack[-1].outer if stack else None
             if not raw:
@@ -223,17 +254,22 @@ def tokens(page: str, weights: dict[str, float], seen: list[tuple[tuple[str, ...
             step = 1 if kind == "open" else -1
             raw += step * (element.name in RAW)
             link += step * (element.name == "a")
-            article += step * (element.name in ("article", "main"))
+            if element.name in ("article", "main"):
+                article += step
+                if kind == "close":
+                    articles.pop()
             if seen is not None:
                 for f in features(element):
                     around[f] += step
             if kind == "open":
                 element.outer = stack[-1].outer if stack else None
-                if element.outer and (element.name == "main" or element.name == "article" and not element.outer.closed) and not element.outer.hidden:
+                if element.outer and not element.outer.hidden and (element.name == "main" or element.name == "article" and (not element.outer.closed or element.principal and element.outer.name not in OUTER)):
                     element.outer = None
-                if element.outer is None and marked(element, weights):
+                if element.outer is None and marked(element, weights, articles[-1], named):
                     element.outer = element
                 stack.append(element)
+                if element.name in ("article", "main"):
+                    articles.append(element.size)
             else:
                 stack.pop()
 
@@ -270,7 +306,8 @@ def learn(pages: list[str]) -> dict[str, float]:
     words_in, words_out = (sum(own[n] for f, own in names.items() if f == "tag:body") + 1 for n in (1, 2))
     for f, (n_pages, n_in, n_out) in names.items():
         if n_pages >= LEAST_PAGES and f.startswith("name:"):  # tags alone say too little: a page's only div may be an advert
-            if (odds_of := math.log((n_in + 1) / words_in * words_out / (n_out + 1)) + SURE) < 0:
+            odds_of = math.log((n_in + 1) / words_in * words_out / (n_out + 1))
+            if odds_of + SURE < 0 or odds_of > 0 and n_in and prior(f):
                 weights[f] = odds_of
     return weights
 
@@ -291,13 +328,17 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The article's text: references decoded, white space within a block collapsed, blocks joined by a space."""
     if not page:
         return ""
-    row = list(tokens(page, weights))
+    return _region_text(page, weights, True) or _region_text(page, weights, False)
+
+
+def _region_text(page: str, weights: dict[str, float], named: bool) -> str:
+    row = list(tokens(page, weights, named=named))
     scores = []
-    for kind, text, _ in row:
+    for kind, text, own in row:
         if kind[0] == "#":
             scores.append(weights[kind] * len(text.split()))
         else:
-            scores.append(weights.get(kind, DEFAULT_TAG_WEIGHT))
+            scores.append(0.0 if own else weights.get(kind, DEFAULT_TAG_WEIGHT))
     start, end = best_region(scores)
     out = []
     for kind, text, _ in row[start:end]:

@@ -41,6 +41,49 @@ def test_reader_comments_are_left_out():
     assert text_of(f'<article>{TEXT}</article><article class="comment">Well said, and more</article>') == TEXT
 
 
+NAMED = ["share price", "social policy", "content related", "search-results", "widget", "modal", "ad", "notice board", "promo popup", "comment-worthy"]
+
+
+@pytest.mark.parametrize("name", NAMED)
+@pytest.mark.parametrize("page", [
+    '<body><article class="{}"><p>%s</p></article><p>by the way</p></body>', '<body><main><div class="{}"><p>%s</p></div></main></body>', '<body><div id="{}"><article><p>%s</p></article></div><div>foot note</div></body>',
+    '<body><nav>a b c</nav><div class="{}"><div><p>%s</p></div></div></body>', '<body><div class="{}"><main><h1></h1><p>%s</p></main></div></body>',
+])
+def test_names_alone_take_no_article_away(page, name):
+    pages = [f"<body><div class=ad>buy this now {n}</div><article><p>{TEXT} {n}</p></article></body>" for n in range(40)]
+    for weights in (html.DEFAULT_WEIGHTS, html.learn(pages)):
+        assert TEXT in text_of(page.format(name) % TEXT, weights)
+
+
+def test_names_still_mark_what_is_beside_the_article():
+    for name in NAMED:
+        page = f'<body><article><p>{TEXT}</p><div class="{name}">Look at this</div></article><div class="{name}"><p>Three words more</p></div></body>'
+        assert text_of(page) == TEXT
+    comments = "<div class=comments>" + "<p>I have a lot to say about that, more than the story has.</p>" * 20 + "</div>"
+    assert text_of(f"<body><article><p>{TEXT}</p></article>{comments}</body>") == TEXT
+    assert text_of(f"<body><article><p>{TEXT}</p>{comments}</article></body>") == TEXT
+
+
+@pytest.mark.parametrize("depth", [100, 300, 5000])
+def test_deep_nesting(depth):
+    assert text_of(f"<nav><div>{'<b>' * depth}</nav><p>{TEXT}</p>") == TEXT
+    assert text_of(f"{'<div>' * depth}<p>{TEXT}</p>{'</div>' * depth}<footer>x</footer>") == TEXT
+    assert text_of(f"<ul><li class=menu>{'<i>' * depth}<li>{TEXT}</ul>") == TEXT
+
+
+def test_lists_and_links_do_not_cut_a_marked_article():
+    links = "<ul>" + "<li><a href=x>one</a></li>" * 30 + "</ul>"
+    assert text_of(f"<body><article><p>An introduction.</p>{links}<p>{TEXT}</p></article></body>", html.learn([f"<body><nav>{links}</nav><article><p>{TEXT}</p></article></body>"] * 30)) == f"An introduction. {' '.join(['one'] * 30)} {TEXT}"
+
+
+def test_labels_overrule_the_prior():
+    pages = [f'<body><div class=top>{"junk " * 30}</div><article><div class="widget"><p>{TEXT} {n}</p></div><p>x</p></article></body>' for n in range(40)]
+    weights = html.learn(pages)
+    assert weights["name:widget"] > 0
+    page = f'<body><div class="widget"><p>{TEXT}</p></div><div class=story><p>{TEXT * 3}</p></div></body>'
+    assert text_of(page, weights).startswith(TEXT + " ") and not text_of(page).startswith(TEXT + " ")
+
+
 def test_labelled_pages_teach_names():
     pages = [f'<body><div class="zz-top"><p>{"junk " * 30}</p></div><article><div class="copy"><p>{TEXT} {n}</p></div></article></body>' for n in range(40)]
     weights = html.learn(pages)
