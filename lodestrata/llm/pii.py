@@ -64,13 +64,45 @@ _SECRET = re.compile(r"(?:token|secret|password|passwd|api[_-]?key|bearer)[\"']?
 _LONG = re.compile(r"(?<![A-Za-z0-9_+/.=-])[A-Za-z0-9_+/-]{20,}+=*+")
 #: Secrets that show by their own form, each with a string that stands in it.
 _FORMS = tuple((word, re.compile(pattern)) for word, pattern in (
-    ("AKIA", r"\bAKIA[0-9A-Z]{16}\b"), ("ASIA", r"\bASIA[0-9A-Z]{16}\b"), ("gh", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b"), ("github_pat_", r"\bgithub_pat_[A-Za-z0-9_]{22,255}\b"),
-    ("xox", r"\bxox[abeoprs]-[A-Za-z0-9-]{10,250}"), ("AIza", r"\bAIza[0-9A-Za-z_-]{35}"), ("_live_", r"\b[rs]k_live_[0-9A-Za-z]{16,250}\b"), ("glpat-", r"\bglpat-[0-9A-Za-z_-]{20,250}"),
-    ("eyJ", r"\beyJ[A-Za-z0-9_-]{8,4000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}"),
-    ("PRIVATE KEY-----", r"-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{0,20000}?-----END (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----"),
+    ("AKIA", r"\bAKIA[0-9A-Z]{16}\b"), ("ASIA", r"\bASIA[0-9A-Z]{16}\b"), ("gh", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"), ("github_pat_", r"\bgithub_pat_[A-Za-z0-9_]{22,}\b"),
+    ("xox", r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}"), ("AIza", r"\bAIza[0-9A-Za-z_-]{35}"), ("_live_", r"\b[rs]k_live_[0-9A-Za-z]{16,}\b"), ("glpat-", r"\bglpat-[0-9A-Za-z_-]{20,}"),
 ))
 
 
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{11,}+)\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+_SIGNED_HEAD = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}")
+_KEY_BEGIN, _KEY_END = (re.compile(rf"-----{word} (?:[A-Z]{{1,20}} ){{0,3}}PRIVATE KEY-----") for word in ("BEGIN", "END"))
+_NO_KEY = re.compile(r"[^A-Za-z0-9+/=\s:,-]")
+
+
+def _signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Signed tokens of three parts, of any length: a run of token characters in which the first part begins, and two more."""
+    at = 0
+    while match := _SIGNED.search(text, at):
+        head = _SIGNED_HEAD.search(match[1])
+        if head:
+            yield match.start() + head.start(), match.end()
+        at = match.end() if head else match.end(1) + 1
+
+
+def _private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys of any length, from each beginning to the first end after it; ends and foreign characters are looked for once."""
+    end, bad, done, length = None, -1, 0, len(text)
+    for begin in _KEY_BEGIN.finditer(text):
+        if begin.start() < done:
+            continue
+        if end is None or end.start() < begin.end():
+            end = _KEY_END.search(text, begin.end())
+            if end is None:
+                return
+        if bad < begin.end():
+            foreign = _NO_KEY.search(text, begin.end())
+            bad = foreign.start() if foreign else length
+        if bad >= end.start():
+            yield begin.start(), end.end()
+            done = end.end()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for place, digit in enumerate(map(int, reversed(digits))):
@@ -151,6 +183,7 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str
     for start, end in _ibans(text):
         add("iban", start, end, True, False)
     secrets = [(*m.span(), FORM_PRIOR) for word, form in _FORMS if word in text for m in form.finditer(text)]
+    secrets += [(*span, FORM_PRIOR) for word, scan in (("eyJ", _signed_tokens), ("PRIVATE KEY-----", _private_keys)) if word in text for span in scan(text)]
     lowered = text.lower()
     if any(word in lowered for word in _SECRET_WORDS):
         values = [(m.span(1), m[1]) for m in _SECRET.finditer(text)] + [(m.span(), m[0]) for m in _LONG.finditer(text)]

@@ -28,6 +28,17 @@ def test_secrets_by_form():
         assert found(f"here {secret} there", "secret") == [secret]
 
 
+@pytest.mark.parametrize("size", [100, 5000, 21_000, 100_000])
+def test_secrets_of_any_length(size):
+    key = f"-----BEGIN OPENSSH PRIVATE KEY-----\n{'Ab3+/=' * (size // 6)}\n-----END OPENSSH PRIVATE KEY-----"
+    token = "eyJ" + "a1" * (size // 2) + ".eyJ" + "b2" * (size // 2) + "." + "c_-" * (size // 3)
+    for secret in (key, token, "ghp_" + "a1" * size, "xoxb-" + "1a" * size, "github_pat_" + "a_1" * size):
+        assert found(f"here {secret} there", "secret") == [secret]
+    assert found(f"x-{token} {token}", "secret") == [token, token]
+    assert found(f"longer_than_ten.{token}", "secret") == [token] and found(f"-----BEGIN PRIVATE KEY----- . {key} {key}", "secret") == [key, key]
+    assert found(key.replace("END", "ENT"), "secret") == []
+
+
 def test_context_decides_on_secrets_without_form():
     value = "3f9a8c7b6d5e4f3a2b1c0d9e"
     assert found(f"the secret is: {value}", "secret") == [value] and found(f"my api key {value}", "secret") == [value]
@@ -36,7 +47,7 @@ def test_context_decides_on_secrets_without_form():
     assert scores["mail a@b.co"] > scores["a@b.co"]
 
 
-@pytest.mark.parametrize("unit", ["AB12 ", "token ", "a@", "1-", "+1 ", "1.2.3.4.", "eyJa.", "-----BEGIN PRIVATE KEY-----", "secret=a1b2c3d4e5f6g7h8 ", "A1B2C3D4 "])
+@pytest.mark.parametrize("unit", ["AB12 ", "token ", "a@", "1-", "+1 ", "1.2.3.4.", "eyJa.", "-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----!", "-----END PRIVATE KEY-----", "eyJaaaaaaaaa-", "eyJaaaaaaaaa.", "ghp_a", "secret=a1b2c3d4e5f6g7h8 ", "A1B2C3D4 "])
 def test_long_texts_take_linear_time(unit):
     start = time.monotonic()
     pii.find_spans(unit * (400_000 // len(unit)))
