@@ -21,9 +21,9 @@ inside the task; only links between components leave it, so a bucket costs rows
 members. No candidate is dropped. Buckets of more than ``HOT_BUCKET`` members or ``HOT_SHINGLES``
 shingles are dealt to several tasks, each with the pivots or a part of the members outside.
 
-Defined results: texts without words have the empty set and are copies of each other. Rows with a
-null id all stay. Of rows with equal ids those go whose text is a copy of a kept one; repeated rows
-of a kept id and text all stay.
+Defined results: texts without words have the empty set and are copies of each other. Of each group
+one row stays: the least by id (null ids last), then by hashes of the text and of the other columns; of
+rows alike in all columns any one. Rows of equal ids whose texts are no copies are different rows.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import checkpoint, prepare, shared_path
@@ -125,21 +125,27 @@ def similarity(one: np.ndarray, two: np.ndarray) -> float:
 
 
 def _keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.col(text_column).cast("binary").alias("text"))
+    return df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), _rest_hash(df, id_column, text_column).alias("rh"), F.col(text_column).cast("binary").alias("text"))
+
+
+def _rest_hash(df: DataFrame, id_column: str, text_column: str) -> Column:
+    """A hash of the columns that are neither id nor text."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (id_column, text_column)]
+    return F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
 
 
 def signed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, th, key, n, bands) of every row; th is a hash of the text as it stands, n the size of its set."""
+    """(id, th, rh, key, n, bands) of every row; th is a hash of the text as it stands, rh one of the other columns, n the size of its set."""
     prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text) for text in batch.column(2).to_pylist()]
+            sets = [shingles(text) for text in batch.column(3).to_pylist()]
             made = [pa.array(map(key_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["id", "th", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["id", "th", "rh", "key", "n", "bands"])
 
     rows = _keyed(df, id_column, text_column)
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, th long, key long, n long, bands array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, th long, rh long, key long, n long, bands array<long>")
 
 
 def _described(texts: DataFrame, sets: bool) -> DataFrame:
@@ -340,9 +346,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataF
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST, hot: int = HOT_BUCKET) -> DataFrame:
-    """(id, th, key, class) of every row: the class is the least key reachable by links."""
+    """(id, th, rh, key, class) of every row: the class is the least key reachable by links."""
     rows = checkpoint(signed(df, id_column, text_column))
-    distinct = rows.filter("id is not null").groupBy("key").agg(F.min(F.struct("id", "th")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     spots = distinct.select("key", "n", F.explode("bands").alias("bucket"))
     whole = spots.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("m")).filter("c > 1")
     whole = whole.groupBy("c", "x", "m").agg(F.min("bucket").alias("bucket")).select("bucket", "c")  # one of those with the same members
@@ -367,13 +373,14 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         more = checkpoint(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         if not more.isEmpty():
             found = _connected(links.unionByName(more))
-    return rows.select("id", "th", "key").join(found, "key", "left").select("id", "th", "key", kind.alias("class"))
+    return rows.select("id", "th", "rh", "key").join(found, "key", "left").select("id", "th", "rh", "key", kind.alias("class"))
 
 
 def _texts(df: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(key, text) of the sets that meet others, one text each, written to the shared folder."""
     path = shared_path(df.sparkSession, "near-texts")
-    _keyed(df, id_column, text_column).join(wanted, ["id", "th"]).select("key", "text").dropDuplicates(["key"]).write.parquet(path)
+    wanted = wanted.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "key")
+    _keyed(df, id_column, text_column).join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("key", "text").dropDuplicates(["key"]).write.parquet(path)
     return df.sparkSession.read.schema("key long, text binary").parquet(path)
 
 
@@ -382,8 +389,16 @@ def _connected(links: DataFrame) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of df whose id is the least of their class; rows with a null id all stay."""
-    rows = classes(df, id_column, text_column, least).filter("id is not null")
-    kept = rows.groupBy("class").agg(F.min("id").alias("kept"))
-    gone = rows.join(kept, "class").filter("id > kept").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return df.join(gone, (F.col(id_column) == F.col("__id")) & (F.xxhash64(text_column) == F.col("__th")), "left_anti")
+    """One row of each class of df: the least by id, nulls last, then by hashes of the text and of the rest."""
+    rows = classes(df, id_column, text_column, least)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "th", "rh")
+    kept = rows.groupBy("class").agg(F.min(order).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = rows.join(kept, "class").groupBy("id", "th", "rh").agg(F.first(order.eqNullSafe(F.col("kept"))).alias("stays"), F.count("*").alias("n"))
+    told = checkpoint(members.filter("not stays or n > 1").select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("rh").alias("__rh"), "stays"))
+    own = (F.xxhash64(text_column) == F.col("__th")) & (_rest_hash(df, id_column, text_column) == F.col("__rh")) & F.col(id_column).eqNullSafe(F.col("__id"))
+    left = df.join(told.filter("not stays").drop("stays"), own, "left_anti")
+    repeated = told.filter("stays").drop("stays")
+    if repeated.isEmpty():
+        return left
+    alike = left.join(repeated, own).dropDuplicates(["__id", "__th", "__rh"]).select(*df.columns)
+    return left.join(repeated, own, "left_anti").unionByName(alike)
