@@ -12,7 +12,9 @@ the phrase's frequency in its block, and the sum over blocks its exact frequency
 is as rare as its rarest part, so only phrases whose two parts without the first and the last word are frequent
 everywhere are extended.
 
-Which phrases are frequent everywhere is known after a sum over blocks, and goes back to the tasks as a
+Most phrases of a block are rare everywhere, so their texts are not shuffled: phrases are first counted
+by ``BUCKET_BITS`` bits of a hash, and only those of buckets with ``least`` occurrences are counted by
+themselves. Which buckets and phrases are frequent everywhere is known after a sum over blocks, and goes back to the tasks as a
 Bloom filter of ``FILTER_BITS`` bits a phrase and at most ``MOST_FILTER_BITS`` bits in all, so what is
 broadcast is bounded. Beyond that size more rare phrases pass and are counted in vain; since every
 count is exact and compared with ``least`` afterwards, results never depend on the filter.
@@ -43,6 +45,7 @@ COVERED = 80
 BLOCK_WORDS = 1 << 20
 #: Phrases whose texts a task holds at once when it hands on their counts.
 TEXTS_AT_ONCE = 1 << 15
+BUCKET_BITS = 40
 FILTER_BITS = 24
 MOST_FILTER_BITS = 1 << 30
 #: Bits of a bitmap of Spark's ``bitmap_construct_agg``.
@@ -114,8 +117,28 @@ def _hashes(lang: str, phrases: list[str]) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(p, seed) for p in phrases), np.uint64, len(phrases))
 
 
+def _hashed_longs(numbers: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of longs. The constants are fixed by the published hash."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+    h = (np.uint64(42 + 8) + five) ^ turned(numbers.astype(np.uint64) * two, 31) * one
+    h = turned(h, 27) * one + four
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return h ^ h >> np.uint64(32)
+
+
+def _mixed(phrases: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases longer by a word, from those of the phrases and the words."""
+    h = (phrases * np.uint64(0x9E3779B97F4A7C15) + words) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
 class Filter:
-    """A Bloom filter of (lang, phrase), built by Spark's bitmap aggregates."""
+    """A Bloom filter of hashes, built by Spark's bitmap aggregates."""
 
     PROBES = 4
 
@@ -123,11 +146,11 @@ class Filter:
         self.bits = bits
 
     @classmethod
-    def of(cls, phrases: DataFrame) -> Filter:
-        """The filter of a relation (lang, phrase); its size follows the number of rows up to the bound."""
-        wanted = max(BITMAP_BITS, FILTER_BITS * phrases.count())
+    def of(cls, rows: DataFrame, *columns: str) -> Filter:
+        """The filter of some columns of a relation; its size follows the number of rows up to the bound."""
+        wanted = max(BITMAP_BITS, FILTER_BITS * rows.count())
         mask = min(MOST_FILTER_BITS, 1 << (wanted - 1).bit_length()) - 1
-        hashed = phrases.select(F.xxhash64("lang", "phrase").alias("h"))
+        hashed = rows.select(F.xxhash64(*columns).alias("h"))
         low, step = F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)
         bit = hashed.select(F.explode(F.array(*[(low + step * i).bitwiseAND(mask) + 1 for i in range(cls.PROBES)])).alias("bit"))
         maps = bit.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
@@ -138,11 +161,11 @@ class Filter:
             bits[at : at + len(part)] = part
         return cls(bits)
 
-    def holds(self, lang: str, phrases: list[str]) -> np.ndarray:
-        """Which phrases may be in the filter; those in it always are."""
-        h, mask = _hashes(lang, phrases), np.uint64(len(self.bits) * 8 - 1)
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes may be in the filter; those in it always are."""
+        mask = np.uint64(len(self.bits) * 8 - 1)
         low, step = h & mask, (h >> np.uint64(32)) & mask
-        out = np.ones(len(phrases), bool)
+        out = np.ones(len(h), bool)
         for i in range(self.PROBES):
             place = (low + step * np.uint64(i)) & mask
             out &= (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -166,34 +189,48 @@ def texts(pairs: np.ndarray, phrases: list[str], words: list[str]) -> list[str]:
     return [f"{phrases[a]} {words[b]}" for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True)]
 
 
-def longer_counts(lists: DataFrame, filters: list[Filter]) -> DataFrame:
-    """(lang, phrase, n) by block, of the phrases one word longer than the last filter's."""
-    shared = lists.sparkSession.sparkContext.broadcast([f.bits for f in filters])
+def longer_counts(lists: DataFrame, filters: list[Filter], heavy: Filter | None, by_bucket: bool) -> DataFrame:
+    """The counts, by block, of the phrases one word longer than the last filter's: (bucket, n), or (lang, phrase, n) of those in ``heavy`` buckets."""
+    shared = lists.sparkSession.sparkContext.broadcast(([f.bits for f in filters], heavy and heavy.bits))
+    shift = np.uint64(64 - BUCKET_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Filter(bits) for bits in shared.value]
+        known, wanted = [Filter(bits) for bits in shared.value[0]], shared.value[1]
         for batch in batches:
             for row in range(batch.num_rows):
                 lang, words = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 counts = batch.column(2)[row].values.to_numpy()
                 posted = np.frombuffer(batch.column(3)[row].as_py(), "<i4")
                 owner = np.repeat(np.arange(len(words)), counts)
-                keep = np.flatnonzero(known[0].holds(lang, words)[owner])
+                spelled = _hashes(lang, words)
+                keep = np.flatnonzero(known[0].holds(spelled)[owner])
                 keep = keep[np.argsort(posted[keep], kind="stable")]
                 posted, owner = posted[keep], owner[keep]
-                ends, names, phrases = posted, owner, words
+                ends, names, phrases, mixed = posted, owner, words, spelled
                 for level in known[1:]:
                     ends, names, pairs = extended(ends, names, posted, owner)
-                    phrases = texts(pairs, phrases, words)
-                    keep = np.flatnonzero(level.holds(lang, phrases)[names])
+                    phrases, mixed = texts(pairs, phrases, words), _mixed(mixed[pairs >> 32], spelled[pairs & 0xFFFFFFFF])
+                    keep = np.flatnonzero(level.holds(_hashes(lang, phrases))[names])
                     ends, names = ends[keep], names[keep]
                 _, names, pairs = extended(ends, names, posted, owner)
                 sizes = np.bincount(names, minlength=len(pairs))
+                buckets = _mixed(mixed[pairs >> 32], spelled[pairs & 0xFFFFFFFF]) >> shift
+                if by_bucket:
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(sizes, pa.int64())], names=["bucket", "n"])
+                    continue
+                if wanted is not None:
+                    keep = np.flatnonzero(Filter(wanted).holds(_hashed_longs(buckets)))
+                    pairs, sizes = pairs[keep], sizes[keep]
                 for at in range(0, len(pairs), TEXTS_AT_ONCE):
                     part = texts(pairs[at : at + TEXTS_AT_ONCE], phrases, words)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(sizes[at : at + len(part)], pa.int64())], names=["lang", "phrase", "n"])
 
-    return lists.mapInArrow(run, "lang string, phrase string, n long")
+    return lists.mapInArrow(run, "bucket long, n long" if by_bucket else "lang string, phrase string, n long")
+
+
+def _summed(counts: DataFrame, *by: str) -> DataFrame:
+    """Sums of counts. They are sums of a block already, so few rows of a task are alike: they are summed after the shuffle alone."""
+    return counts.repartition(*by).groupBy(*by).agg(F.sum("n").alias("f"))
 
 
 def frequent(spark: SparkSession, df: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -207,13 +244,13 @@ def frequent(spark: SparkSession, df: DataFrame, least: int = LEAST_COUNT, longe
     parts = []
     for size in range(1, longest + 1):
         if size > 1:
-            counts = longer_counts(lists, filters)
+            _summed(longer_counts(lists, filters, None, True), "bucket").filter(F.col("f") >= least).select("bucket").write.parquet(f"{path}/heavy-{size}")
+            counts = longer_counts(lists, filters, Filter.of(spark.read.parquet(f"{path}/heavy-{size}"), "bucket"), False)
         where = f"{path}/frequent-{size}"
-        # counted in a block already, so few rows of a task are alike: they are summed after the shuffle alone
-        counts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).write.parquet(where)
+        _summed(counts, "lang", "phrase").filter(F.col("f") >= least).write.parquet(where)
         parts.append(spark.read.parquet(where))
         if size < longest:
-            filters.append(Filter.of(parts[-1]))
+            filters.append(Filter.of(parts[-1], "lang", "phrase"))
     sized = (p.select("lang", "phrase", F.lit(size).alias("size"), "f") for size, p in enumerate(parts, 1))
     return reduce(DataFrame.unionByName, sized), totals
 

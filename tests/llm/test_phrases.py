@@ -62,16 +62,22 @@ def test_a_long_text_and_a_full_filter(spark, monkeypatch):
     want = brute(rows)
     assert run(spark, rows) == want and len(want) > 100
     monkeypatch.setattr(phrases, "MOST_FILTER_BITS", phrases.BITMAP_BITS)
-    monkeypatch.setattr(phrases.Filter, "holds", lambda self, lang, texts: np.ones(len(texts), bool))  # a filter that lets all pass
+    monkeypatch.setattr(phrases, "BUCKET_BITS", 3)
+    assert run(spark, rows) == want  # full buckets
+    monkeypatch.setattr(phrases.Filter, "holds", lambda self, hashes: np.ones(len(hashes), bool))  # a filter that lets all pass
     assert run(spark, rows) == want
 
 
 def test_filter_holds_what_it_was_built_of(spark):
     rows = [("en", f"w{i} v") for i in range(5000)]
-    made = phrases.Filter.of(spark.createDataFrame(rows, "lang string, phrase string"))
-    assert made.holds("en", [p for _, p in rows]).all()
-    assert made.holds("de", [p for _, p in rows]).mean() < 0.01
-    assert not phrases.Filter.of(spark.createDataFrame([], "lang string, phrase string")).holds("en", ["a"]).any()
+    texts = [p for _, p in rows]
+    made = phrases.Filter.of(spark.createDataFrame(rows, "lang string, phrase string"), "lang", "phrase")
+    assert made.holds(phrases._hashes("en", texts)).all() and made.holds(phrases._hashes("de", texts)).mean() < 0.01
+    assert not phrases.Filter.of(spark.createDataFrame([], "lang string, phrase string"), "lang", "phrase").holds(phrases._hashes("en", ["a"])).any()
+    numbers = spark.range(0, 1 << 40, (1 << 40) // 3000 + 1)
+    made = phrases.Filter.of(numbers, "id")
+    ids = np.array([r["id"] for r in numbers.collect()], np.uint64)
+    assert made.holds(phrases._hashed_longs(ids)).all() and made.holds(phrases._hashed_longs(ids + np.uint64(1))).mean() < 0.01
 
 
 def test_scores_are_exact_beyond_64_bits(spark):
