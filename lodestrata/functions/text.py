@@ -338,3 +338,27 @@ def size_or(first: Column, second: Column) -> Column:
     """The size of the first list that has elements; nulls are empty."""
     sizes = [F.size(F.coalesce(x, F.array().cast("array<string>"))) for x in (first, second)]
     return F.when(sizes[0] > 0, sizes[0]).otherwise(sizes[1])
+
+
+def bytes_text(c: Column) -> Column:
+    """A size as it is shown: bytes below 1024, else KB to TB, with a decimal below ten; a dash for null."""
+    out = F.concat(c.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        value = c / F.lit(float(1024**power))
+        shown = F.when(value >= 10, F.format_string("%.0f", F.floor(value + 0.5).cast("double"))).otherwise(F.format_string("%.1f", F.floor(value * 10 + 0.5) / 10))
+        out = F.when(value >= 1, F.concat(shown, F.lit(f" {unit}"))).otherwise(out)
+    return F.coalesce(out, F.lit("—"))
+
+
+def count_label(c: Column) -> Column:
+    """A whole number with thousands separators."""
+    return F.format_number(c, 0)
+
+
+def cell_text(c: Column, label: Column | None = None, size: int = 60) -> Column:
+    """A value as a table shows it: a dash for null, a reference with its label in brackets, else cut after ``size`` characters."""
+    text = c.cast("string")
+    cut = F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("…"))).otherwise(text)
+    if label is not None:
+        cut = F.when(F.coalesce(label, F.lit("")) != "", F.concat(text, F.lit("（"), label, F.lit("）"))).otherwise(text)
+    return F.coalesce(cut, F.lit("—"))

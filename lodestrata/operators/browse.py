@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -45,6 +45,26 @@ def among(column: Column, values: list | None) -> Column:
     return column.isin(*values) if values else F.lit(False)
 
 
+def any_element_contains(items: Column, text: str) -> Column:
+    """Whether some element of a list contains a text, case aside; a null list has none."""
+    return F.coalesce(F.exists(items, lambda x: F.coalesce(x.ilike(f"%{text}%"), F.lit(False))), F.lit(False))
+
+
+def first_present_contains(text: str, *columns: Column) -> Column:
+    """Whether the first of the columns that is not null contains a text, case aside; it hides those after it."""
+    return F.coalesce(*columns, F.lit("")).ilike(f"%{text}%")
+
+
+def has_tag(tags: Column, tag: str) -> Column:
+    return F.coalesce(F.array_contains(tags, tag), F.lit(False))
+
+
+def tables_named(spark: SparkSession, text: str) -> DataFrame:
+    """(name, kind) of the session's tables and views whose name contains a text, by name."""
+    found = sorted((t.name, t.tableType) for t in spark.catalog.listTables() if text.strip().lower() in t.name.lower())
+    return spark.createDataFrame(found, "name string, kind string")
+
+
 def with_labels(df: DataFrame, table: TableSpec, others: dict[str, DataFrame]) -> DataFrame:
     """Adds ``__fk_<column>``, the label of the row that each reference points to."""
     for column, (other, key, label) in table.refs.items():

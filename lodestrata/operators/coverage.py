@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.classify import audit_status, has_scope
+from lodestrata.functions.labels import status_rank
 from lodestrata.functions.text import percent
 from lodestrata.operators.dedupe import first_seen
 
@@ -45,3 +46,24 @@ def yearly(rows: DataFrame) -> DataFrame:
     """Yearly sums of a grid, percentages made anew."""
     sums = rows.groupBy("year").agg(*[F.sum(c).alias(c) for c in ("total", "n_linked", "n_links")])
     return sums.withColumn("pct_linked", percent(F.col("n_linked"), F.col("total")))
+
+
+def audit_view(rows: DataFrame, candidates: DataFrame, *last: Column) -> DataFrame:
+    """A grid with each year's and group's candidates and its ``place`` in the year: worst status first, then least coverage, then most of ``last``.
+
+    ``candidates`` (year, grp, n) may hold several rows a group. A year has one row per group, so its places are counted in one small window.
+    """
+    found = candidates.groupBy("year", "grp").agg(F.sum("n").alias("n_candidates"))
+    order = [status_rank(F.col("status")).asc(), F.col("pct_linked").asc(), *[c.desc() for c in last], F.col("grp").asc()]
+    out = rows.join(found, ["year", "grp"], "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)).cast("long"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("year").orderBy(*order)).cast("long"))
+
+
+def guarded_all(condition: Column) -> Column:
+    """An aggregate: whether a condition holds for all rows, and there is one; unknown counts as not."""
+    return (F.count(F.lit(1)) > 0) & F.coalesce(F.bool_and(F.coalesce(condition, F.lit(False))), F.lit(False))
+
+
+def distinct_present(c: Column) -> Column:
+    """An aggregate: distinct values, outer spaces aside, blank ones not counted."""
+    return F.count_distinct(F.nullif(F.trim(c), F.lit("")))

@@ -127,9 +127,13 @@ def same_place(found: DataFrame, communities: DataFrame) -> DataFrame:
 
 
 def reverse_index(df: DataFrame, key: str, elements: str) -> DataFrame:
-    """(element, ids): which rows hold each element of their lists."""
-    spread = df.select(F.col(key).alias("id"), F.explode(elements).alias("element")).filter("element <> ''")
-    return spread.groupBy("element").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    """(element, id): which rows hold each element of their lists, one row a holder, so that a frequent element is many rows and not one long list."""
+    return df.select(F.explode(elements).alias("element"), F.col(key).alias("id")).filter("element <> ''").distinct()
+
+
+def element_counts(index: DataFrame) -> DataFrame:
+    """(element, n, first_id): how many rows hold an element, and the least of them, from ``reverse_index``."""
+    return index.groupBy("element").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 def conserved(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
@@ -149,12 +153,12 @@ def conserved(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
 def robust_box(df: DataFrame, lat: str, lng: str, pad: float = 0.005, span: float = 0.135) -> DataFrame:
     """One row of south, north, west, east: the 5 to 95 per cent places, padded; around the median where that is too wide.
 
-    Places are counted off by values, so no list of all points is built.
+    Places are counted off by values over ranges of them, so neither a list of all points is built nor all values sorted by one task.
     """
-    from lodestrata.operators.quality import index_percentiles
+    from lodestrata.operators.quality import spread_percentiles
 
     def side(column: str) -> DataFrame:
-        return index_percentiles(df.withColumn("__g", F.lit(1)), "__g", column, {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+        return spread_percentiles(df, column, {"p05": 0.05, "p50": 0.5, "p95": 0.95})
 
     def bounds(low: str, high: str) -> list[Column]:
         lo, hi = F.col("p05") - pad, F.col("p95") + pad

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import percent
+from lodestrata.shared import shared_path
 
 #: Fixed values of the data: the weights of the missing-data score; they sum to 100.
 SCORE_WEIGHTS = {
@@ -58,3 +59,24 @@ def index_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, f
     counted = counted.withColumn("__n", F.sum("__c").over(own))
     place = {name: F.least(F.floor(F.col("__n") * share), F.col("__n") - 1) for name, share in shares.items()}
     return counted.groupBy(group).agg(*[F.min(F.when(F.col("__upto") > at, F.col(value))).alias(name) for name, at in place.items()])
+
+
+def spread_percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row of the values at the places floor(n * share) of all sorted non-null values; nulls where there is none.
+
+    Equal values are counted, dealt by ranges to many tasks and written to the shared folder. The ranges' sums, one row each,
+    tell which range holds a place; only within it values are summed up one after the other.
+    """
+    path = shared_path(df.sparkSession, "percentiles")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    counted = df.sparkSession.read.parquet(path)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = counted.groupBy("part").agg(F.sum("c").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    whole = sums.agg(F.sum("c").alias("n"))
+    places = whole.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * share), F.col("n") - 1).alias("place")) for name, share in shares.items()])).alias("s")).select("s.*")
+    held = places.join(sums, (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("c"))).select("name", "place", "part", "before")  # some names by some ranges
+    inside = counted.join(F.broadcast(held), "part")  # a row a name
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("upto", upto).filter("upto > place")
+    return found.agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata import registry
@@ -38,7 +39,9 @@ def q52_map_list(spark, sf):
     rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("tier", labels.known_tier(_pick((*TIERS, "x", None), F.col("c_custkey")), TIERS, "待补充"))
     rows = rows.filter(F.col("tier").isin("一梯队", "待补充") & text.search_in("MA", F.col("n_name"), F.col("c_mktsegment")))
     rows = rows.join(orders.filter("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
-    return rows.orderBy(classify.rank_of(F.col("tier"), TIERS), F.collate("n_name", "zh"), F.collate("c_name", "zh"), "c_custkey").select("c_custkey", "tier", "n_name", "c_mktsegment")
+    place = F.row_number().over(Window.partitionBy("n_name").orderBy(classify.rank_of(F.col("tier"), TIERS), F.collate("c_name", "zh"), "c_custkey")).cast("long")
+    rows = rows.withColumn("place", place)  # within a district
+    return rows.orderBy(classify.rank_of(F.col("tier"), TIERS), F.collate("n_name", "zh"), F.collate("c_name", "zh"), "c_custkey").select("c_custkey", "tier", "n_name", "c_mktsegment", "place")
 
 
 def q53_links_with_latest(spark, sf):
@@ -78,7 +81,8 @@ def q58_area_rollup(spark, sf):
 
 
 def q59_picker(spark, sf):
-    return product.picker(_t(spark, sf, "customer")[0], "c_mktsegment")
+    values = product.picker(_t(spark, sf, "customer")[0], "c_mktsegment")
+    return values.withColumn("place", F.row_number().over(Window.orderBy(F.collate("c_mktsegment", "zh"), "c_mktsegment")).cast("long"))  # a few values
 
 
 def q60_inherited_links(spark, sf):
@@ -126,7 +130,7 @@ def q66_conservation(spark, sf):
 
 def q67_reverse_index(spark, sf):
     (part,) = _t(spark, sf, "part")
-    return product.reverse_index(part.withColumn("words", F.split("p_type", " ")), "p_partkey", "words").select("element", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"))
+    return product.element_counts(product.reverse_index(part.withColumn("words", F.split("p_type", " ")), "p_partkey", "words"))
 
 
 def q68_robust_box(spark, sf):

@@ -48,7 +48,7 @@ ORACLES = {
     "q51_entity_detail": """SELECT c_custkey, c_name, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS n_events
       FROM customer WHERE c_custkey IN (6, 7, 8) AND c_nationkey < 9""",
     "q52_map_list": f"""WITH r AS (SELECT *, coalesce(CASE WHEN t IN ('一梯队', '二梯队', '三梯队') THEN t END, '待补充') AS tier FROM (SELECT *, {_pick((*TIERS, "x", None), "c_custkey")} AS t FROM customer JOIN nation ON c_nationkey = n_nationkey))
-      SELECT c_custkey, tier, n_name, c_mktsegment FROM r WHERE tier IN ('一梯队', '待补充') AND contains(lower(n_name || ' ' || c_mktsegment), 'ma') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
+      SELECT c_custkey, tier, n_name, c_mktsegment, row_number() OVER (PARTITION BY n_name ORDER BY CASE tier WHEN '一梯队' THEN 1 ELSE 9 END, c_name, c_custkey) AS place FROM r WHERE tier IN ('一梯队', '待补充') AND contains(lower(n_name || ' ' || c_mktsegment), 'ma') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
     "q53_links_with_latest": _LINKS,
     "q54_provenance": f"SELECT count(*) AS total, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS via_urgent, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS via_low, count(event_id) AS priced FROM ({_LINKS})",
     "q55_candidate_summary": """SELECT year(o_orderdate) AS year, o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) FILTER (WHERE o_custkey % 4 > 0) AS n_matched FROM orders
@@ -59,7 +59,7 @@ ORACLES = {
       AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1998) ORDER BY c_custkey LIMIT 200""",
     "q58_area_rollup": f"""SELECT name, count(*) AS n_entities, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_relations, CAST(coalesce(sum(v), 0) AS BIGINT) AS n_verified FROM {_AREAS}
       LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1""",
-    "q59_picker": "SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL",
+    "q59_picker": "SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) AS place FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)",
     "q60_inherited_links": """WITH l AS (SELECT DISTINCT o_custkey AS member_id, o_orderkey % 50 AS target_id FROM orders),
       f AS (SELECT c_custkey AS member_id, c_custkey + d AS feeder FROM customer CROSS JOIN (VALUES (1), (2)) v(d) WHERE c_custkey % 5 = 0)
       SELECT f.member_id, l.target_id FROM f JOIN l ON l.member_id = feeder EXCEPT SELECT member_id, target_id FROM l""",

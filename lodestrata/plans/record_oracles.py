@@ -45,4 +45,20 @@ ORACLES = {
         for c in columns.split()
     ),
     "q84_visible_links": """SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'F') GROUP BY 1""",
+    "q85_audit_view": """WITH e AS (SELECT c_custkey, concat_ws(' ', c_mktsegment, c_nationkey) AS grp, c_acctbal > 9500 AS boundary FROM customer), y AS (SELECT unnest([1996, 1997]) AS year),
+      t AS (SELECT grp, count(*) AS total, count(*) FILTER (boundary) AS nb FROM e GROUP BY 1), l AS (SELECT year(o_orderdate) AS year, grp, count(DISTINCT o_custkey) AS n_linked, count(*) AS n_links FROM orders JOIN e ON o_custkey = c_custkey WHERE o_orderkey % 40 = 0 GROUP BY 1, 2),
+      c AS (SELECT year(o_orderdate) AS year, grp, count(*) AS n FROM orders JOIN e ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY 1, 2),
+      g AS (SELECT CAST(y.year AS INT) AS year, t.grp, total, nb, coalesce(n_linked, 0) AS n_linked, coalesce(n_links, 0) AS n_links, coalesce(c.n, 0) AS n_candidates FROM t CROSS JOIN y LEFT JOIN l ON l.year = y.year AND l.grp = t.grp LEFT JOIN c ON c.year = y.year AND c.grp = t.grp),
+      s AS (SELECT *, CASE WHEN n_linked >= total THEN 'linked' WHEN n_linked > 0 THEN 'partially-linked' WHEN nb > 0 THEN 'boundary-text' ELSE 'missing' END AS status, floor(CAST(n_linked AS DOUBLE) / total * 1000 + 0.5) / 10 AS pct_linked FROM g)
+      SELECT year, grp, total, n_linked, status, pct_linked, n_candidates, row_number() OVER (PARTITION BY year ORDER BY list_position(['missing', 'source-found', 'boundary-text', 'partially-linked', 'linked'], status), pct_linked, n_links DESC, grp) AS place FROM s""",
+    "q86_alias_search": """SELECT p_partkey, p_name, CASE WHEN length(p_name) > 10 THEN substr(p_name, 1, 10) || '…' ELSE p_name END AS shown FROM part WHERE p_size > 25
+      AND ((p_partkey % 4 > 0 AND len(list_filter(string_split(p_name, ' '), lambda x: x ILIKE '%ING%')) > 0) OR CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END ILIKE '%#3%')
+      ORDER BY CASE WHEN p_partkey % 4 > 0 THEN len(string_split(p_name, ' ')) ELSE 0 END DESC, p_partkey LIMIT 300""",
+    "q87_group_checks": """WITH g AS (SELECT c_custkey, c_mktsegment, count(DISTINCT CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END) AS n_values, coalesce(bool_and(coalesce(o_orderstatus = 'F', false)), false) AS all_final, count(o_orderkey) AS n_rows
+      FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey GROUP BY 1, 2), t AS (SELECT *, n_rows * c_custkey * 1000 AS s FROM g ORDER BY n_rows DESC, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, n_values, c_custkey LIMIT 400),
+      u AS (SELECT *, CASE WHEN s >= 1099511627776 THEN 4 WHEN s >= 1073741824 THEN 3 WHEN s >= 1048576 THEN 2 WHEN s >= 1024 THEN 1 ELSE 0 END AS p FROM t), v AS (SELECT *, s / pow(1024, p) AS x FROM u)
+      SELECT c_custkey, c_mktsegment, n_values, all_final, n_rows, CASE WHEN p = 0 THEN s || ' B' WHEN x >= 10 THEN printf('%.0f', floor(x + 0.5)) || ' ' || ['KB', 'MB', 'GB', 'TB'][p] ELSE printf('%.1f', floor(x * 10 + 0.5) / 10) || ' ' || ['KB', 'MB', 'GB', 'TB'][p] END AS size,
+        format('{:,}', s) AS label FROM v""",
+    "q88_boundary_collection": """SELECT '{"type":"Feature","properties":{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"},"geometry":{"type":"Polygon","coordinates":[[[' || n_nationkey || ',0],[' || n_nationkey + 1 || ',0],[' || n_nationkey || ',1],[' || n_nationkey || ',0]]]}}' AS feature,
+      count(*) AS n_entities FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY 1""",
 }

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestrata import registry
 from lodestrata.functions import documents, text
-from lodestrata.operators import changes, facets, ladder, snapshots
+from lodestrata.operators import browse, changes, coverage, facets, ladder, snapshots
 from lodestrata.shared import shared_path
-from lodestrata.sources import articles, footers
+from lodestrata.sources import articles, files, footers
 
 KINDS = {"BUILDING": "house", "AUTOMOBILE": "garage", "MACHINERY": "plant", "HOUSEHOLD": "home", "FURNITURE": None}
 
@@ -172,4 +172,41 @@ def q84_visible_links(spark, sf):
     return ladder.visible(lineitem, shown, "l_orderkey", "o_orderkey").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
 
+def q85_audit_view(spark, sf):
+    customer, orders = _t(spark, sf, "customer", "orders")
+    entities = customer.select(F.col("c_custkey").alias("entity_id"), F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("grp"), (F.col("c_acctbal") > 9500).alias("boundary"))
+    links = orders.filter("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("entity_id"), F.year("o_orderdate").alias("year"))
+    grid = coverage.grid(spark, entities, links, (1996, 1997))
+    found = orders.filter("o_orderstatus = 'P'").join(entities, F.col("o_custkey") == F.col("entity_id")).groupBy(F.year("o_orderdate").alias("year"), "grp", "o_orderpriority").agg(F.count("*").alias("n"))
+    return coverage.audit_view(grid, found, F.col("n_links")).select("year", "grp", "total", "n_linked", "status", "pct_linked", "n_candidates", "place")
+
+
+def q86_alias_search(spark, sf):
+    (part,) = _t(spark, sf, "part")
+    rows = part.withColumn("aliases", F.when(F.col("p_partkey") % 4 > 0, F.split("p_name", " "))).withColumn("tags", F.array(F.when(F.col("p_size") > 25, "large"), F.lit("any")))
+    area = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand"))
+    hit = browse.any_element_contains(F.col("aliases"), "ING") | browse.first_present_contains("#3", area, F.col("p_type"))
+    return browse.top(rows.filter(hit & browse.has_tag(F.col("tags"), "large")), 300, F.size(F.coalesce("aliases", F.array())).desc(), F.col("p_partkey").asc()).select("p_partkey", "p_name", text.cell_text(F.col("p_name"), size=10).alias("shown"))
+
+
+def q87_group_checks(spark, sf):
+    customer, orders = _t(spark, sf, "customer", "orders")
+    rows = customer.join(orders.filter("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    cleaned = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), "o_orderpriority", F.lit("  "))).when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority")).otherwise(" ")
+    grouped = rows.groupBy("c_custkey", "c_mktsegment").agg(coverage.distinct_present(cleaned).alias("n_values"), coverage.guarded_all(F.col("o_orderstatus") == "F").alias("all_final"), F.count("o_orderkey").alias("n_rows"))
+    ranked = browse.top(grouped, 400, F.col("n_rows").desc(), F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1), F.col("n_values").asc_nulls_first(), F.col("c_custkey").asc())
+    size = F.col("n_rows") * F.col("c_custkey") * 1000
+    return ranked.select("c_custkey", "c_mktsegment", "n_values", "all_final", "n_rows", text.bytes_text(size).alias("size"), text.count_label(size).alias("label"))
+
+
+def q88_boundary_collection(spark, sf):
+    customer, nation = _t(spark, sf, "customer", "nation")
+    k = F.col("n_nationkey")
+    ring = F.concat(F.lit("[[["), k.cast("string"), F.lit(",0],["), (k + 1).cast("string"), F.lit(",0],["), k.cast("string"), F.lit(",1],["), k.cast("string"), F.lit(",0]]]"))
+    shapes = nation.select("n_nationkey", "n_name", F.concat(F.lit('{"type":"Polygon","coordinates":'), ring, F.lit("}")).alias("shape")).filter("n_nationkey % 2 = 0")
+    features = files.feature_collection(shapes, "shape", "n_nationkey", "n_name")
+    held = customer.select("c_custkey", "c_nationkey").join(features.select(F.get_json_object("feature", "$.properties.n_nationkey").cast("int").alias("c_nationkey"), "feature"), "c_nationkey")
+    return held.groupBy("feature").agg(F.count("*").alias("n_entities"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}
