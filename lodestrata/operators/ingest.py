@@ -13,6 +13,51 @@ from lodestrata.registry import TableSpec, referencing, spec
 MAX_RECORDS, MAX_DELETES = 2000, 1000
 
 
+def payloads(bodies: DataFrame, key: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of JSON request bodies: (key, ordinal, source, record_type, record_key, school_id, community_id, committee, year, url, quote) and (key, error).
+
+    A body is taken whole or not at all; its error is the first of: no object, a bad source key, no source name, no
+    records, more than ``MAX_RECORDS`` of them, and the first record that lacks a type, a key or an id above zero.
+    """
+    def text(v: Column, path: str) -> Column:
+        """A text of at least one character; null for values of other types."""
+        x = F.try_variant_get(v, path, "variant")
+        return F.when(F.schema_of_variant(x) == "STRING", F.nullif(F.try_variant_get(x, "$", "string"), F.lit("")))
+
+    def number(v: Column, path: str) -> Column:
+        """A whole number above zero, given as a number or as text."""
+        x = F.try_variant_get(v, path, "variant")
+        value = F.when(~F.schema_of_variant(x).isin("BOOLEAN", "VOID"), F.try_variant_get(x, "$", "string")).try_cast("double")
+        return F.when((value > 0) & (value == F.floor(value)) & (value < 2.0**63), value.cast("long"))
+
+    def fault(r: Column, i: Column) -> Column:
+        said = F.concat(F.lit("records["), i.cast("string"), F.lit("]"))
+        return (
+            F.when(~F.coalesce(F.schema_of_variant(r).startswith("OBJECT"), F.lit(False)), F.concat(said, F.lit(" must be an object")))
+            .when(text(r, "$.recordType").isNull(), F.concat(said, F.lit(".recordType is required"))).when(text(r, "$.sourceKey").isNull(), F.concat(said, F.lit(".sourceKey is required")))
+            .when(number(r, "$.schoolId").isNull(), F.concat(said, F.lit(".schoolId must be a positive integer"))).when(number(r, "$.communityId").isNull(), F.concat(said, F.lit(".communityId must be a positive integer")))
+        )
+
+    rows = bodies.select(F.col(key).alias("key"), F.try_parse_json(body).alias("v"))
+    rows = rows.select("key", "v", F.try_variant_get("v", "$.records", "array<variant>").alias("records"))
+    faults = F.filter(F.transform("records", fault), lambda x: x.isNotNull())
+    error = (
+        F.when(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "body must be a JSON object")
+        .when(~F.coalesce(text(F.col("v"), "$.sourceKey").rlike("^[a-z0-9._-]{1,64}$"), F.lit(False)), "sourceKey must match ^[a-z0-9._-]{1,64}$").when(text(F.col("v"), "$.sourceName").isNull(), "sourceName is required")
+        .when(F.coalesce(F.size("records"), F.lit(0)) <= 0, "records must be a non-empty array").when(F.size("records") > MAX_RECORDS, f"records exceeds {MAX_RECORDS} per request").otherwise(F.get(faults, F.lit(0)))
+    )
+    told = rows.withColumn("error", error)
+    good = told.filter("error is null").select("key", text(F.col("v"), "$.sourceKey").alias("source"), F.posexplode("records").alias("ordinal", "r"))
+    r, year = F.col("r"), F.try_variant_get("r", "$.year", "string").try_cast("double")
+    raw = F.try_variant_get("r", "$.raw", "variant")
+    records = good.select(
+        "key", F.col("ordinal").cast("long").alias("ordinal"), "source", text(r, "$.recordType").alias("record_type"), text(r, "$.sourceKey").alias("record_key"), number(r, "$.schoolId").alias("school_id"), number(r, "$.communityId").alias("community_id"),
+        F.try_variant_get("r", "$.committeeName", "string").alias("committee"), F.when(year > 2000, year.cast("int")).otherwise(F.year(F.current_date())).alias("year"), F.try_variant_get("r", "$.sourceUrl", "string").alias("url"),
+        F.coalesce(F.try_variant_get("r", "$.sourceQuote", "string"), F.to_json(raw)).alias("quote"),
+    )
+    return records, told.filter("error is not null").select("key", "error")
+
+
 def insert_or_ignore(received: DataFrame, existing: DataFrame, keys: Sequence[str], ordinal: str) -> tuple[DataFrame, DataFrame]:
     """(rows to add, one row of counters): the first of each key that is not there yet."""
     unique = first_seen(received, keys, ordinal)

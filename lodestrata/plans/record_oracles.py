@@ -61,4 +61,13 @@ ORACLES = {
         format('{:,}', s) AS label FROM v""",
     "q88_boundary_collection": """SELECT '{"type":"Feature","properties":{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"},"geometry":{"type":"Polygon","coordinates":[[[' || n_nationkey || ',0],[' || n_nationkey + 1 || ',0],[' || n_nationkey || ',1],[' || n_nationkey || ',0]]]}}' AS feature,
       count(*) AS n_entities FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY 1""",
+    "q89_index_sources": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE l_linenumber % 3 WHEN 2 THEN 1 ELSE 0 END) AS p, CASE l_linenumber % 3 WHEN 0 THEN '静安' WHEN 1 THEN '浦东' END AS own FROM lineitem),
+      c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS district, (l_partkey % 3 + 2024) AS y, l_suppkey % 2 = 0 AS scope FROM l)
+      SELECT DISTINCT l_orderkey, CAST(y AS INT) AS year, district, y || '年公办小学' || CASE WHEN scope THEN '划片' ELSE '学校一览' END AS title,
+        CASE WHEN l_linenumber % 2 = 0 THEN 'https://h.example/a/d/' || l_suppkey % 4 ELSE 'https://h.example/a/b/c.html?id=' || l_suppkey % 4 END AS url, CASE WHEN scope THEN 'primary-scope' ELSE 'school-list' END AS category, 'high' AS confidence FROM c WHERE district IS NOT NULL
+      UNION SELECT DISTINCT l_orderkey, 2026, district, '别的', 'https://h.example/w', 'other', 'high' FROM c WHERE district IS NOT NULL""",
+    "q90_payloads": """WITH l AS (SELECT *, CASE WHEN l_orderkey % 19 = 0 THEN 'body must be a JSON object' WHEN l_orderkey % 13 = 0 THEN 'sourceKey must match ^[a-z0-9._-]{1,64}$' WHEN l_orderkey % 17 = 0 THEN 'sourceName is required'
+      WHEN l_orderkey % 11 = 0 THEN 'records[0].schoolId must be a positive integer' END AS error FROM lineitem)
+      SELECT 'ok' AS outcome, CAST(1998 + l_linenumber AS INT) AS year, count(*) AS n, CAST(sum(l_partkey + 1) AS BIGINT) AS schools, count(*) AS quoted FROM l WHERE error IS NULL AND l_linenumber > 2 GROUP BY 2
+      UNION ALL SELECT error, NULL, count(DISTINCT l_orderkey), NULL, NULL FROM l WHERE error IS NOT NULL GROUP BY 1""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata import registry
 from lodestrata.functions import documents, text
-from lodestrata.operators import browse, changes, coverage, facets, ladder, snapshots
+from lodestrata.operators import browse, changes, coverage, facets, ingest, ladder, snapshots
 from lodestrata.shared import shared_path
 from lodestrata.sources import articles, files, footers
 
@@ -209,4 +209,24 @@ def q88_boundary_collection(spark, sf):
     return held.groupBy("feature").agg(F.count("*").alias("n_entities"))
 
 
+def q89_index_sources(spark, sf):
+    n, title = F.col("l_linenumber"), _text("《", F.col("l_partkey") % 3 + 2024, "年公办小学", F.when(F.col("l_suppkey") % 2 == 0, "划片").otherwise("学校一览"), "》")
+    district = F.when(n % 3 == 0, "<td>静安区</td>").when(n % 3 == 1, "<td>浦东新区 </td>").otherwise("")
+    row = _text("<tr>", district, "<td><a href='", F.when(n % 2 == 0, "../d/").otherwise("?id="), F.col("l_suppkey") % 4, "'>", title, "</a> <a onclick=\"window.open('/w')\" href='#'>别的 </a></td></tr>")
+    pages = _lines(spark, sf, row).select("l_orderkey", F.lit("https://h.example/a/b/c.html").alias("url"), _text("<table><tr><td><a href='/x'>before</a></td></tr>", F.array_join("cells", ""), "</table>").alias("html"))
+    found = articles.index_sources(pages, "l_orderkey", "html", "url", 2026)
+    return found.select(F.col("key").alias("l_orderkey"), "year", "district", "title", "url", "category", "confidence")
+
+
+def q90_payloads(spark, sf):
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    record = _text('{"recordType":"link","sourceKey":"s', n, '","schoolId":', F.when(k % 11 == 0, "-1").when(n % 2 == 0, _text('"', F.col("l_partkey") + 1, '"')).otherwise((F.col("l_partkey") + 1).cast("string")), ',"communityId":', F.col("l_suppkey") + 1, ',"year":', n + 1998, ',"raw":{"q":', n, "}}")
+    rows = _lines(spark, sf, record)
+    body = _text('{"sourceKey":"', F.when(k % 13 == 0, "Bad Key").otherwise("src.a"), '"', F.when(k % 17 == 0, "").otherwise(',"sourceName":"Name"'), ',"records":[', F.array_join("cells", ","), "]", F.when(k % 19 == 0, "").otherwise("}"))
+    records, errors = ingest.payloads(rows.withColumn("body", body), "l_orderkey", "body")
+    good = records.groupBy(F.lit("ok").alias("outcome"), "year").agg(F.count("*").alias("n"), F.sum("school_id").alias("schools"), F.count_if(F.col("quote") == F.concat(F.lit('{"q":'), F.substring("record_key", 2, 9), F.lit("}"))).alias("quoted"))
+    none = F.lit(None).cast("long")
+    return good.filter("year < 2010").unionByName(errors.groupBy(F.col("error").alias("outcome")).agg(F.count("*").alias("n")).select("outcome", none.cast("int").alias("year"), "n", none.alias("schools"), none.alias("quoted")))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.classify import title_category
 from lodestrata.functions.labels import looks_like_address, stage_in
-from lodestrata.functions.text import article_title, bare_district, campus_key, district_in_label, first_match, html_text, listing_link, price_number, table_grid, title_of, trim_all
+from lodestrata.functions.text import ALL_DISTRICTS, absolute_link, article_title, bare_district, campus_key, district_in_label, district_key, first_match, html_text, listing_link, price_number, table_grid, title_of, trim_all, year_in
+from lodestrata.operators.dedupe import carry_forward, first_seen
 
 # Fixed values of the data: what the headers of the published tables say, and names that are no school.
 NAME_HEADER, CAMPUS_HEADER, ADDRESS_HEADER, NATURE_HEADER = "学校名称|^名称$", "^校区$", "学校地址", "学校性质|办学性质|性质"
 NO_NAME = "学校名称|合计|备注|说明"
+INDEX_DISTRICTS = tuple("浦东新区" if d == "浦东" else d for d in ALL_DISTRICTS)
 #: Rows that a header may be stacked over.
 HEADER_ROWS = 3
 
@@ -100,3 +103,22 @@ def search_candidates(page: Column, host: str, old_host: str, city: str = "sh")
         return F.struct(listing_link(F.regexp_extract(a, r'(?i)href="([^"]*)"', 1), host, old_host, city).alias("url"), label.alias("label"), district_in_label(label).alias("district"))
 
     return F.transform(anchors, one)
+
+
+def index_sources(pages: DataFrame, key: str, html: str, url: str, fallback_year: int) -> DataFrame:
+    """Sources that official index pages list: (key, ordinal, year, district, title, url, category, confidence), the first of each.
+
+    A row of the index that names a district gives it to the rows after it, up to the next one; anchors before the
+    first are left out. An anchor's target is the page it opens, else its reference, resolved against the page's URL.
+    """
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("page_url"), F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<tr.*?</tr>"), F.lit(0))).alias("n_row", "row"))
+    named = first_match(html_text(F.col("row")), f"({'|'.join(INDEX_DISTRICTS)})区?")
+    rows = rows.withColumn("own", district_key(named))
+    rows = rows.withColumn("district", carry_forward(rows, ["key"], "n_row", "own")).filter("district is not null")  # a page's rows
+    anchors = rows.select("key", "page_url", "n_row", "district", F.posexplode(F.regexp_extract_all("row", F.lit(r"(?is)<a\b.*?</a>"), F.lit(0))).alias("n", "a"))
+    title = F.regexp_replace(F.regexp_replace(html_text(F.col("a")), "^《", ""), "》$", "")
+    target = F.coalesce(first_match(F.col("a"), r"(?i)window\.open\(['\"]([^'\"]+)['\"]"), F.nullif(first_match(F.col("a"), r"(?i)\shref=[\"']([^\"']+)[\"']"), F.lit("#")))
+    category = title_category(F.col("title"))
+    found = anchors.select("key", "district", (F.col("n_row").cast("long") * 10_000 + F.col("n")).alias("ordinal"), title.alias("title"), absolute_link(target, F.col("page_url")).alias("url")).filter("title <> ''")
+    found = found.withColumn("year", year_in(F.col("title"), F.lit(fallback_year))).withColumn("category", category).withColumn("confidence", F.when(category == "service", "medium").otherwise("high"))
+    return first_seen(found, ["key", "year", "district", "url", "title", "category"], "ordinal")

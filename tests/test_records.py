@@ -192,3 +192,53 @@ def test_visible_links_are_cut_by_a_runtime_filter(spark, tmp_path):
 def test_cells_join_inline_tags_and_part_blocks(spark):
     page = "<table><tr><td><span>学校</span>名称</td><td>a<br>b</td><td><p>c</p><p>d</p></td></tr></table>"
     assert spark.createDataFrame([(page,)], "p string").select(text.table_grid("p").alias("g")).first()["g"] == [["学校名称", "a b", "c d"]]
+
+
+def test_payloads_are_taken_whole_or_not_at_all(spark):
+    from lodestrata.operators import ingest
+
+    one = {"recordType": "t", "sourceKey": "k", "schoolId": 1, "communityId": "2"}
+    body = lambda records=(one,), **other: json.dumps({"sourceKey": "a.b", "sourceName": "n", "records": list(records)} | other)
+    said = {
+        "x": "body must be a JSON object", "[]": "body must be a JSON object", None: "body must be a JSON object", body(sourceKey="A"): "sourceKey must match ^[a-z0-9._-]{1,64}$", body(sourceKey=5): "sourceKey must match ^[a-z0-9._-]{1,64}$",
+        body(sourceName=""): "sourceName is required", body(()): "records must be a non-empty array", body(records={}): "records must be a non-empty array", body([one] * 2001): "records exceeds 2000 per request", body([one, 5]): "records[1] must be an object",
+        body([one | {"recordType": None}]): "records[0].recordType is required", body([one, one | {"sourceKey": 3}]): "records[1].sourceKey is required", body([one | {"schoolId": 1.5}]): "records[0].schoolId must be a positive integer",
+        body([one | {"communityId": True}]): "records[0].communityId must be a positive integer", body([one | {"communityId": 10**25}]): "records[0].communityId must be a positive integer",
+    }
+    good = [body([one] * 2000), body([one | {"year": 1999, "raw": {"a": [1]}}, one | {"year": "2020", "sourceQuote": "q", "schoolId": 3.0, "extra": 1}])]
+    df = spark.createDataFrame(list(enumerate([*said, *good])), "id int, b string")
+    records, errors = ingest.payloads(df, "id", "b")
+    assert dict(map(tuple, errors.collect())) == dict(enumerate(said.values()))
+    rows = [r for r in records.collect() if r.key == len(said) + 1]
+    assert [(r.ordinal, r.school_id, r.community_id, r.year >= 2024, r.quote) for r in rows] == [(0, 1, 2, True, '{"a":[1]}'), (1, 3, 2, False, "q")] and rows[1].year == 2020
+    assert records.filter(F.col("key") == len(said)).count() == 2000
+
+
+def test_percentiles_over_ranges_equal_counting_off(spark):
+    from lodestrata.operators import quality
+
+    rnd = random.Random(8)
+    shares = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
+    for n in (1, 2, 20, 3000):
+        values = [rnd.choice([rnd.random(), 0.25, None]) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in values] + [(1.0,)], "x double").withColumn("g", F.lit(1))
+        assert tuple(quality.spread_percentiles(df, "x", shares).first()) == tuple(quality.index_percentiles(df, "g", "x", shares).first())[1:]
+    assert tuple(quality.spread_percentiles(df.limit(0), "x", {"a": 0.5}).first()) == (None,)
+
+
+def test_document_statistics_count_what_is_there(spark):
+    from lodestrata.operators import product
+    from lodestrata.sources import files
+
+    schools = [{"名称": "甲", "街道": "一街", "对口居委": ["a", "b"], "lng": 1.0, "lat": 2.0, "标签": ["x"]}, {"名称": "乙", "街道": "", "对口居委": "c"}]
+    page = "<script>var ALL_DATA = " + json.dumps({"静安区": {"区": "静安区", "街道": ["一街"], "小学": schools, "初中": [{"名称": "丙"}]}}, ensure_ascii=False) + ";\nvar TLB=1</script>"
+    found = files.document_schools(spark.createDataFrame([(page,)], "html string"))
+    assert product.document_statistics(found).first().asDict() == {"districts": 1, "streets": 1, "primary": 2, "middle": 1, "committees": 3, "coordinates": 1, "tags": 1}
+
+
+def test_sizes_and_cells_as_shown(spark):
+    sizes = [None, 0, 1023, 1024, 10_239, 10_240, 1_048_576, 5 * 1024**4, 2000 * 1024**4]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in sizes], "s long").select(text.bytes_text(F.col("s"))).collect()]
+    assert got == ["—", "0 B", "1023 B", "1.0 KB", "10.0 KB", "10 KB", "1.0 MB", "5.0 TB", "2000 TB"]
+    row = spark.createDataFrame([("x" * 61, None, "7", "名")], "a string, n string, k string, l string").select(text.cell_text(F.col("a")), text.cell_text(F.col("n")), text.cell_text(F.col("k"), F.col("l")), text.cell_text(F.col("k"), F.col("n"))).first()
+    assert tuple(row) == ("x" * 60 + "…", "—", "7（名）", "7")
