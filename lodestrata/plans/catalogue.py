@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestrata import registry
 from lodestrata.functions import classify, geo, text
 from lodestrata.operators import browse, coverage, dedupe, ingest, match, quality, steps
-from lodestrata.plans import gateway, product, records
+from lodestrata.plans import gateway, product, records, rules
 from lodestrata.sources import files
 
 YEARS = (1996, 1997, 1998, 1999)
@@ -398,4 +398,4 @@ def q50_stream_ingest(spark, sf):
     return spark.read.parquet(f"{root}/out").select("l_suppkey", "l_partkey")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()} | product.QUERIES | records.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()} | product.QUERIES | records.QUERIES | rules.QUERIES

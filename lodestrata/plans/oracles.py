@@ -2,6 +2,7 @@
 
 from lodestrata.plans.product_oracles import ORACLES as PRODUCT_ORACLES
 from lodestrata.plans.record_oracles import ORACLES as RECORD_ORACLES
+from lodestrata.plans.rule_oracles import ORACLES as RULE_ORACLES
 
 _PCT = "CASE WHEN {n} > 0 THEN floor(CAST({c} AS DOUBLE) / {n} * 1000 + 0.5) / 10 ELSE 0.0 END"
 
@@ -162,4 +163,4 @@ ORACLES = {
     "q48_table_grid": """SELECT page_id, CAST(n AS BIGINT) AS row, CASE n WHEN 0 THEN page_id || '|a&b|a&b' ELSE page_id || '|' || length(url) || '|x' END AS cells FROM pages CROSS JOIN (VALUES (0), (1)) v(n)""",
     "q49_gateway": "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1",
     "q50_stream_ingest": _RECEIVED.rsplit(",\n     f AS", 1)[0] + " SELECT l_suppkey, l_partkey FROM u",
-} | PRODUCT_ORACLES | RECORD_ORACLES
+} | PRODUCT_ORACLES | RECORD_ORACLES | RULE_ORACLES
