@@ -189,13 +189,17 @@ def texts(pairs: np.ndarray, phrases: list[str], words: list[str]) -> list[str]:
     return [f"{phrases[a]} {words[b]}" for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True)]
 
 
-def longer_counts(lists: DataFrame, filters: list[Filter], heavy: Filter | None, by_bucket: bool) -> DataFrame:
-    """The counts, by block, of the phrases one word longer than the last filter's: (bucket, n), or (lang, phrase, n) of those in ``heavy`` buckets."""
-    shared = lists.sparkSession.sparkContext.broadcast(([f.bits for f in filters], heavy and heavy.bits))
+def longer_counts(lists: DataFrame, filters: list[tuple[Filter, Filter | None]], heavy: Filter | None, by_bucket: bool) -> DataFrame:
+    """The counts, by block, of the phrases one word longer than the last filter's: (bucket, n), or (lang, phrase, n) of those in ``heavy`` buckets.
+
+    ``filters`` holds, by size, the filter of frequent phrases and that of their heavy buckets; buckets are looked at first, as texts cost more.
+    """
+    shared = lists.sparkSession.sparkContext.broadcast(([(f.bits, h and h.bits) for f, h in filters], heavy and heavy.bits))
     shift = np.uint64(64 - BUCKET_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wanted = [Filter(bits) for bits in shared.value[0]], shared.value[1]
+        known = [(Filter(bits), None if own is None else Filter(own)) for bits, own in shared.value[0]]
+        wanted = None if shared.value[1] is None else Filter(shared.value[1])
         for batch in batches:
             for row in range(batch.num_rows):
                 lang, words = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
@@ -203,23 +207,30 @@ def longer_counts(lists: DataFrame, filters: list[Filter], heavy: Filter | None,
                 posted = np.frombuffer(batch.column(3)[row].as_py(), "<i4")
                 owner = np.repeat(np.arange(len(words)), counts)
                 spelled = _hashes(lang, words)
-                keep = np.flatnonzero(known[0].holds(spelled)[owner])
+                keep = np.flatnonzero(known[0][0].holds(spelled)[owner])
                 keep = keep[np.argsort(posted[keep], kind="stable")]
                 posted, owner = posted[keep], owner[keep]
                 ends, names, phrases, mixed = posted, owner, words, spelled
-                for level in known[1:]:
-                    ends, names, pairs = extended(ends, names, posted, owner)
-                    phrases, mixed = texts(pairs, phrases, words), _mixed(mixed[pairs >> 32], spelled[pairs & 0xFFFFFFFF])
+
+                def longer() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+                    after, own, pairs = extended(ends, names, posted, owner)
+                    return after, own, pairs, _mixed(mixed[pairs >> 32], spelled[pairs & 0xFFFFFFFF])
+
+                for level, own in known[1:]:
+                    ends, names, pairs, hashes = longer()
+                    in_heavy = own.holds(_hashed_longs(hashes >> shift))
+                    keep = np.flatnonzero(in_heavy[names])
+                    ends, names = ends[keep], (np.cumsum(in_heavy) - 1)[names[keep]]
+                    phrases, mixed = texts(pairs[in_heavy], phrases, words), hashes[in_heavy]
                     keep = np.flatnonzero(level.holds(_hashes(lang, phrases))[names])
                     ends, names = ends[keep], names[keep]
-                _, names, pairs = extended(ends, names, posted, owner)
+                _, names, pairs, hashes = longer()
                 sizes = np.bincount(names, minlength=len(pairs))
-                buckets = _mixed(mixed[pairs >> 32], spelled[pairs & 0xFFFFFFFF]) >> shift
                 if by_bucket:
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(sizes, pa.int64())], names=["bucket", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array((hashes >> shift).astype(np.int64)), pa.array(sizes, pa.int64())], names=["bucket", "n"])
                     continue
                 if wanted is not None:
-                    keep = np.flatnonzero(Filter(wanted).holds(_hashed_longs(buckets)))
+                    keep = np.flatnonzero(wanted.holds(_hashed_longs(hashes >> shift)))
                     pairs, sizes = pairs[keep], sizes[keep]
                 for at in range(0, len(pairs), TEXTS_AT_ONCE):
                     part = texts(pairs[at : at + TEXTS_AT_ONCE], phrases, words)
@@ -240,17 +251,20 @@ def frequent(spark: SparkSession, df: DataFrame, least: int = LEAST_COUNT, longe
     lists = spark.read.parquet(f"{path}/index")
     counts = lists.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").cast("long").alias("n"))
     totals = lists.select("lang", F.expr("aggregate(counts, 0L, (s, c) -> s + c)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    filters: list[Filter] = []
+    filters: list[tuple[Filter, Filter | None]] = []
     parts = []
     for size in range(1, longest + 1):
-        if size > 1:
+        heavy = None
+        if 1 < size < longest:  # the last texts are few, as they have only frequent parts
             _summed(longer_counts(lists, filters, None, True), "bucket").filter(F.col("f") >= least).select("bucket").write.parquet(f"{path}/heavy-{size}")
-            counts = longer_counts(lists, filters, Filter.of(spark.read.parquet(f"{path}/heavy-{size}"), "bucket"), False)
+            heavy = Filter.of(spark.read.parquet(f"{path}/heavy-{size}"), "bucket")
+        if size > 1:
+            counts = longer_counts(lists, filters, heavy, False)
         where = f"{path}/frequent-{size}"
         _summed(counts, "lang", "phrase").filter(F.col("f") >= least).write.parquet(where)
         parts.append(spark.read.parquet(where))
         if size < longest:
-            filters.append(Filter.of(parts[-1], "lang", "phrase"))
+            filters.append((Filter.of(parts[-1], "lang", "phrase"), heavy))
     sized = (p.select("lang", "phrase", F.lit(size).alias("size"), "f") for size, p in enumerate(parts, 1))
     return reduce(DataFrame.unionByName, sized), totals
 
