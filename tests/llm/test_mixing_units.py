@@ -46,9 +46,9 @@ def test_characters_stay_near_the_weights(spark, monkeypatch, window_rows):
     mixed = mixing.mix(docs, weights, block_units=block)
     assert mixed.count() == docs.count()
     most, longest = most_deviation(mixed, weights, block)
-    assert longest > 10 * block and most < 2 * block + longest
+    assert longest > 10 * block and most < block + longest
     most, longest = most_deviation(mixing.mix(docs.filter(F.length("text") < block), weights, block_units=block), weights, block)
-    assert most < 2 * block + longest
+    assert most < block + longest
 
 
 def test_schedule_follows_the_wanted_weights():
