@@ -3,8 +3,10 @@
 _SIDES = """b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 9 > 0 THEN o_orderstatus END AS status FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'X' FROM orders WHERE o_orderkey % 10 = 0),
       a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'U' ELSE status END AS status FROM b WHERE o_orderkey % 7 > 0 UNION ALL SELECT -o_orderkey, o_custkey, 'N' FROM orders WHERE o_orderkey % 3 = 0)"""
 
+_ENTRIES = "(SELECT o_custkey AS l_orderkey, CAST(o_orderkey % 7 + 1 AS INT) AS l_linenumber, o_orderkey AS l_partkey, o_orderkey % 101 AS l_suppkey, CAST(floor(o_totalprice) AS BIGINT) AS l_quantity FROM orders)"
+
 ORACLES = {
-    "q71_article_records": """WITH l AS (SELECT *, l_orderkey % 3 AS shape, '第' || l_partkey || CASE WHEN l_linenumber % 6 = 5 THEN '小学东' ELSE '小学' END AS base, CASE WHEN l_orderkey % 3 <> 1 AND l_linenumber % 4 = 0 THEN '东' ELSE '' END AS campus FROM lineitem)
+    "q71_article_records": """WITH l AS (SELECT *, l_orderkey % 3 AS shape, '第' || l_partkey || CASE WHEN l_linenumber % 6 = 5 THEN '小学东' ELSE '小学' END AS base, CASE WHEN l_orderkey % 3 <> 1 AND l_linenumber % 4 = 0 THEN '东' ELSE '' END AS campus FROM _ENTRIES_)
       SELECT '区' || l_orderkey % 16 AS district, 'primary' AS stage, CASE WHEN campus <> '' AND NOT contains(base, campus) THEN base || '（东校区）' ELSE base END AS name, campus,
         CASE shape WHEN 0 THEN '公办' WHEN 1 THEN '' ELSE '民办' END AS nature, l_suppkey || '路 ' || l_linenumber || '号' AS address,
         CASE WHEN l_orderkey % 2 = 1 THEN '办学情况' WHEN l_orderkey % 4 = 0 THEN '公办小学基本情况' ELSE '初中基本情况' END AS source_title, '/a/' || l_orderkey AS source_url FROM l WHERE l_linenumber % 5 <> 0""",
@@ -15,8 +17,8 @@ ORACLES = {
       v AS (SELECT count(*) AS n_visible, greatest(1, CAST(ceil(count(*) / 20.0) AS BIGINT)) AS pages FROM h), f AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM h)
       SELECT doc_id, lang, position, CASE WHEN length(flat) > 150 THEN substr(flat, 1, 150) || '...' ELSE flat END AS excerpt, n_all, n_visible, least(2, pages) AS page, pages, n_en, n_de, n_fr, n_es
       FROM f, c, v WHERE position > (least(2, pages) - 1) * 20 AND position <= least(2, pages) * 20""",
-    "q74_page_state": """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, '}{"\' || l_suppkey || ']', l_quantity) - 1 AS place, l_partkey AS id, '}{"\\' || l_suppkey || ']' AS label, CAST(l_quantity * 100 AS BIGINT) AS cents,
-      CAST(l_linenumber AS BIGINT) AS tag FROM lineitem WHERE l_orderkey % 5 <> 0""",
+    "q74_page_state": r"""SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, '}{"\' || l_suppkey || ']', l_quantity) - 1 AS place, l_partkey AS id, '}{"\' || l_suppkey || ']' AS label, CAST(l_quantity * 100 AS BIGINT) AS cents,
+      CAST(l_linenumber AS BIGINT) AS tag FROM _ENTRIES_ WHERE l_orderkey % 5 <> 0""",
     "q75_price_pages": """WITH r AS (SELECT *, p_partkey % 5 > 0 AS has, CASE p_partkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 1000 + p_partkey % 1000 ELSE p_partkey + 1 END AS amount FROM part)
       SELECT p_partkey, CASE WHEN p_partkey % 11 > 0 THEN p_name END AS name, CASE WHEN p_partkey % 2 = 0 THEN p_type || '&1号' END AS address, CASE WHEN p_partkey % 3 = 0 THEN '静安' ELSE '徐汇' END AS district,
         CASE WHEN has THEN '2026年' || (p_partkey % 12 + 1) || '月' END AS period, CASE WHEN has AND amount > 0 THEN CAST(amount AS BIGINT) END AS price,
@@ -61,13 +63,15 @@ ORACLES = {
         format('{:,}', s) AS label FROM v""",
     "q88_boundary_collection": """SELECT '{"type":"Feature","properties":{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"},"geometry":{"type":"Polygon","coordinates":[[[' || n_nationkey || ',0],[' || n_nationkey + 1 || ',0],[' || n_nationkey || ',1],[' || n_nationkey || ',0]]]}}' AS feature,
       count(*) AS n_entities FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY 1""",
-    "q89_index_sources": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE l_linenumber % 3 WHEN 2 THEN 1 ELSE 0 END) AS p, CASE l_linenumber % 3 WHEN 0 THEN '静安' WHEN 1 THEN '浦东' END AS own FROM lineitem),
+    "q89_index_sources": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE l_linenumber % 3 WHEN 2 THEN 1 ELSE 0 END) AS p, CASE l_linenumber % 3 WHEN 0 THEN '静安' WHEN 1 THEN '浦东' END AS own FROM _ENTRIES_),
       c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS district, (l_partkey % 3 + 2024) AS y, l_suppkey % 2 = 0 AS scope FROM l)
       SELECT DISTINCT l_orderkey, CAST(y AS INT) AS year, district, y || '年公办小学' || CASE WHEN scope THEN '划片' ELSE '学校一览' END AS title,
         CASE WHEN l_linenumber % 2 = 0 THEN 'https://h.example/a/d/' || l_suppkey % 4 ELSE 'https://h.example/a/b/c.html?id=' || l_suppkey % 4 END AS url, CASE WHEN scope THEN 'primary-scope' ELSE 'school-list' END AS category, 'high' AS confidence FROM c WHERE district IS NOT NULL
       UNION SELECT DISTINCT l_orderkey, 2026, district, '别的', 'https://h.example/w', 'other', 'high' FROM c WHERE district IS NOT NULL""",
     "q90_payloads": """WITH l AS (SELECT *, CASE WHEN l_orderkey % 19 = 0 THEN 'body must be a JSON object' WHEN l_orderkey % 13 = 0 THEN 'sourceKey must match ^[a-z0-9._-]{1,64}$' WHEN l_orderkey % 17 = 0 THEN 'sourceName is required'
-      WHEN l_orderkey % 11 = 0 THEN 'records[0].schoolId must be a positive integer' END AS error FROM lineitem)
+      WHEN l_orderkey % 11 = 0 THEN 'records[0].schoolId must be a positive integer' END AS error FROM _ENTRIES_)
       SELECT 'ok' AS outcome, CAST(1998 + l_linenumber AS INT) AS year, count(*) AS n, CAST(sum(l_partkey + 1) AS BIGINT) AS schools, count(*) AS quoted FROM l WHERE error IS NULL AND l_linenumber > 2 GROUP BY 2
       UNION ALL SELECT error, NULL, count(DISTINCT l_orderkey), NULL, NULL FROM l WHERE error IS NOT NULL GROUP BY 1""",
 }
+
+ORACLES = {name: sql.replace("_ENTRIES_", _ENTRIES) for name, sql in ORACLES.items()}

@@ -1,6 +1,6 @@
 """Queries of records made from pages and nested values, of snapshots, changes and cascades, on the star schema.
 
-The tables hold no school pages, so each order, with its lines, and each part is written as such a page first, and read back.
+The tables hold no school pages, so each customer, with all orders, and each part is written as such a page first, and read back.
 """
 
 from __future__ import annotations
@@ -24,10 +24,17 @@ def _text(*parts):
     return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
 
 
+def _entries(spark, sf):
+    """The orders of each customer, under the names of an order's lines: the entries of a page."""
+    (orders,) = _t(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return orders.select(F.col("o_custkey").alias("l_orderkey"), (k % 7 + 1).cast("int").alias("l_linenumber"), k.alias("l_partkey"), (k % 101).alias("l_suppkey"), F.floor("o_totalprice").alias("l_quantity"))
+
+
 def _lines(spark, sf, cell):
-    """Per order its lines, each as one value, in the order of their numbers."""
-    (lineitem,) = _t(spark, sf, "lineitem")
-    return lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cell.alias("cell")))).alias("cells")).select("l_orderkey", F.col("cells.cell").alias("cells"))
+    """Per customer the entries, each as one value, in the order of their numbers."""
+    rows = _entries(spark, sf).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cell.alias("cell")))).alias("cells"))
+    return rows.select("l_orderkey", F.col("cells.cell").alias("cells"))
 
 
 def q71_article_records(spark, sf):
@@ -53,7 +60,8 @@ def q71_article_records(spark, sf):
 
 def q72_committee_inventory(spark, sf):
     (orders,) = _t(spark, sf, "orders")
-    rows = _lines(spark, sf, _text("居委", F.col("l_suppkey") % 7, F.when(F.col("l_linenumber") % 2 == 0, "（部分）").otherwise(" ")))
+    name = _text("居委", F.col("l_suppkey") % 7, F.when(F.col("l_linenumber") % 2 == 0, "（部分）").otherwise(" "))
+    rows = _t(spark, sf, "lineitem")[0].groupBy("l_orderkey").agg(F.collect_list(name).alias("cells"))
     schools = orders.join(rows, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(_text("学校", F.col("o_custkey")).alias("school"), F.when(F.col("o_orderstatus") != "P", F.col("cells")).alias("committees"))
     return articles.committee_inventory(schools, "school", "committees")
 

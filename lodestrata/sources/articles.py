@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,26 +27,42 @@ def column_of(rows: list[Column], pattern: str) -> Column:
     return (F.array_position(found, F.lit(True)) - 1).cast("int")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times and evaluates it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def header_of(grid: Column) -> Column:
     """Where the header of a grid begins and which columns play which part; null without name and address columns.
 
-    The first place counts where three rows in a row name the school and its address.
+    The first place counts where three rows in a row name the school and its address. Columns are looked for only there.
     """
     def at(i: Column) -> Column:
         rows = [F.coalesce(F.get(grid, i + k), F.array().cast("array<string>")) for k in range(HEADER_ROWS)]
-        words = F.concat_ws(" ", *rows)
         parts = {"name": NAME_HEADER, "campus": CAMPUS_HEADER, "address": ADDRESS_HEADER, "nature": NATURE_HEADER}
-        return F.struct(i.alias("row"), (words.rlike("学校") & words.rlike("学校地址")).alias("good"), *[column_of(rows, p).alias(n) for n, p in parts.items()])
+        found = F.struct(i.alias("row"), *[column_of(rows, p).alias(n) for n, p in parts.items()])
+        return F.when(F.concat_ws(" ", *rows).rlike("学校地址"), found)  # which names a school as well
 
     heads = F.transform(F.sequence(F.lit(0), F.greatest(F.size(grid) - 1, F.lit(0))), at)
-    return F.get(F.filter(heads, lambda h: h["good"] & (h["name"] >= 0) & (h["address"] >= 0)), F.lit(0))
+    return F.get(F.filter(heads, lambda h: h.isNotNull() & (h["name"] >= 0) & (h["address"] >= 0)), F.lit(0))
+
 
+def _records(grid: Column, title: Column) -> Column:
+    """The records of one grid below its header; none without a header."""
+    def record(cells: Column, h: Column) -> Column:
+        def cell(part: str) -> Column:
+            return F.coalesce(F.when(h[part] >= 0, F.get(cells, h[part])), F.lit(""))
 
-def tables_of(pages: DataFrame, html: str) -> DataFrame:
-    """One row per table of a page: its place and its grid, dashes as blanks, without blank rows."""
-    tables = pages.select("*", F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table\b.*?</table>"), F.lit(0))).alias("n_table", "__table"))
-    clean = F.transform("__grid", lambda row: F.transform(row, lambda x: F.regexp_replace(x, "^[-—]+$", "")))
-    return tables.withColumn("__grid", table_grid("__table")).withColumn("grid", F.filter(clean, lambda row: F.exists(row, lambda x: x != ""))).drop("__table", "__grid")
+        campus = campus_key(cell("campus"))
+        name = _let(campus, lambda c: F.when((c != "") & ~cell("name").contains(c), F.concat(cell("name"), F.lit("（"), c, F.lit("校区）"))).otherwise(cell("name")))
+        stage = stage_in(F.concat_ws(" ", title, F.array_join(cells, " ")))
+        return F.struct(stage.alias("stage"), name.alias("name"), campus.alias("campus"), cell("nature").alias("nature"), cell("address").alias("address"))
+
+    def below(g: Column, h: Column) -> Column:
+        rows = F.transform(F.slice(g, h["row"] + 2, F.greatest(F.size(g), F.lit(1))), lambda cells: record(cells, h))
+        return F.filter(rows, lambda r: (r["name"] != "") & looks_like_address(r["address"]) & ~r["name"].rlike(NO_NAME))
+
+    return _let(grid, lambda g: _let(header_of(g), lambda h: F.when(h.isNotNull(), below(g, h))))
 
 
 def article_records(pages: DataFrame, html: str = "html", title: str = "title", district: str = "district", url: str = "url") -> DataFrame:
@@ -53,17 +71,12 @@ def article_records(pages: DataFrame, html: str = "html", title: str = "title",
     Columns are found by what stacked header rows say. A campus is added to the name unless the name
     holds it. Rows without a name or an address, and rows of sums and notes, are left out; a null page has none.
     """
-    rows = tables_of(pages.select(F.col(district).alias("district"), F.col(url).alias("source_url"), F.coalesce(F.nullif(article_title(F.col(html)), F.lit("")), F.col(title)).alias("source_title"), F.col(html).alias("__html")), "__html")
-    rows = rows.withColumn("h", header_of(F.col("grid"))).filter("h is not null")
-    cells = rows.select("district", "source_url", "source_title", "h", F.explode(F.slice("grid", F.col("h.row") + 2, F.size("grid"))).alias("cells"))
-
-    def cell(part: str) -> Column:
-        return F.coalesce(F.when(F.col(f"h.{part}") >= 0, F.get("cells", F.col(f"h.{part}"))), F.lit(""))
-
-    found = cells.select("*", cell("name").alias("base"), campus_key(cell("campus")).alias("campus"), cell("address").alias("address"), cell("nature").alias("nature"))
-    name = F.when((F.col("campus") != "") & ~F.col("base").contains(F.col("campus")), F.concat("base", F.lit("（"), "campus", F.lit("校区）"))).otherwise(F.col("base"))
-    found = found.withColumn("name", name).filter((F.col("name") != "") & looks_like_address(F.col("address")) & ~F.col("name").rlike(NO_NAME))
-    return found.select("district", stage_in(F.concat_ws(" ", "source_title", F.array_join("cells", " "))).alias("stage"), "name", "campus", "nature", "address", "source_title", "source_url")
+    own = pages.select(F.col(district).alias("district"), F.col(url).alias("source_url"), F.coalesce(F.nullif(article_title(F.col(html)), F.lit("")), F.col(title)).alias("source_title"), F.col(html).alias("__html"))
+    tables = own.select("district", "source_url", "source_title", F.explode(F.regexp_extract_all("__html", F.lit(r"(?is)<table\b.*?</table>"), F.lit(0))).alias("__table"))
+    clean = F.transform(table_grid("__table"), lambda row: F.transform(row, lambda x: F.regexp_replace(x, "^[-—]+$", "")))
+    grid = F.filter(clean, lambda row: F.exists(row, lambda x: x != ""))
+    found = tables.select("district", "source_url", "source_title", F.explode(_records(grid, F.col("source_title"))).alias("r"))
+    return found.select("district", "r.stage", "r.name", "r.campus", "r.nature", "r.address", "source_title", "source_url")
 
 
 def committee_inventory(schools: DataFrame, school: str, committees: str) -> DataFrame:
