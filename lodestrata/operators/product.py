@@ -143,10 +143,10 @@ def conserved(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
     """
     total = F.grouping(kind).cast("boolean").alias("is_total")
     sides = [df.rollup(kind).agg(F.count("*").alias(n), total) for df, n in ((before, "n_before"), (after, "n_after"))]
-    left, right = sides[0].select(F.col(kind).alias("k"), F.col("is_total").alias("t"), "n_before"), sides[1]
-    rows = left.join(right, F.col("k").eqNullSafe(F.col(kind)) & (F.col("t") == F.col("is_total")), "full")
+    left, right = (df.select(F.col(kind).alias(k), F.col("is_total").alias(t), n) for df, k, t, n in ((sides[0], "__k", "__t", "n_before"), (sides[1], "__k2", "__t2", "n_after")))
+    rows = left.join(right, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__t") == F.col("__t2")), "full")
     none = F.lit(0).cast("long")
-    rows = rows.select(F.coalesce("k", kind).alias("kind"), F.coalesce("t", "is_total").alias("is_total"), F.coalesce("n_before", none).alias("n_before"), F.coalesce("n_after", none).alias("n_after"))
+    rows = rows.select(F.coalesce("__k", "__k2").alias("kind"), F.coalesce("__t", "__t2").alias("is_total"), F.coalesce("n_before", none).alias("n_before"), F.coalesce("n_after", none).alias("n_after"))
     return rows.withColumn("ok", ~F.col("is_total") | (F.col("n_before") == F.col("n_after")))
 
 
