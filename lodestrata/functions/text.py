@@ -72,6 +72,7 @@ def listed(c: Column, separators: str = "/、") -> Column:
 
 def school_key(c: Column) -> Column:
     """A school's name without markup, spaces, brackets, punctuation and the city's name; campus text stays."""
+    # Fixed values of the data: what is taken out of a school's name, in this order.
     steps = ((r"<[^>]+>", ""), (r"(?U)[\s ]+", ""), ("^上海市", ""), ("[（）()]", ""), ("[：:，,。；;]", ""))
     return reduce(lambda x, step: F.regexp_replace(x, *step), steps, c)
 
@@ -85,6 +86,7 @@ def school_variants(c: Column) -> Column:
 
 def community_aliases(c: Column) -> Column:
     """A community's name and what is left when phase and zone suffixes are peeled off, up to three times."""
+    # Fixed values of the data: suffixes of phases and zones.
     zone = "东区|西区|南区|北区|中区|一区|二区|三区|四区|五区|六区|七区|八区|九区|十区|[一二三四五六七八九十0-9]+期"
     names = [trim_all(c)]
     for _ in range(3):
@@ -194,6 +196,7 @@ def table_grid(pages: pd.Series) -> pd.Series:
 
 
 # --- names, addresses, links and JSON values of the pipelines -----------------------------------
+# Fixed values of the data: the steps by which source_key, poi_key, address_key, feeder_key and campus_key shorten names.
 
 
 def _chain(c: Column, *steps: tuple[str, str]) -> Column:

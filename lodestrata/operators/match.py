@@ -103,6 +103,7 @@ def pathway_edges(df: DataFrame, schools: DataFrame) -> DataFrame:
 
 def poi_score(name: Column, poi: Column, kind: Column, same_district: Column, address: Column, poi_address: Column, stage_word: Column) -> Column:
     """Score of a point of interest for a school: hard rejects in order, else a sum of weights."""
+    # Fixed values of the data: the words that tell schools and other places apart, and all weights below.
     school_word, other_school = r"学校|小学|中学", r"附属|附中|附小|小学|中学|高中|初中"
     strong = (poi == name) | poi.contains(name) | name.contains(poi) | poi.contains(school_key(name))
     shared = F.size(F.array_intersect(F.array_distinct(F.split(name, "")), F.array_distinct(F.split(poi, ""))))

@@ -16,6 +16,12 @@ from lodestrata.operators.dedupe import carry_forward, first_seen
 NAME_HEADER, CAMPUS_HEADER, ADDRESS_HEADER, NATURE_HEADER = "学校名称|^名称$", "^校区$", "学校地址", "学校性质|办学性质|性质"
 NO_NAME = "学校名称|合计|备注|说明"
 INDEX_DISTRICTS = tuple("浦东新区" if d == "浦东" else d for d in ALL_DISTRICTS)
+# Fixed values of the data: how a price page marks its name, its district, its address and its average price, and how a search page links its results.
+PRICE_NAME = r'(?is)<h1[^>]*class="[^"]*\bsituationHead\b[^"]*"[^>]*>(.*?)</h1>'
+PRICE_CRUMB = r'(?i)<a href="/district/[^"]+\?city=sh">([^<]+)</a>'
+PRICE_ADDRESS = "地址：([^<]+)"
+PRICE_BLOCK = r'(?i)<p>\s*平均房价\s*<span[^>]*>（([^）]+)）</span>\s*</p>\s*<div class="fl">\s*<span[^>]*>([\d,]+)</span>\s*元/㎡'
+RESULT_LINK = r'(?is)<a[^>]+href="[^"]*/community/[^"]+?city={city}[^"]*"[^>]*>.*?</a>'
 #: Rows that a header may be stacked over.
 HEADER_ROWS = 3
 
@@ -94,22 +100,21 @@ def price_page(page: Column) -> Column:
 
     ``problem`` tells what is missing, null where the page is usable; the price is null then.
     """
-    head = first_match(page, r'(?is)<h1[^>]*class="[^"]*\bsituationHead\b[^"]*"[^>]*>(.*?)</h1>')
+    head = first_match(page, PRICE_NAME)
     name = F.nullif(trim_all(F.regexp_replace(F.regexp_replace(html_text(head), r"房价\s*（住宅）$", ""), "房价$", "")), F.lit(""))
-    crumb = first_match(page, r'(?i)<a href="/district/[^"]+\?city=sh">([^<]+)</a>')
-    block = r'(?i)<p>\s*平均房价\s*<span[^>]*>（([^）]+)）</span>\s*</p>\s*<div class="fl">\s*<span[^>]*>([\d,]+)</span>\s*元/㎡'
-    amount = first_match(page, block, 2)
+    crumb = first_match(page, PRICE_CRUMB)
+    amount = first_match(page, PRICE_BLOCK, 2)
     price = price_number(amount).cast("long")
     problem = F.when(name.isNull(), "missing community name").when(amount.isNull(), "missing average price block").when(price.isNull(), F.concat(F.lit("invalid unit price "), amount))
     return F.struct(
-        name.alias("name"), html_text(first_match(page, "地址：([^<]+)")).alias("address"), F.coalesce(bare_district(html_text(crumb)), district_in_label(html_text(title_of(page)))).alias("district"),
-        F.nullif(trim_all(first_match(page, block, 1)), F.lit("")).alias("period"), price.alias("price"), problem.alias("problem"),
+        name.alias("name"), html_text(first_match(page, PRICE_ADDRESS)).alias("address"), F.coalesce(bare_district(html_text(crumb)), district_in_label(html_text(title_of(page)))).alias("district"),
+        F.nullif(trim_all(first_match(page, PRICE_BLOCK, 1)), F.lit("")).alias("period"), price.alias("price"), problem.alias("problem"),
     )
 
 
 def search_candidates(page: Column, host: str, old_host: str, city: str = "sh") -> Column:
     """The results of a search page in page order: (url, label, district)."""
-    anchors = F.regexp_extract_all(page, F.lit(rf'(?is)<a[^>]+href="[^"]*/community/[^"]+?city={city}[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    anchors = F.regexp_extract_all(page, F.lit(RESULT_LINK.replace("{city}", city)), F.lit(0))
 
     def one(a: Column) -> Column:
         label = html_text(F.regexp_extract(a, r"(?s)^<a[^>]*>(.*)</a>$", 1))
