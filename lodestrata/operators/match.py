@@ -80,10 +80,16 @@ def _prefix(ranked: Column, least: float) -> Column:
 
 
 def suffix_lookup(candidates: DataFrame, targets: DataFrame, suffixes: Sequence[str] = ("", "中学", "初级中学", "学校")) -> DataFrame:
-    """(candidate_id, target_id): the first of name + suffix, in order, that is a target's name; of several the least id."""
+    """(candidate_id, target_id): the first of name + suffix, in order, that is a target's name; of several the least id.
+
+    Distinct names are looked up once each and targets are one row a name, so equal names of either side form no pairs.
+    """
     tried = F.posexplode(F.array(*[F.concat("name", F.lit(s)) for s in suffixes])).alias("step", "tried")
-    hits = candidates.select("candidate_id", "name").select("candidate_id", tried).join(targets.select("target_id", F.col("name").alias("tried")), "tried")
-    return hits.groupBy("candidate_id").agg(F.min_by("target_id", F.struct("step", "target_id")).alias("target_id"))
+    least = targets.groupBy(F.col("name").alias("tried")).agg(F.min("target_id").alias("target_id"))
+    hits = candidates.select("name").distinct().select("name", tried).join(least, "tried")
+    first = hits.groupBy("name").agg(F.min(F.struct("step", "target_id")).alias("hit"))
+    met = candidates.select("candidate_id", "name").join(first, "name")
+    return met.groupBy("candidate_id").agg(F.min("hit")["target_id"].alias("target_id"))
 
 
 def feeder_candidates(df: DataFrame, row_id: str, text: str) -> DataFrame:

@@ -243,3 +243,28 @@ def test_similar_names_equal_all_pairs(spark):
     got = sorted((r["left_id"], r["right_id"], round(r["score"], 6)) for r in match.similar_names(*frames, 0.35).collect())
     assert got == want
     assert match.similar_names(frames[0].limit(0), frames[1], 0.35).count() == 0
+
+
+def test_suffix_lookup_forms_no_pairs_of_equal_names(spark):
+    candidates = spark.range(3000).select(F.col("id").alias("candidate_id"), F.lit("red").alias("name"))
+    targets = spark.range(3000).select((F.col("id") + 7).alias("target_id"), F.when(F.col("id") % 2 == 0, "red b").otherwise("red a").alias("name"))
+    found = match.suffix_lookup(candidates, targets, (" none", " a", " b"))
+    assert [tuple(r) for r in found.select("target_id").distinct().collect()] == [(8,)] and found.count() == 3000
+    left, right = (spark.createDataFrame(rows, f"{c}_id long, name string") for c, rows in (("candidate", [(1, "x"), (1, "y"), (2, "x"), (3, None), (4, "z")]), ("target", [(5, "x2"), (6, "y1"), (4, "x2"), (9, None)])))
+    assert sorted(map(tuple, match.suffix_lookup(left, right, ("1", "2")).collect())) == [(1, 6), (2, 4)]
+    assert most_rows(found) <= 3000
+
+
+def most_rows(df):
+    """The most rows that any operator of the executed plan puts out."""
+    def nodes(plan):
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return nodes(plan.executedPlan())
+        if hasattr(plan, "plan") and plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            return nodes(plan.plan())
+        children = plan.children()
+        return [plan] + [n for i in range(children.size()) for n in nodes(children.apply(i))]
+
+    df.collect()
+    counts = [n.metrics().get("numOutputRows") for n in nodes(df._jdf.queryExecution().executedPlan())]
+    return max(c.get().value() for c in counts if c.isDefined())
