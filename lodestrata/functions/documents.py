@@ -6,10 +6,13 @@ written with their keys in alphabetical order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _MAP = "map<string,variant>"
 
@@ -99,29 +102,34 @@ def json_joined(left: Column, right: Column) -> Column:
 
 # --- JSON inside scripts --------------------------------------------------------------------------
 
-#: Escapes, quotes, brackets, and stretches of anything else.
-_TOKENS = r"(?s)\\.|[\"{}\[\]]|[^\"\\{}\[\]]+|\\"
+#: Whole strings, brackets, escapes outside strings, and quotes that nothing closes.
+_TOKENS = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]]|\\.|"', re.DOTALL)
 
 
-def bracketed(c: Column) -> Column:
+@F.pandas_udf(StringType())
+def bracketed(texts: pd.Series) -> pd.Series:
     """The text's first characters up to the bracket that closes its first one; null if none does.
 
-    Brackets inside strings do not count. One pass over the tokens holds the depth, whether a string is open,
-    and how far the text goes, so depth and length have no bound.
+    Brackets inside strings do not count. One pass over strings and brackets holds the depth, so depth and length have no bound.
     """
-    tokens = F.regexp_extract_all(c, F.lit(_TOKENS), F.lit(0))
 
-    def state(depth: Column, open_: Column, size: Column, done: Column) -> Column:
-        return F.struct(depth.alias("depth"), open_.alias("open"), size.alias("size"), done.alias("done"))
-
-    def step(s: Column, t: Column) -> Column:
-        up, down = ~s["open"] & t.isin("{", "["), ~s["open"] & t.isin("}", "]")
-        depth = s["depth"] + F.when(up, 1).when(down, -1).otherwise(0)
-        here = state(depth, F.when(t == '"', ~s["open"]).otherwise(s["open"]), s["size"] + F.length(t), down & (depth == 0))
-        return F.when(s["done"], s).otherwise(here)
-
-    end = F.aggregate(tokens, state(F.lit(0), F.lit(False), F.lit(0), F.lit(False)), step)
-    return F.when(c.rlike(r"^[{\[]"), F.transform(F.array(end), lambda e: F.when(e["done"], F.substring(c, F.lit(1), e["size"])))[0])
+    def closed(text: str | None) -> str | None:
+        if not text or text[0] not in "{[":
+            return None
+        depth = 0
+        for token in _TOKENS.finditer(text):
+            sign = token[0]
+            if sign in ("{", "["):
+                depth += 1
+            elif sign in ("}", "]"):
+                depth -= 1
+                if not depth:
+                    return text[: token.end()]
+            elif sign == '"':
+                return None
+        return None
+
+    return texts.map(closed)
 
 
 def page_state(page: Column, name: str) -> Column:

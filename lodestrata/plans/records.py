@@ -80,8 +80,9 @@ def q74_page_state(spark, sf):
     rows = _lines(spark, sf, card)
     state = F.to_json(F.struct(F.struct(F.col("cells").alias("cards")).alias("list"), F.col("l_orderkey").alias("order")))
     html = _text('<html><script>var other={"a":1};window.STATE = ', F.when(F.col("l_orderkey") % 5 == 0, F.substring(state, F.lit(1), F.length(state) - 3)).otherwise(state), ";var x=1;</script><p>}</p></html>")
-    found = rows.select(documents.page_state(html, "window.STATE").alias("s")).filter("s is not null")
-    cards = found.select(F.try_variant_get("s", "$.order", "long").alias("l_orderkey"), F.posexplode(F.try_variant_get("s", "$.list.cards", "array<variant>")).alias("place", "c"))
+    found = rows.select(documents.page_state(html, "window.STATE").alias("s"))
+    # posexplode_outer: for posexplode Spark would infer a filter that parses the page once more
+    cards = found.select(F.try_variant_get("s", "$.order", "long").alias("l_orderkey"), F.posexplode_outer(F.try_variant_get("s", "$.list.cards", "array<variant>")).alias("place", "c")).filter("place is not null")
     return cards.select(
         "l_orderkey", F.col("place").cast("long").alias("place"), F.try_variant_get("c", "$.id", "long").alias("id"), F.try_variant_get("c", "$.label", "string").alias("label"), F.try_variant_get("c", "$.deep.price.cents", "long").alias("cents"),
         F.try_variant_get("c", "$.tags[0][0]", "long").alias("tag"),

@@ -52,6 +52,13 @@ def test_page_state(spark, page, wanted):
         assert (None if got is None else json.loads(got)) == wanted
 
 
+def test_pages_are_searched_once(spark, sf):
+    from lodestrata.plans.catalogue import QUERIES
+
+    df = QUERIES["q74_page_state"](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+
+
 def test_cut_equals_exploding(spark):
     made = {"a": {"x": [1, 2], "n": 3}, "b": {"x": [], "n": None}, "c": {"x": None, "n": 5}}
     df = spark.createDataFrame([(1, made), (2, {}), (3, None), (4, {"z": {"x": [9], "n": 1}})], "id int, d map<string,struct<x:array<int>,n:int>>")
