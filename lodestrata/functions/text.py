@@ -88,11 +88,13 @@ def community_aliases(c: Column) -> Column:
     """A community's name and what is left when phase and zone suffixes are peeled off, up to three times."""
     # Fixed values of the data: suffixes of phases and zones.
     zone = "东区|西区|南区|北区|中区|一区|二区|三区|四区|五区|六区|七区|八区|九区|十区|[一二三四五六七八九十0-9]+期"
-    names = [trim_all(c)]
-    for _ in range(3):
-        shorter = trim_all(F.regexp_replace(F.regexp_replace(names[-1], f"[（(](?:{zone})[）)]$", ""), f"(?:{zone})$", ""))
-        names.append(F.when(F.length(shorter) >= 2, shorter).otherwise(names[-1]))
-    return F.array_distinct(F.array(*names))
+
+    def peeled(name: Column) -> Column:
+        shorter = trim_all(F.regexp_replace(F.regexp_replace(name, f"[（(](?:{zone})[）)]$", ""), f"(?:{zone})$", ""))
+        return F.transform(F.array(shorter), lambda s: F.when(F.length(s) >= 2, s).otherwise(name))
+
+    # each name is held once, as an expression that repeats the one before would grow as a power of the steps
+    return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.array(trim_all(c)), lambda names, _: F.concat(names, peeled(F.element_at(names, -1)))))
 
 
 def html_text(c: Column) -> Column:
