@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.classify import admission_mode, is_placeholder
 from lodestrata.functions.text import listed, school_key, school_variants, similarity, without_notes
+from lodestrata.shared import shared_path
+
+#: Ids of a name that travel together, pairs that one task makes, and the most tasks.
+PACK, PAIRS_AT_ONCE, MOST_TASKS = 256, 1 << 21, 1 << 15
 
 
 def stage_fits(wanted: Column, kind: Column) -> Column:
@@ -68,9 +72,28 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         inside = longer.join(sides[part].withColumn("key", F.substring(part, 1, 2)), ["block", "key"])
         met = met.unionByName(inside.filter(first.isNull() & F.col(whole).contains(F.col(part))).select(*pair))
     score = similarity(F.col("a"), F.col("b"), F.col("ca"), F.col("cb"))
-    scored = met.select("block", "a", "b", score.alias("score")).filter(F.col("score") >= least)
-    ids = [x.select(F.col("id").alias(f"{side}_id"), "block", F.col("name").alias(c)) for x, side, c in zip(rows, ("left", "right"), "ab")]
-    return scored.join(ids[0], ["block", "a"]).join(ids[1], ["block", "b"]).select("left_id", "right_id", "score")
+    path = shared_path(left.sparkSession, "similar-names")
+    met.select("block", "a", "b", score.alias("score")).filter(F.col("score") >= least).write.parquet(path)
+    return _pairs_of_rows(left.sparkSession.read.parquet(path), *rows)
+
+
+def _pairs_of_rows(scored: DataFrame, left: DataFrame, right: DataFrame, pack: int = PACK, at_once: int = PAIRS_AT_ONCE) -> DataFrame:
+    """(left_id, right_id, score) of the rows (id, block, name) that bear two scored names (block, a, b, score).
+
+    There are as many pairs as the rows of both names multiply to. Ids travel in packs, and two packs become pairs only where
+    they were dealt to one of as many tasks as ``at_once`` pairs each ask for, so a name of many rows is not one task's.
+    """
+    n = scored
+    for df, side, c in ((left, "left", "a"), (right, "right", "b")):
+        named = df.select("id", "block", F.col("name").alias(c))
+        sizes = named.groupBy("block", c).agg(F.count("*").alias(f"{side}_n"))
+        n = n.join(sizes, ["block", c])
+        packs = named.join(sizes, ["block", c]).withColumn(f"{side}_pack", F.pmod(F.xxhash64("id"), F.ceil(F.col(f"{side}_n") / pack)))
+        scored = scored.join(packs.groupBy("block", c, f"{side}_pack").agg(F.collect_list("id").alias(f"{side}_ids")), ["block", c])
+    total = n.agg(F.sum(F.col("left_n") * F.col("right_n"))).first()[0] or 0
+    dealt = scored.repartition(min(total // at_once + 1, MOST_TASKS), "block", "a", "b", "left_pack", "right_pack")
+    halves = dealt.select(F.explode("left_ids").alias("left_id"), "right_ids", "score")
+    return halves.select("left_id", F.explode("right_ids").alias("right_id"), "score")
 
 
 def _prefix(ranked: Column, least: float) -> Column:

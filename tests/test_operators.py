@@ -245,6 +245,16 @@ def test_similar_names_equal_all_pairs(spark):
     assert match.similar_names(frames[0].limit(0), frames[1], 0.35).count() == 0
 
 
+def test_rows_of_two_names_are_dealt_out(spark):
+    left = spark.range(3000).selectExpr("id", "1 as block", "'abc' as name")
+    right = spark.range(1500).selectExpr("id", "1 as block", "if(id < 1490, 'abcd', 'xyz') as name")
+    found = match.similar_names(left, right, 0.35)
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 3000 * 1490 and max(r["n"] for r in tasks) < 3_000_000
+    got = found.agg(F.count_distinct(F.struct("left_id", "right_id")).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), F.max("right_id").alias("last")).first()
+    assert tuple(got) == (3000 * 1490, 0.75, 0.75, 1489)
+
+
 def test_suffix_lookup_forms_no_pairs_of_equal_names(spark):
     candidates = spark.range(3000).select(F.col("id").alias("candidate_id"), F.lit("red").alias("name"))
     targets = spark.range(3000).select((F.col("id") + 7).alias("target_id"), F.when(F.col("id") % 2 == 0, "red b").otherwise("red a").alias("name"))
