@@ -79,17 +79,20 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def pack(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None,
     capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, end_id: int = END_ID, with_ids: bool = False,
-    ordinary: bool = True,
+    ordinary: bool = True, small: bool = False,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and the ids, if asked for).
 
-    ``ordinary``: whether strings of special tokens in a text are ordinary text (see ``tokens``).
+    ``ordinary``: whether strings of special tokens in a text are ordinary text (see ``tokens``). ``small``: for workers that
+    earlier stages have left large; the tokenizer's cache is a sixth, and what Arrow holds unused goes back first.
     """
     prepare(df.sparkSession)
     path = path or tokens.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.tokenizer(path, ordinary)
+        if small:
+            pa.default_memory_pool().release_unused()
+        encoder = tokens.tokenizer(path, ordinary, small)
         packer = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.uint32)
         for batch in batches:

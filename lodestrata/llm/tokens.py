@@ -21,8 +21,10 @@ import numpy as np
 
 #: Cached pieces of a worker; beyond it the cache starts anew, which changes only the speed.
 CACHE_PIECES = 400_000
+#: The same, and the texts that are worked on at once, where a worker has to be small.
+FEW_PIECES, FEW_TEXTS = 1 << 16, 64
 _START = "\x01"
-_by_path: dict[tuple[str, bool], PieceTokenizer] = {}
+_by_path: dict[tuple[str, bool, bool], PieceTokenizer] = {}
 
 
 def default_path() -> str:
@@ -31,11 +33,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenizer(path: str, ordinary: bool = True) -> PieceTokenizer:
-    """One per worker process, path and reading of special tokens' strings."""
-    if (path, ordinary) not in _by_path:
-        _by_path[path, ordinary] = PieceTokenizer(path, ordinary)
-    return _by_path[path, ordinary]
+def tokenizer(path: str, ordinary: bool = True, small: bool = False) -> PieceTokenizer:
+    """One per worker process, path, reading of special tokens' strings and size."""
+    if (path, ordinary, small) not in _by_path:
+        _by_path[path, ordinary, small] = PieceTokenizer(path, ordinary, small)
+    return _by_path[path, ordinary, small]
 
 
 class _Numbers(dict):
@@ -47,7 +49,8 @@ class _Numbers(dict):
 
 
 class PieceTokenizer:
-    def __init__(self, path: str, ordinary: bool = True) -> None:
+    def __init__(self, path: str, ordinary: bool = True, small: bool = False) -> None:
+        self.cached, self.at_once = (FEW_PIECES, FEW_TEXTS) if small else (CACHE_PIECES, None)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -112,7 +115,13 @@ class PieceTokenizer:
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text (null: none) without special tokens, as uint32 arrays."""
-        if self.known > CACHE_PIECES:
+        if self.at_once is None:
+            return self._encode(texts)
+        # copies, as the ids of a text alone would hold those of all texts worked on with it
+        return [ids.copy() for at in range(0, len(texts), self.at_once) for ids in self._encode(texts[at : at + self.at_once])]
+
+    def _encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        if self.known > self.cached:
             self._clear()
         pieces: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)

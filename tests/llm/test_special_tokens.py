@@ -27,6 +27,16 @@ def test_both_readings_equal_a_fresh_tokenizer(ordinary):
     assert fresh(False)[0] == [64, 220, 50256, 275]
 
 
+def test_a_small_tokenizer_holds_few_pieces():
+    from tokenizers import Tokenizer
+
+    small, plain = tokens.tokenizer(tokens.default_path(), False, small=True), Tokenizer.from_file(tokens.default_path())
+    texts = [" ".join(f"w{n * 500 + i}" for i in range(500)) for n in range(400)] + [None, "", "a  b", "<|endoftext|> x"]
+    got = [ids for at in range(0, len(texts), 101) for ids in small.encode(texts[at : at + 101])]
+    assert [ids.tolist() for ids in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(small.numbers) <= tokens.FEW_PIECES + 500 * tokens.FEW_TEXTS and all(ids.base is None for ids in got)
+
+
 def test_packing_reads_special_tokens_and_counting_does_not(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
