@@ -116,3 +116,16 @@ def test_embedded_document(spark):
     assert sorted((r["stage"], r["place"], r["school"]["名称"]) for r in schools.collect()) == [("middle", 0, "一中"), ("primary", 0, "一小"), ("primary", 1, "二小")]
     found = {r["source_key"] for r in files.committee_relations(schools).collect()}
     assert found == {"静安:primary:一小:0:甲", "静安:primary:一小:1:乙", "静安:primary:二小:0:丙"}
+
+
+def test_mercator_bands_and_signs(spark):
+    """The six bands by the reference's formula, on either side of the equator and of the meridian."""
+    points = [(sign * 13_500_000.0, way * (bound + 1000.0)) for bound in geo.MERCATOR_BANDS for sign in (1, -1) for way in (1, -1)]
+
+    def wanted(x, y):
+        f = next(f for bound, f in zip(geo.MERCATOR_BANDS, geo.MERCATOR_FACTORS, strict=True) if abs(y) >= bound)
+        lng, lat = f[0] + f[1] * abs(x), sum(f[k + 2] * (abs(y) / f[9]) ** k for k in range(7))
+        return -lng if x < 0 else lng, -lat if y < 0 else lat
+
+    got = spark.createDataFrame(points, "x double, y double").select(*geo.mercator_to_degrees(F.col("x"), F.col("y"))).collect()
+    assert [tuple(r) for r in got] == [pytest.approx(wanted(x, y), abs=1e-9) for x, y in points]
