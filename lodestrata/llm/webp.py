@@ -17,13 +17,12 @@ give repeated rows.
 
 from __future__ import annotations
 
-import heapq
 import math
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
-from itertools import compress, groupby
+from functools import cached_property, lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -49,31 +48,37 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 
 
 class BitWriter:
-    """Single fields gather in one number, long runs of fields as arrays; ``finish`` lays out the bits."""
+    """Single fields gather in one number, long runs of fields as arrays; both become bytes as soon as they are full."""
 
     def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
+        self.parts: list[bytes] = []
         self.held, self.size = 0, 0
 
     def put(self, value: int, width: int) -> None:
         self.held |= value << self.size
         self.size += width
 
-    def _flush(self) -> None:
-        if self.size:
-            raw = np.frombuffer(self.held.to_bytes(-(-self.size // 8), "little"), np.uint8)
-            self.parts.append(np.unpackbits(raw, count=self.size, bitorder="little"))
-            self.held = self.size = 0
-
     def many(self, values: np.ndarray, widths: np.ndarray) -> None:
-        self._flush()
-        stops = np.cumsum(widths)
-        step = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - widths, widths)
-        self.parts.append(((np.repeat(values, widths) >> step) & 1).astype(np.uint8))
+        if not len(values):
+            return
+        full = self.size >> 3
+        raw = self.held.to_bytes(full + 1, "little")
+        self.parts.append(raw[:full])
+        stops = np.cumsum(widths) + (self.size & 7)
+        start, size = stops - widths, int(stops[-1])
+        first, moved = start >> 3, values << (start & 7)
+        length = (size >> 3) + 1
+        out = np.zeros(length, np.int64)
+        out[0] = raw[full]
+        for k in range((int(widths.max()) + 14) >> 3):  # fields share no bit, so a byte is the sum of its parts
+            part = np.bincount(first, moved >> 8 * k & 255)[: length - k]
+            out[k : k + len(part)] += part.astype(np.int64)
+        whole = out.astype(np.uint8).tobytes()
+        self.parts.append(whole[:-1])
+        self.held, self.size = whole[-1], size & 7
 
     def finish(self) -> bytes:
-        self._flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return b"".join(self.parts) + self.held.to_bytes(-(-self.size // 8), "little")
 
 
 class BitReader:
@@ -89,6 +94,9 @@ class BitReader:
         self.place += width
         return value
 
+    def bits(self, place: int, size: int) -> int:
+        return int.from_bytes(self.data[place >> 3 : (place + size + 7) >> 3], "little") >> (place & 7) & ((1 << size) - 1)
+
 
 def code_lengths(counts: Sequence[int], most: int = MAX_CODE) -> list[int]:
     """Lengths of a prefix code; rare symbols are counted up until the longest one fits."""
@@ -100,71 +108,120 @@ def code_lengths(counts: Sequence[int], most: int = MAX_CODE) -> list[int]:
         return lengths
     least = 1
     while True:
-        heap = [(max(counts[s], least), n) for n, s in enumerate(used)]
-        heapq.heapify(heap)
+        # the two rarest nodes are merged; merged ones come in the order of their counts, so two queues do for a heap
+        leaves = sorted((max(counts[s], least), n) for n, s in enumerate(used))
+        sizes, order = [c for c, _ in leaves], [n for _, n in leaves]
+        sizes.append(sum(sizes) + 1)
+        merged: list[int] = []
         parent = [0] * (2 * len(used) - 1)
+        leaf = inner = 0
         for node in range(len(used), len(parent)):
-            low, a = heapq.heappop(heap)
-            high, b = heap[0]
-            parent[a] = parent[b] = node
-            heapq.heapreplace(heap, (low + high, node))
+            both = 0
+            for _ in range(2):
+                if inner == len(merged) or sizes[leaf] <= merged[inner]:
+                    both += sizes[leaf]
+                    parent[order[leaf]] = node
+                    leaf += 1
+                else:
+                    both += merged[inner]
+                    parent[len(used) + inner] = node
+                    inner += 1
+            merged.append(both)
         depth = [0] * len(parent)
         for node in range(len(parent) - 2, -1, -1):
             depth[node] = depth[parent[node]] + 1
         for s, d in zip(used, depth, strict=False):
             lengths[s] = d
-        if max(lengths) <= most:
+        if max(depth) <= most:
             return lengths
         least *= 2
 
 
-def _canonical(lengths: Sequence[int]) -> Iterator[tuple[int, int, int]]:
-    """(symbol, width, code with its first bit lowest) of every used symbol, in the order of the codes."""
-    code, before = 0, 0
-    used = compress(range(len(lengths)), lengths)
-    for width, symbol in sorted((lengths[s], s) for s in used):
-        code <<= width - before
-        before = width
-        yield symbol, width, int(f"{code:0{width}b}"[::-1], 2)
-        code += 1
+@lru_cache(MAX_CODE + 1)
+def _reversed(bits: int) -> np.ndarray:
+    """All numbers of some bits, each read from its last bit."""
+    numbers = np.arange(1 << bits)
+    return sum(((numbers >> k & 1) << (bits - 1 - k) for k in range(bits)), np.zeros(1 << bits, np.int64))
+
+
+#: The numbers of ``MAX_CODE`` bits; shorter ones are found by a shift.
+_TURNED = _reversed(MAX_CODE).tolist()
 
 
 def writing_codes(lengths: Sequence[int]) -> tuple[list[int], list[int]]:
-    """(codes, widths); a code of one symbol takes no bits."""
+    """(codes with their first bit lowest, widths); a code of one symbol takes no bits."""
     codes, widths = [0] * len(lengths), [0] * len(lengths)
-    rows = list(_canonical(lengths))
-    for symbol, width, code in rows if len(rows) > 1 else ():
-        codes[symbol], widths[symbol] = code, width
+    code, before = 0, 0
+    rows = sorted((lengths[s], s) for s in compress(range(len(lengths)), lengths))
+    for width, symbol in rows if len(rows) > 1 else ():
+        code <<= width - before
+        before = width
+        codes[symbol], widths[symbol] = _TURNED[code] >> (MAX_CODE - width), width
+        code += 1
     return codes, widths
 
 
 class Code:
-    """A reading table: symbol and width by the next ``bits`` bits."""
+    """A reading table: symbol and width by the next ``bits`` bits, from the (width, symbol) of all used symbols."""
 
-    def __init__(self, lengths: Sequence[int]) -> None:
-        rows = list(_canonical(lengths))
-        self.bits = 0 if len(rows) < 2 else rows[-1][1]
+    def __init__(self, used: Sequence[tuple[int, int]]) -> None:
+        rows = sorted(used)
+        self.bits = 0 if len(rows) < 2 else rows[-1][0]
+        self.copies = any(symbol >= 256 for _, symbol in rows)
         if len(rows) < 2:
-            self.symbols = np.array([rows[0][0] if rows else 0], np.int32)
-            self.widths = np.zeros(1, np.int32)
+            self.symbols = np.array([rows[0][1] if rows else 0])
+            self.widths = np.zeros(1, np.int64)
             return
-        if sum(1 << (self.bits - width) for _, width, _ in rows) != 1 << self.bits:
+        widths, symbols = np.array(rows).T
+        spans = 1 << (self.bits - widths)  # in the order of the codes each takes the next part of the table
+        if int(spans.sum()) != 1 << self.bits:
             raise ValueError("incomplete prefix code")
-        self.symbols, self.widths = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
-        for symbol, width, code in rows:
-            self.symbols[code :: 1 << width] = symbol
-            self.widths[code :: 1 << width] = width
+        turned = _reversed(self.bits)
+        self.symbols, self.widths = np.repeat(symbols, spans).take(turned), np.repeat(widths, spans).take(turned)
+
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int], int]:
+        """(symbols, widths, mask) for reading one by one."""
+        return self.symbols.tolist(), self.widths.tolist(), (1 << self.bits) - 1
 
     def read(self, reader: BitReader) -> int:
-        at = reader.peek() & ((1 << self.bits) - 1)
-        reader.place += int(self.widths[at])
-        return int(self.symbols[at])
+        symbols, widths, mask = self.lists
+        at = reader.peek() & mask
+        reader.place += widths[at]
+        return symbols[at]
+
+
+@lru_cache(64)
+def _code_of(used: tuple[tuple[int, int], ...]) -> Code:
+    return Code(used)
 
 
 def write_code(out: BitWriter, lengths: Sequence[int]) -> None:
     out.put(*_code_bits(tuple(lengths)))
 
 
+def _runs(lengths: Sequence[int]) -> list[tuple[int, int]]:
+    """(value, number) of equal neighbours; most are zero."""
+    out, at, n = [], 0, len(lengths)
+    used = list(compress(range(n), lengths))
+    used.append(n)
+    last = 0
+    for s in used:
+        if s > at:
+            if last:
+                out.append((last, at - since))
+            out.append((0, s - at))
+            last = 0
+        if s < n and lengths[s] != last:
+            if last:
+                out.append((last, s - since))
+            last, since = lengths[s], s
+        at = s + 1
+    if last:
+        out.append((last, n - since))
+    return out
+
+
 @lru_cache(64)
 def _code_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
     """How a code is stored, as (bits, their number)."""
@@ -175,8 +232,7 @@ def _code_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
             out.put(value, width)
         return out.held, out.size
     tokens: list[tuple[int, int, int]] = []
-    for length, same in groupby(lengths):
-        run = len(list(same))
+    for length, run in _runs(lengths):
         if length == 0:
             while run >= 11:
                 step = min(run, 138)
@@ -209,48 +265,53 @@ def _code_bits(lengths: tuple[int, ...]) -> tuple[int, int]:
     return out.held, out.size
 
 
-@lru_cache(64)
-def _one_symbol(symbol: int) -> Code:
-    return Code([0] * symbol + [1])
-
-
 def read_code(reader: BitReader, alphabet: int) -> Code:
-    lengths = [0] * alphabet
-    if reader.read(1):
-        two, wide = reader.read(1), reader.read(1)
-        first = reader.read(8 if wide else 1)
-        if not two:
-            return _one_symbol(first)
-        lengths[first] = lengths[reader.read(8)] = 1
-        return Code(lengths)
-    widths = [0] * 19
-    for s in LENGTH_ORDER[: 4 + reader.read(4)]:
-        widths[s] = reader.read(3)
+    window = reader.peek()
+    if window & 1:
+        size = 8 if window & 4 else 1
+        first = window >> 3 & ((1 << size) - 1)
+        if not window & 2:
+            reader.place += 3 + size
+            return _code_of(((1, first),))
+        reader.place += 11 + size
+        return _code_of(tuple((1, s) for s in {first, window >> 3 + size & 255}))
+    reader.place += 5
+    held = reader.bits(reader.place, 57)
+    stored = LENGTH_ORDER[: 4 + (window >> 1 & 15)]
+    reader.place += 3 * len(stored)
+    widths = ((held >> 3 * n & 7, s) for n, s in enumerate(stored))
+    code = _code_of(tuple(row for row in widths if row[0]))
     left = alphabet
     if reader.read(1):
         left = 2 + reader.read(2 + 2 * reader.read(3))
-    code, at, last = Code(widths), 0, 8
-    symbols, sizes, mask = code.symbols.tolist(), code.widths.tolist(), (1 << code.bits) - 1
+    symbols, sizes, mask = code.lists
+    used, at, last = [], 0, 8
+    data, place, have = reader.data, reader.place, 0
     while at < alphabet and left:
         left -= 1
-        window = reader.peek()
-        symbol = symbols[window & mask]
-        size = sizes[window & mask]
-        window >>= size
+        if have < 16:
+            held, have = int.from_bytes(data[place >> 3 : (place >> 3) + 32], "little") >> (place & 7), 256 - (place & 7)
+        symbol = symbols[held & mask]
+        size = sizes[held & mask]
         if symbol < 16:
-            lengths[at] = symbol
-            last, at = symbol or last, at + 1
+            if symbol:
+                used.append((symbol, at))
+                last = symbol
+            at += 1
         else:
             extra, least = ((2, 3), (3, 3), (7, 11))[symbol - 16]
-            run = least + (window & ((1 << extra) - 1))
+            run = least + (held >> size & ((1 << extra) - 1))
             size += extra
             if at + run > alphabet:
                 raise ValueError("too many code lengths")
             if symbol == 16:
-                lengths[at : at + run] = [last] * run
+                used += [(last, s) for s in range(at, at + run)]
             at += run
-        reader.place += size
-    return Code(lengths)
+        held >>= size
+        have -= size
+        place += size
+    reader.place = place
+    return _code_of(tuple(used))
 
 
 def prefix_of(value: int) -> tuple[int, int, int]:
@@ -281,7 +342,16 @@ def distance_of(code: int, width: int) -> int:
 
 def _read_group(reader: BitReader, cache_bits: int) -> list[Code]:
     cache = 1 << cache_bits if cache_bits else 0
-    return [read_code(reader, n) for n in (256 + LENGTH_CODES + cache, 256, 256, 256, DISTANCE_CODES)]
+    codes, before, last = [], reader.place, 0
+    for alphabet in (256 + LENGTH_CODES + cache, 256, 256, 256, DISTANCE_CODES):
+        start, size = reader.place, reader.place - before
+        if alphabet == last and reader.bits(start, size) == reader.bits(before, size):  # the same bits are the same code
+            reader.place += size
+            codes.append(codes[-1])
+        else:
+            codes.append(read_code(reader, alphabet))
+        before, last = start, alphabet
+    return codes
 
 
 def _read_pixels(reader: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -307,16 +377,33 @@ def _read_pixels(reader: BitReader, width: int, height: int, main: bool) -> np.n
             cache[(0x1E35A7BD * argb & 0xFFFFFFFF) >> (32 - cache_bits)] = argb
         cached = until
 
+    def tables(group: list[Code]) -> tuple:
+        return tuple(x for code in group[:4] for x in code.lists)
+
+    held = [tables(group) for group in codes]
+    greens, green_widths, green_mask, reds, red_widths, red_mask, blues, blue_widths, blue_mask, alphas, alpha_widths, alpha_mask = held[0]
+    data = reader.data
     while at < size:
         if group_of is not None:
-            green, red, blue, alpha, distance = codes[group_of[(at // width >> group_bits) * across + (at % width >> group_bits)]]
-        symbol = green.read(reader)
+            group = group_of[(at // width >> group_bits) * across + (at % width >> group_bits)]
+            distance = codes[group][4]
+            greens, green_widths, green_mask, reds, red_widths, red_mask, blues, blue_widths, blue_mask, alphas, alpha_widths, alpha_mask = held[group]
+        place = reader.place
+        window = int.from_bytes(data[place >> 3 : (place >> 3) + 9], "little") >> (place & 7)  # four codes of at most 15 bits
+        n = window & green_mask
+        symbol, used = greens[n], green_widths[n]
         if symbol < 256:
-            r = red.read(reader)
-            b = blue.read(reader)
-            out[at] = alpha.read(reader) << 24 | r << 16 | symbol << 8 | b
+            n = window >> used & red_mask
+            r, used = reds[n], used + red_widths[n]
+            n = window >> used & blue_mask
+            b, used = blues[n], used + blue_widths[n]
+            n = window >> used & alpha_mask
+            out[at] = alphas[n] << 24 | r << 16 | symbol << 8 | b
+            reader.place = place + used + alpha_widths[n]
             at += 1
-        elif symbol < 256 + LENGTH_CODES:
+            continue
+        reader.place = place + used
+        if symbol < 256 + LENGTH_CODES:
             length = value_of(symbol - 256, reader)
             back = distance_of(value_of(distance.read(reader), reader), width)
             if back > at or at + length > size:
@@ -345,35 +432,41 @@ def _read_green(reader: BitReader, green: Code, distance: Code, width: int, size
         return np.full(size, green.symbols[0], np.uint8)
     data = reader.data + bytes(16)
     symbols, lengths, backs, made, place = [], [], [], 0, reader.place
-    mask = np.uint32((1 << green.bits) - 1)
+    mask = (1 << green.bits) - 1
     while made < size:
         first = place >> 3
         count = min(BYTES_AT_ONCE, len(reader.data) - first)
         if count <= 0:
             raise ValueError("the image's data end early")
         words = np.ndarray(count, "<u4", data, first, (1,))
-        window = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & mask).ravel()
-        symbol = green.symbols[window]
-        reach = np.arange(count * 8, dtype=np.int32) + green.widths[window]
+        window = np.empty((count, 8), np.int64)
+        for bit in range(8):
+            np.right_shift(words, bit, out=window[:, bit])
+        window = window.ravel()
+        window &= mask
+        reach = green.widths.take(window)
+        reach += np.arange(count * 8)
         length = back = None
-        if len(copies := np.flatnonzero(symbol >= 256)):
+        if green.copies and len(copies := np.flatnonzero((symbol := green.symbols[window]) >= 256)):
             length, back, ends = _copy_fields(data, first * 8, copies, reach[copies], symbol[copies] - 256, distance, width)
             reach[copies] = ends
         limit = count * 8
-        after = np.concatenate([np.minimum(reach, limit), np.array([limit], np.int32)])
-        eighth = after[after]
-        eighth = eighth[eighth]
-        eighth = memoryview(eighth[eighth])
+        after = np.empty(limit + 1, np.int64)
+        np.minimum(reach, limit, out=after[:limit])
+        after[limit] = limit
+        eighth = after.take(after)
+        eighth = eighth.take(eighth)
+        eighth = memoryview(eighth.take(eighth))
         at, stops = place - first * 8, []
         while at < limit:
             stops.append(at)
             at = eighth[at]
-        columns = [np.array(stops, np.int32)]
+        columns = [np.array(stops)]
         for _ in range(7):
             columns.append(after[columns[-1]])
         places = np.stack(columns, axis=1).ravel()
         places = places[places < limit]
-        found = symbol[places]
+        found = green.symbols[window[places]]
         size_of = np.ones(len(found), np.int64)
         if length is not None and len(are := np.flatnonzero(found >= 256)):
             which = np.searchsorted(copies, places[are])
@@ -425,7 +518,7 @@ def _copy_fields(data: bytes, base: int, places: np.ndarray, at: np.ndarray, pre
     window = take(at, np.full(len(at), distance.bits))
     code, at = value(distance.symbols[window], at + distance.widths[window])
     near = np.array([distance_of(c + 1, width) for c in range(len(NEAR))])
-    return length, np.where(code > len(NEAR), code - len(NEAR), near[np.minimum(code, len(NEAR)) - 1]), np.minimum(at, 1 << 30).astype(np.int32)
+    return length, np.where(code > len(NEAR), code - len(NEAR), near[np.minimum(code, len(NEAR)) - 1]), np.minimum(at, 1 << 30)
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -668,7 +761,30 @@ def _write_palette(out: BitWriter, table: np.ndarray, index: np.ndarray) -> np.n
         out.put(value, size)
     channels = _channels(table.astype(np.uint32))
     _write_pixels(out, _argb(np.diff(channels, axis=0, prepend=np.zeros((1, 4), np.uint8))), len(table), False)
-    bits = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1 if len(table) <= 16 else 0
+    return _bundled(index, len(table))
+
+
+def _write_greys(out: BitWriter, greys: np.ndarray) -> None:
+    """Writes a palette of greys, in rising order, as ``_write_pixels`` would: its three colours have the same steps and codes."""
+    steps = np.diff(greys.astype(np.int64), prepend=0)
+    lengths = code_lengths(np.bincount(steps, minlength=256).tolist())
+    alpha = [0] * 256
+    alpha[255] = 1
+    if len(steps) > 1:
+        alpha[0] = 1
+    out.put(0, 1)
+    for own in (lengths + [0] * LENGTH_CODES, lengths, lengths, alpha, [0] * DISTANCE_CODES):
+        write_code(out, own)
+    codes, widths = writing_codes(lengths)
+    opaque = int(len(steps) > 1)
+    for n, step in enumerate(steps.tolist()):
+        code, width = codes[step], widths[step]
+        out.put(code | code << width | code << 2 * width | (opaque << 3 * width if n == 0 else 0), 3 * width + opaque)
+
+
+def _bundled(index: np.ndarray, greys: int) -> np.ndarray:
+    """The image of palette indexes, several in a pixel if the palette is small."""
+    bits = 3 if greys <= 2 else 2 if greys <= 4 else 1 if greys <= 16 else 0
     index = index.astype(np.uint32)
     if bits:
         per, each = 1 << bits, 8 >> bits
@@ -707,7 +823,10 @@ def encode_grey(samples: bytes, width: int = ROW) -> bytes:
     present = np.bincount(values, minlength=256) > 0
     table = np.flatnonzero(present).astype(np.uint32)
     place = (np.cumsum(present) - 1).astype(np.uint8)
-    image = _write_palette(out, table * np.uint32(0x010101) | np.uint32(0xFF000000), place[values].reshape(height, width))
+    for value, size in ((1, 1), (PALETTE, 2), (len(table) - 1, 8)):
+        out.put(value, size)
+    _write_greys(out, table)
+    image = _bundled(place[values].reshape(height, width), len(table))
     out.put(0, 1)
     green = (image.ravel() >> np.uint32(8) & np.uint32(255)).astype(np.int64)
     copies = _line_copies(samples) if image.shape[1] == width else []
