@@ -2,19 +2,21 @@
 
 Index: documents are cut into blocks of about ``BLOCK_WORDS`` words. Words in a piece have
 consecutive positions, pieces are at least one position apart. A block and language is one row:
-its distinct words, the length of each word's list, and the lists of positions, one after the other. The
+its distinct words, their numbers, the length of each word's list, and the lists of positions, one after the other. The
 index is written once to the shared folder, so texts are read once and a lost executor costs a
 re-read of its rows.
 
+Numbers: a word's number is a hash of its language and text. While words are counted all of them are looked at, and
+should two share a number, all are numbered anew by another hash. So numbers stand for words exactly, phrases
+are rows of numbers, and no texts are built, compared or shuffled until the frequent phrases are known.
+
 Extension: a phrase's list holds the positions of its last word. Merge-joining the list with the
 postings of the adjacent words gives the lists of the phrases longer by a word; the length of a list is
 the phrase's frequency in its block, and the sum over blocks its exact frequency. A longer phrase
 is as rare as its rarest part, so only phrases whose two parts without the first and the last word are frequent
-everywhere are extended.
+everywhere are extended. Rows of counts are at most as many as words, for each length.
 
-Most phrases of a block are rare everywhere, so their texts are not shuffled: phrases are first counted
-by ``BUCKET_BITS`` bits of a hash, and only those of buckets with ``least`` occurrences are counted by
-themselves. Which buckets and phrases are frequent everywhere is known after a sum over blocks, and goes back to the tasks as a
+Which phrases are frequent everywhere is known after a sum over blocks, and goes back to the tasks as a
 Bloom filter of ``FILTER_BITS`` bits a phrase and at most ``MOST_FILTER_BITS`` bits in all, so what is
 broadcast is bounded. Beyond that size more rare phrases pass and are counted in vain; since every
 count is exact and compared with ``least`` afterwards, results never depend on the filter.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,11 @@ SCALE = 2_000_000
 #: A phrase goes when a longer one has at least this share of its occurrences, in per cent.
 COVERED = 80
 BLOCK_WORDS = 1 << 20
-#: Phrases whose texts a task holds at once when it hands on their counts.
-TEXTS_AT_ONCE = 1 << 15
-BUCKET_BITS = 40
+#: Phrases whose counts a task hands on at once.
+ROWS_AT_ONCE = 1 << 15
+#: Bits of the words' numbers at first, and of those of another hash where two words shared one.
+BUCKET_BITS = 64
+MOST_BUCKET_BITS = 64
 FILTER_BITS = 24
 MOST_FILTER_BITS = 1 << 30
 #: Bits of a bitmap of Spark's ``bitmap_construct_agg``.
@@ -77,17 +82,19 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
-def index(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """(lang, words, counts, positions): the positional inverted lists of the blocks."""
+def index(df: DataFrame, text_column: str = "text", lang_column: str = "lang", bits: int = BUCKET_BITS, seed: int = 42) -> DataFrame:
+    """(lang, words, ids, counts, positions): the positional inverted lists of the blocks."""
     prepare(df.sparkSession)
 
     def lists(lang: str, numbers: _Numbers, ids: list[np.ndarray]) -> pa.RecordBatch:
         sequence = np.concatenate(ids)
         counts = np.bincount(sequence, minlength=len(numbers))[1:]
         places = np.argsort(sequence, kind="stable").astype("<i4")[len(sequence) - int(counts.sum()) :]
-        words = list(numbers)[1:]
-        columns = [[lang], [[w.decode() for w in words]], [counts.astype(np.int32)], [places.tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()), strict=True)], names=["lang", "words", "counts", "positions"])
+        words = [w.decode() for w in list(numbers)[1:]]
+        own = (_hashes(lang, words, seed) >> np.uint64(64 - bits)).view(np.int64)
+        columns = [[lang], [words], [own], [counts.astype(np.int32)], [places.tobytes()]]
+        kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "words", "ids", "counts", "positions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
@@ -106,37 +113,31 @@ def index(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -
         yield from (lists(lang, *block) for lang, block in blocks.items())
 
     rows = df.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("__text"))
-    return rows.mapInArrow(run, "lang string, words array<string>, counts array<int>, positions binary")
+    return rows.mapInArrow(run, "lang string, words array<string>, ids array<long>, counts array<int>, positions binary")
 
 
-def _hashes(lang: str, phrases: list[str]) -> np.ndarray:
-    """Spark's ``xxhash64(lang, phrase)``."""
+def _hashes(lang: str, phrases: list[str], seed: int = 42) -> np.ndarray:
+    """Spark's ``xxhash64(lang, phrase)``, for its seed of 42."""
     from xxhash import xxh64_intdigest
 
-    seed = xxh64_intdigest(lang, 42)
+    seed = xxh64_intdigest(lang, seed)
     return np.fromiter((xxh64_intdigest(p, seed) for p in phrases), np.uint64, len(phrases))
 
 
-def _hashed_longs(numbers: np.ndarray) -> np.ndarray:
-    """Spark's ``xxhash64`` of longs. The constants are fixed by the published hash."""
+def _hashed_longs(numbers: np.ndarray, seed: np.ndarray | np.uint64 = np.uint64(42)) -> np.ndarray:
+    """Spark's ``xxhash64`` of longs; with the hashes of the columns before as the seed, that of several columns. The constants are fixed by the published hash."""
     one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
     def turned(x: np.ndarray, n: int) -> np.ndarray:
         return x << np.uint64(n) | x >> np.uint64(64 - n)
 
-    h = (np.uint64(42 + 8) + five) ^ turned(numbers.astype(np.uint64) * two, 31) * one
+    h = (seed + (np.uint64(8) + five)) ^ turned(numbers.astype(np.uint64) * two, 31) * one
     h = turned(h, 27) * one + four
     h = (h ^ h >> np.uint64(33)) * two
     h = (h ^ h >> np.uint64(29)) * three
     return h ^ h >> np.uint64(32)
 
 
-def _mixed(phrases: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hashes of phrases longer by a word, from those of the phrases and the words."""
-    h = (phrases * np.uint64(0x9E3779B97F4A7C15) + words) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ h >> np.uint64(32)
-
-
 class Filter:
     """A Bloom filter of hashes, built by Spark's bitmap aggregates."""
 
@@ -172,71 +173,52 @@ class Filter:
         return out
 
 
-def extended(ends: np.ndarray, names: np.ndarray, posted: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lists of the phrases longer by a word: (ends, names, pairs) where pairs are (phrase << 32 | word) of each new name.
+def extended(ends: np.ndarray, hashes: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of the phrases longer by a word, as (ends, hashes of all their words).
 
-    ``ends`` are the sorted positions of last words and ``names`` the phrases there; ``posted`` and
-    ``owner`` are the postings of all words, sorted by position. A place is kept when a phrase ends
-    there and another of the same length ends at the next position.
+    ``ends`` are the sorted positions of last words and ``hashes`` those of the phrases there; ``ids`` are the words'
+    numbers and ``at`` says which of them a position has. A place is kept when a phrase ends there and
+    another of the same length ends at the next position.
     """
     meets = np.flatnonzero(ends[1:] == ends[:-1] + 1)
     after = ends[meets + 1]
-    pairs, longer = np.unique(names[meets].astype(np.int64) << 32 | owner[np.searchsorted(posted, after)], return_inverse=True)
-    return after, longer, pairs
-
-
-def texts(pairs: np.ndarray, phrases: list[str], words: list[str]) -> list[str]:
-    return [f"{phrases[a]} {words[b]}" for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True)]
-
+    return after, _hashed_longs(ids[at[after]], hashes[meets])
 
-def longer_counts(lists: DataFrame, filters: list[tuple[Filter, Filter | None]], heavy: Filter | None, by_bucket: bool) -> DataFrame:
-    """The counts, by block, of the phrases one word longer than the last filter's: (bucket, n), or (lang, phrase, n) of those in ``heavy`` buckets.
 
-    ``filters`` holds, by size, the filter of frequent phrases and that of their heavy buckets; buckets are looked at first, as texts cost more.
-    """
-    shared = lists.sparkSession.sparkContext.broadcast(([(f.bits, h and h.bits) for f, h in filters], heavy and heavy.bits))
-    shift = np.uint64(64 - BUCKET_BITS)
+def longer_counts(lists: DataFrame, filters: list[Filter]) -> DataFrame:
+    """The counts, by block, of the phrases one word longer than the last filter's: (w1, w2, ..., n)."""
+    size = len(filters) + 1
+    names = [f"w{n}" for n in range(1, size + 1)]
+    shared = lists.sparkSession.sparkContext.broadcast([f.bits for f in filters])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [(Filter(bits), None if own is None else Filter(own)) for bits, own in shared.value[0]]
-        wanted = None if shared.value[1] is None else Filter(shared.value[1])
+        known = [Filter(bits) for bits in shared.value]
         for batch in batches:
             for row in range(batch.num_rows):
-                lang, words = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                counts = batch.column(2)[row].values.to_numpy()
-                posted = np.frombuffer(batch.column(3)[row].as_py(), "<i4")
-                owner = np.repeat(np.arange(len(words)), counts)
-                spelled = _hashes(lang, words)
-                keep = np.flatnonzero(known[0][0].holds(spelled)[owner])
-                keep = keep[np.argsort(posted[keep], kind="stable")]
-                posted, owner = posted[keep], owner[keep]
-                ends, names, phrases, mixed = posted, owner, words, spelled
-
-                def longer() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-                    after, own, pairs = extended(ends, names, posted, owner)
-                    return after, own, pairs, _mixed(mixed[pairs >> 32], spelled[pairs & 0xFFFFFFFF])
-
-                for level, own in known[1:]:
-                    ends, names, pairs, hashes = longer()
-                    in_heavy = own.holds(_hashed_longs(hashes >> shift))
-                    keep = np.flatnonzero(in_heavy[names])
-                    ends, names = ends[keep], (np.cumsum(in_heavy) - 1)[names[keep]]
-                    phrases, mixed = texts(pairs[in_heavy], phrases, words), hashes[in_heavy]
-                    keep = np.flatnonzero(level.holds(_hashes(lang, phrases))[names])
-                    ends, names = ends[keep], names[keep]
-                _, names, pairs, hashes = longer()
-                sizes = np.bincount(names, minlength=len(pairs))
-                if by_bucket:
-                    yield pa.RecordBatch.from_arrays([pa.array((hashes >> shift).astype(np.int64)), pa.array(sizes, pa.int64())], names=["bucket", "n"])
-                    continue
-                if wanted is not None:
-                    keep = np.flatnonzero(wanted.holds(_hashed_longs(hashes >> shift)))
-                    pairs, sizes = pairs[keep], sizes[keep]
-                for at in range(0, len(pairs), TEXTS_AT_ONCE):
-                    part = texts(pairs[at : at + TEXTS_AT_ONCE], phrases, words)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(sizes[at : at + len(part)], pa.int64())], names=["lang", "phrase", "n"])
-
-    return lists.mapInArrow(run, "bucket long, n long" if by_bucket else "lang string, phrase string, n long")
+                ids = batch.column(0)[row].values.to_numpy()
+                counts = batch.column(1)[row].values.to_numpy()
+                posted = np.frombuffer(batch.column(2)[row].as_py(), "<i4")
+                spelled = _hashed_longs(ids)
+                often = np.repeat(known[0].holds(spelled), counts)
+                at = np.full(int(posted.max(initial=-1)) + 1, -1, np.int32)
+                at[posted[often]] = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[often]
+                ends = np.flatnonzero(at >= 0)
+                hashes = spelled[at[ends]]
+                for level in known[1:]:
+                    ends, hashes = extended(ends, hashes, at, ids)
+                    keep = np.flatnonzero(level.holds(hashes))
+                    ends, hashes = ends[keep], hashes[keep]
+                ends, hashes = extended(ends, hashes, at, ids)
+                ends = ends[np.argsort(hashes)]
+                words = [ids[at[ends - back]] for back in range(size - 1, -1, -1)]
+                other = np.ones(len(ends), bool)  # unlike the one before; the rows of one phrase need not meet, as they are summed up later
+                other[1:] = reduce(np.logical_or, [w[1:] != w[:-1] for w in words])
+                first = np.flatnonzero(other)
+                columns = [*(w[first] for w in words), np.diff(first, append=len(ends))]
+                for start in range(0, len(first), ROWS_AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[start : start + ROWS_AT_ONCE], pa.int64()) for c in columns], names=[*names, "n"])
+
+    return lists.select("ids", "counts", "positions").mapInArrow(run, ", ".join(f"{name} long" for name in (*names, "n")))
 
 
 def _summed(counts: DataFrame, *by: str) -> DataFrame:
@@ -244,29 +226,48 @@ def _summed(counts: DataFrame, *by: str) -> DataFrame:
     return counts.repartition(*by).groupBy(*by).agg(F.sum("n").alias("f"))
 
 
+def _counted_words(spark: SparkSession, df: DataFrame, path: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """The index, and (id, lang, phrase, f) of its frequent words; no two words of the index share an id."""
+    for turn in count():
+        index(df, bits=MOST_BUCKET_BITS if turn else BUCKET_BITS, seed=42 + turn).write.parquet(f"{path}/index-{turn}")
+        lists = spark.read.parquet(f"{path}/index-{turn}")
+        words = lists.select("lang", F.explode(F.arrays_zip("words", "ids", "counts")).alias("w"))
+        words = words.select(F.col("w.ids").alias("id"), "lang", F.col("w.words").alias("phrase"), F.col("w.counts").cast("long").alias("n"))
+        summed = words.repartition("id").groupBy("id", "lang", "phrase").agg(F.sum("n").alias("f"))
+        alike = summed.withColumn("alike", F.count("*").over(Window.partitionBy("id")))
+        alike.filter((F.col("f") >= least) | (F.col("alike") > 1)).write.parquet(f"{path}/words-{turn}")
+        found = spark.read.parquet(f"{path}/words-{turn}")
+        if found.filter("alike > 1").isEmpty():
+            return lists, found.drop("alike")
+
+
+def _spelled(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, phrase, size, f) of (ids, f)."""
+    parts = phrases.select("ids", "f", F.posexplode("ids").alias("place", "id")).join(words.select("id", "lang", "phrase"), "id")
+    found = parts.groupBy("ids", "f").agg(F.array_sort(F.collect_list(F.struct("place", "lang", "phrase"))).alias("parts"))
+    return found.select(F.expr("parts[0].lang").alias("lang"), F.expr("array_join(parts.phrase, ' ')").alias("phrase"), F.size("ids").alias("size"), "f")
+
+
 def frequent(spark: SparkSession, df: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases with at least ``least`` occurrences, and (lang, n) of all words."""
     path = shared_path(spark, "phrases")
-    index(df).write.parquet(f"{path}/index")
-    lists = spark.read.parquet(f"{path}/index")
-    counts = lists.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").cast("long").alias("n"))
+    lists, words = _counted_words(spark, df, path, least)
     totals = lists.select("lang", F.expr("aggregate(counts, 0L, (s, c) -> s + c)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    filters: list[tuple[Filter, Filter | None]] = []
+    filters = [Filter.of(words, "id")]
     parts = []
-    for size in range(1, longest + 1):
-        heavy = None
-        if 1 < size < longest:  # the last texts are few, as they have only frequent parts
-            _summed(longer_counts(lists, filters, None, True), "bucket").filter(F.col("f") >= least).select("bucket").write.parquet(f"{path}/heavy-{size}")
-            heavy = Filter.of(spark.read.parquet(f"{path}/heavy-{size}"), "bucket")
-        if size > 1:
-            counts = longer_counts(lists, filters, heavy, False)
+    for size in range(2, longest + 1):
+        names = [f"w{n}" for n in range(1, size + 1)]
         where = f"{path}/frequent-{size}"
-        _summed(counts, "lang", "phrase").filter(F.col("f") >= least).write.parquet(where)
-        parts.append(spark.read.parquet(where))
+        _summed(longer_counts(lists, filters), *names).filter(F.col("f") >= least).write.parquet(where)
+        found = spark.read.parquet(where)
+        parts.append(found.select(F.array(*names).alias("ids"), "f"))
         if size < longest:
-            filters.append((Filter.of(parts[-1], "lang", "phrase"), heavy))
-    sized = (p.select("lang", "phrase", F.lit(size).alias("size"), "f") for size, p in enumerate(parts, 1))
-    return reduce(DataFrame.unionByName, sized), totals
+            filters.append(Filter.of(found, *names))
+    sized = words.select("lang", "phrase", F.lit(1).alias("size"), "f")
+    if parts:
+        sized = sized.unionByName(_spelled(reduce(DataFrame.unionByName, parts), words))
+    sized.write.parquet(f"{path}/frequent")
+    return spark.read.parquet(f"{path}/frequent"), totals
 
 
 def collocations(phrases: DataFrame, totals: DataFrame, top: int = TOP, covered: int = COVERED) -> DataFrame:
