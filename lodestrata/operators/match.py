@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.classify import admission_mode, is_placeholder
 from lodestrata.functions.text import listed, school_key, school_variants, similarity, without_notes
-from lodestrata.shared import shared_path
 
-#: Ids of a name that travel together, pairs that one task makes, and the most tasks.
-PACK, PAIRS_AT_ONCE, MOST_TASKS = 256, 1 << 21, 1 << 15
+SIDES = ("left", "right")
+#: Pairs that one task makes at least, the most tasks, the most ids that travel together, and as how many ids a name's comparison counts.
+PAIRS_AT_ONCE, MOST_TASKS, MOST_IDS, NAME_WEIGHT = 1 << 21, 1 << 11, 1 << 12, 8
 
 
 def stage_fits(wanted: Column, kind: Column) -> Column:
@@ -53,47 +54,98 @@ def _pieces(c: Column, size: int = 2) -> Column:
 def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left_id, right_id, score) of names (id, block, name) of one block whose ``similarity`` is at least ``least`` (above 0).
 
-    Every distinct name is compared once. Names of that many shared characters share one of their
-    ``_prefix`` characters, so they meet on those; a pair is formed at the first one only. A name
-    that lies in another meets it on its first two characters. Null or empty names and null blocks
-    are similar to nothing.
+    Names of that many shared characters share one of their ``_prefix`` characters, so they meet on
+    those; a pair is formed at the first one only. A name that lies in another meets it on its first
+    two characters. Where names would so form more than half of their blocks' pairs, as for a low
+    ``least``, they meet on the block alone. Null or empty names and null blocks are similar to nothing.
+
+    There are as many pairs as the rows of both names multiply to, so pairs are neither shuffled nor
+    written: ids travel in packs with their names, what meets on a key is dealt to a grid of cells,
+    and one task compares and makes all pairs of a cell.
     """
-    rows = [x.filter("block is not null and name <> ''") for x in (left, right)]
-    names = [x.select("block", "name").distinct() for x in rows]
-    seen = names[0].select("name").unionByName(names[1].select("name")).distinct().select("name", F.explode(F.array_distinct(F.split("name", ""))).alias("ch"))
-    ranked = seen.join(seen.groupBy("ch").agg(F.count("*").alias("n")), "ch").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "ch"))).alias("r"))
-    chars = ranked.select("name", F.col("r")["ch"].alias("chars"), _prefix(F.col("r")["ch"], least).alias("prefix"))
-    a, b = (x.join(chars, "name").select("block", F.col("name").alias(c), F.col("chars").alias(f"c{c}"), F.col("prefix").alias(f"p{c}")) for x, c in zip(names, "ab"))
-    first, pair = F.get(F.array_intersect("pa", "pb"), F.lit(0)), ("block", "a", "b", "ca", "cb")
-    met = a.withColumn("key", F.explode("pa")).join(b.withColumn("key", F.explode("pb")), ["block", "key"]).filter(first == F.col("key")).select(*pair)
-    for whole, part in (("a", "b"), ("b", "a")):
-        sides = {"a": a, "b": b}
-        longer = sides[whole].withColumn("key", F.explode(F.array_distinct(F.concat(_pieces(F.col(whole)), F.col(f"c{whole}")))))
-        inside = longer.join(sides[part].withColumn("key", F.substring(part, 1, 2)), ["block", "key"])
-        met = met.unionByName(inside.filter(first.isNull() & F.col(whole).contains(F.col(part))).select(*pair))
-    score = similarity(F.col("a"), F.col("b"), F.col("ca"), F.col("cb"))
-    path = shared_path(left.sparkSession, "similar-names")
-    met.select("block", "a", "b", score.alias("score")).filter(F.col("score") >= least).write.parquet(path)
-    return _pairs_of_rows(left.sparkSession.read.parquet(path), *rows)
-
-
-def _pairs_of_rows(scored: DataFrame, left: DataFrame, right: DataFrame, pack: int = PACK, at_once: int = PAIRS_AT_ONCE) -> DataFrame:
-    """(left_id, right_id, score) of the rows (id, block, name) that bear two scored names (block, a, b, score).
-
-    There are as many pairs as the rows of both names multiply to. Ids travel in packs, and two packs become pairs only where
-    they were dealt to one of as many tasks as ``at_once`` pairs each ask for, so a name of many rows is not one task's.
+    block = left.select("block").union(right.select("block")).schema["block"].dataType
+    rows = [x.filter("block is not null and name <> ''").select("id", F.col("block").cast(block).alias("block"), "name") for x in (left, right)]
+    names = [x.groupBy("block", "name").agg(F.count("*").alias("n")) for x in rows]
+    seen = names[0].unionByName(names[1]).select(F.explode(_characters()).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+    rank = F.broadcast(seen.agg(F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("rank")))  # a row of all characters
+    met, on_chars = _meetings(*map(_on_block, names)), _meetings(*[_on_characters(x, rank, least, side) for x, side in zip(names, SIDES)])
+    (pairs, work), (few, less) = _volume(met), _volume(on_chars)
+    by_chars = 2 * few < pairs
+    if by_chars:
+        met, work = on_chars, less
+    reach, tasks = math.sqrt(max(PAIRS_AT_ONCE, work / MOST_TASKS)), int(min(work // PAIRS_AT_ONCE + 1, MOST_TASKS))
+    grid = met.select("block", "key", *[F.ceil(F.col(f"{x}_weight") / reach).alias(f"{x}_parts") for x in SIDES])
+    dealt = []
+    for x, n, side in zip(rows, names, SIDES):
+        packs = _packs(x, n, min(reach / 4, MOST_IDS))
+        packs = _on_characters(packs, rank, least, side) if by_chars else _on_block(packs)
+        packs = _dealt(packs.join(grid, ["block", "key"]), side).repartition(tasks, "cell")
+        chars = F.split("ranked", "") if by_chars else _characters()
+        columns = {"name": F.col("name"), "key": F.col("key"), "ids": F.col("ids"), "chars": F.transform(chars, lambda c: F.ascii(c)), "prefix": _prefix(chars, least)}
+        dealt.append(packs.select("cell", *[c.alias(f"{side}_{k}") for k, c in columns.items()]))
+    found = dealt[0].hint("merge").join(dealt[1], "cell")
+    a, b = F.col("left_name"), F.col("right_name")
+    if by_chars:
+        first, key = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)), F.col("left_key")
+        whole = first.isNull() & F.when(key.startswith("<"), a.contains(b)).otherwise(b.contains(a))
+        found = found.filter(F.when(key.startswith("="), F.coalesce(F.concat(F.lit("="), first) == key, F.lit(False))).otherwise(whole))
+    found = found.select("left_ids", "right_ids", similarity(a, b, F.col("left_chars"), F.col("right_chars")).alias("score")).filter(F.col("score") >= least)
+    return found.select(F.explode("left_ids").alias("left_id"), "right_ids", "score").select("left_id", F.explode("right_ids").alias("right_id"), "score")
+
+
+def _characters() -> Column:
+    return F.array_distinct(F.split("name", ""))
+
+
+def _on_block(df: DataFrame) -> DataFrame:
+    return df.withColumn("ranked", F.lit("")).withColumn("key", F.lit(""))
+
+
+def _on_characters(df: DataFrame, rank: DataFrame, least: float, side: str) -> DataFrame:
+    """A row for each ``key`` that a name meets others on; ``ranked`` holds its characters, the rarest first.
+
+    Keys are = and a prefix character, < and what a right name within a left one may begin with, > and the like for a left one.
     """
-    n = scored
-    for df, side, c in ((left, "left", "a"), (right, "right", "b")):
-        named = df.select("id", "block", F.col("name").alias(c))
-        sizes = named.groupBy("block", c).agg(F.count("*").alias(f"{side}_n"))
-        n = n.join(sizes, ["block", c])
-        packs = named.join(sizes, ["block", c]).withColumn(f"{side}_pack", F.pmod(F.xxhash64("id"), F.ceil(F.col(f"{side}_n") / pack)))
-        scored = scored.join(packs.groupBy("block", c, f"{side}_pack").agg(F.collect_list("id").alias(f"{side}_ids")), ["block", c])
-    total = n.agg(F.sum(F.col("left_n") * F.col("right_n"))).first()[0] or 0
-    dealt = scored.repartition(min(total // at_once + 1, MOST_TASKS), "block", "a", "b", "left_pack", "right_pack")
-    halves = dealt.select(F.explode("left_ids").alias("left_id"), "right_ids", "score")
-    return halves.select("left_id", F.explode("right_ids").alias("right_id"), "score")
+
+    def tagged(keys: Column, tag: str) -> Column:
+        return F.transform(keys, lambda c: F.concat(F.lit(tag), c))
+
+    outer, inner = "<>" if side == "left" else "><"
+    ordered = F.sort_array(F.transform(_characters(), lambda c: F.named_struct(F.lit("n"), F.col("rank")[c], F.lit("ch"), c)))
+    df = df.crossJoin(rank).withColumn("ranked", F.array_join(F.transform(ordered, lambda x: x["ch"]), "")).drop("rank")
+    pieces = F.array_distinct(F.concat(_pieces(F.col("name")), _characters()))
+    keys = F.concat(tagged(_prefix(F.split("ranked", ""), least), "="), tagged(pieces, outer), F.array(F.concat(F.lit(inner), F.substring("name", 1, 2))))
+    # explode_outer: for explode Spark would infer a filter that makes the keys once more
+    return df.withColumn("key", F.explode_outer(keys))
+
+
+def _meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(block, key) that names (block, key, n) of both sides have, with the numbers and the weights of either side's."""
+    sides = [x.groupBy("block", "key").agg(F.count("*").alias(f"{side}_names"), F.sum(F.col("n") + NAME_WEIGHT).alias(f"{side}_weight")) for x, side in zip((left, right), SIDES)]
+    return sides[0].join(sides[1], ["block", "key"])
+
+
+def _volume(met: DataFrame) -> tuple[float, float]:
+    """Pairs of names that meet, and the work of making all pairs of rows."""
+    totals = [F.sum(F.col(f"left_{c}").cast("double") * F.col(f"right_{c}")) for c in ("names", "weight")]
+    return tuple(x or 0.0 for x in met.agg(*totals).first())
+
+
+def _packs(rows: DataFrame, names: DataFrame, most: float) -> DataFrame:
+    """(block, name, pack, ids): the ids of a name in packs of about ``most``, null ones included."""
+    pack = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / most)).alias("pack")
+    nulls = F.array_repeat(F.lit(None).cast(rows.schema["id"].dataType), F.count_if(F.col("id").isNull()).cast("int"))
+    return rows.join(names, ["block", "name"]).select("id", "block", "name", pack).groupBy("block", "name", "pack").agg(F.concat(F.collect_list("id"), nulls).alias("ids"))
+
+
+def _dealt(packs: DataFrame, side: str) -> DataFrame:
+    """Each pack in one part of its own side of the grid of its key, once for each part of the other side, by ``cell``."""
+    own = F.pmod(F.pmod(F.xxhash64("name"), F.col(f"{side}_parts")) + F.col("pack"), F.col(f"{side}_parts")).alias(f"{side}_part")
+    (other,) = (x for x in SIDES if x != side)
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)).alias(f"{other}_part")
+    # one column, as Spark would leave out constant ones on one side and deal the rows once more
+    cell = F.concat("left_part", F.lit("."), "right_part", F.lit("."), F.length("key"), F.lit("."), "key", F.col("block").cast("string"))
+    return packs.select("*", own, parts).select(cell.alias("cell"), "key", "name", "ids", "ranked")
 
 
 def _prefix(ranked: Column, least: float) -> Column:

@@ -255,6 +255,52 @@ def test_rows_of_two_names_are_dealt_out(spark):
     assert tuple(got) == (3000 * 1490, 0.75, 0.75, 1489)
 
 
+def test_similar_names_shuffle_no_pairs(spark):
+    def written(rows):
+        left = spark.range(rows).selectExpr("id", "1L as block", "concat('name ', id) as name")
+        right = spark.range(rows).selectExpr("id", "1 as block", "concat('name', id % 4) as name")
+        bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+        bus.waitUntilEmpty()
+        before = store.executorList(False).apply(0).totalShuffleWrite()
+        assert match.similar_names(left, right, 0.35).agg(F.count_distinct("left_id").alias("l"), F.count("*").alias("n")).first()["l"] == rows
+        bus.waitUntilEmpty()
+        return store.executorList(False).apply(0).totalShuffleWrite() - before
+
+    small, large = written(500), written(4000)  # 64 times as many pairs
+    assert large < 16 * small
+
+
+@pytest.mark.parametrize("least", [0.35, 0.8])
+def test_similar_names_of_many_characters(spark, least, monkeypatch):
+    import random
+
+    rng = random.Random(7)
+    letters = [chr(0x4E00 + k) for k in range(300)] + ["😀", "😁", "é", "<", ">", "="]
+    names = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(150)]
+    names += [x[:-1] or x for x in names[:40]] + [x + y for x, y in zip(names[:30], names[5:])] + [x + x for x in names[:20]] + ["😀<", "<😀=", "aaaa", "aaaab"]
+    sides = [[(i, i % 2, x) for i, x in enumerate(rng.sample(names, 200) + names[-4:])] for _ in range(2)]
+
+    def score(a, b):
+        if a in b or b in a:
+            return min(len(a), len(b)) / max(len(a), len(b))
+        return len(set(a) & set(b)) / max(len(set(a)), len(set(b)))
+
+    want = sorted((i, j, round(score(a, b), 6)) for i, x, a in sides[0] for j, y, b in sides[1] if x == y and score(a, b) >= least)
+    keyed, on_characters = [], match._on_characters
+    monkeypatch.setattr(match, "_on_characters", lambda df, *rest: keyed.append(df.columns) or on_characters(df, *rest))
+    for at_once in (match.PAIRS_AT_ONCE, 256):  # one cell a key, and many
+        monkeypatch.setattr(match, "PAIRS_AT_ONCE", at_once)
+        found = match.similar_names(*[spark.createDataFrame(x, "id long, block int, name string") for x in sides], least)
+        assert sorted((r["left_id"], r["right_id"], round(r["score"], 6)) for r in found.collect()) == want
+    assert want and sum("ids" in x for x in keyed) == 4  # names met on their characters
+
+
+def test_similar_names_keep_rows_without_ids(spark):
+    left = spark.createDataFrame([(None, 1, "abc"), (None, 1, "abc"), (7, 1, "abc")], "id long, block int, name string")
+    found = match.similar_names(left, left.filter("id is null or name is null").limit(1), 0.35).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == [(7, None, 1.0), (None, None, 1.0), (None, None, 1.0)]
+
+
 def test_suffix_lookup_forms_no_pairs_of_equal_names(spark):
     candidates = spark.range(3000).select(F.col("id").alias("candidate_id"), F.lit("red").alias("name"))
     targets = spark.range(3000).select((F.col("id") + 7).alias("target_id"), F.when(F.col("id") % 2 == 0, "red b").otherwise("red a").alias("name"))
